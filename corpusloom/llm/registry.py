@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup
+from corpusloom.llm import exact_dedup, mixing
 from corpusloom.llm.common import table
 
 
 def queries():
     return {
+        "op1_mixing": lambda spark, sf: mixing.words_taken(table(spark, sf, "documents")),
         "op7_exact_dedup": lambda spark, sf: exact_dedup.exact_dedup(table(spark, sf, "documents")),
     }
 
 
 def oracle_sql():
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
