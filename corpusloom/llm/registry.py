@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, mixing
+from corpusloom.llm import exact_dedup, mixing, simhash
 from corpusloom.llm.common import table
 
 
 def queries():
     return {
         "op1_mixing": lambda spark, sf: mixing.words_taken(table(spark, sf, "documents")),
+        "op6_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
         "op7_exact_dedup": lambda spark, sf: exact_dedup.exact_dedup(table(spark, sf, "documents")),
     }
 
