@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, exact_dedup, mixing, simhash
+from corpusloom.llm import bpe, exact_dedup, mixing, quality, simhash
 from corpusloom.llm.common import table
 
 
@@ -12,6 +12,7 @@ def queries():
         "op5_bpe": lambda spark, sf: bpe.encode_documents(table(spark, sf, "documents"), ids=False),
         "op6_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
         "op7_exact_dedup": lambda spark, sf: exact_dedup.exact_dedup(table(spark, sf, "documents")),
+        "op8_quality": quality.op8,
     }
 
 
