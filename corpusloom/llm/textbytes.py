@@ -92,3 +92,31 @@ def text_chunks(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int,
             first, held, size = row + 1, [], 0
     if held:
         yield first, held
+
+
+def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, multiplier: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """A hash of each range of consecutive values."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    n = len(hashes)
+    up = np.full(n, multiplier, dtype=np.uint64)
+    down = np.full(n, pow(multiplier, -1, 2**64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * up, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of every `width` consecutive values is, the last of equals."""
+    best, at, span = values, np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        if len(best) <= step:
+            return np.empty(0, np.int64)
+        take = best[step:] <= best[:-step]
+        best = np.where(take, best[step:], best[:-step])
+        at = np.where(take, at[step:], at[:-step])
+        span += step
+    return at
