@@ -51,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: smaller than a checkpoint for many rows."""
+    path = fresh_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def joined_small(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
     """Join with a side that is usually small: broadcast after its rows are counted, else shuffled.
 

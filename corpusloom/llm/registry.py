@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, exact_dedup, mixing, quality, simhash, substring_dedup
+from corpusloom.llm import bpe, exact_dedup, hmm_lm, mixing, quality, simhash, substring_dedup
 from corpusloom.llm.common import table
 
 
 def queries():
     return {
         "op1_mixing": lambda spark, sf: mixing.words_taken(table(spark, sf, "documents")),
+        "op10_hmm_lm": hmm_lm.op10,
         "op4_substring_dedup": lambda spark, sf: substring_dedup.without_repeats(table(spark, sf, "documents")),
         "op5_bpe": lambda spark, sf: bpe.encode_documents(table(spark, sf, "documents"), ids=False),
         "op6_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),

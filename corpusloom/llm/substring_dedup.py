@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textbytes as tb
-from corpusloom.llm.common import cut, fresh_dir, whole_text
+from corpusloom.llm.common import cut, stored, whole_text
 
 PHRASE = 8
 
@@ -162,16 +162,10 @@ def contested_windows(rows: DataFrame, phrases: DataFrame, window: int) -> DataF
     return needed.mapInArrow(scan, f"doc_id {kind}, anchor long, content long, offset int, window long")
 
 
-def _stored(df: DataFrame, what: str) -> DataFrame:
-    path = fresh_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, version, first, bits: bit k tells that the window at word first + k goes."""
     rows = _rows(docs).filter("doc_id is not null")
-    every = _stored(segments(rows, window), "segments")
+    every = stored(segments(rows, window), "segments")
     distinct = every.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("owner").alias("low"), F.max("last").alias("high"))
     anchors = cut(anchors.filter("low < high"))
@@ -180,7 +174,7 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     contested = owned.filter("contested").select("anchor", "content", F.col("owner").alias("doc_id"))
     phrases = every.join(contested, ["anchor", "content", "doc_id"])
     phrases = phrases.groupBy("doc_id", "version").agg(F.collect_set("place").alias("anchors"))
-    windows = _stored(contested_windows(rows, phrases, window), "windows")
+    windows = stored(contested_windows(rows, phrases, window), "windows")
     shared = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
     shared = cut(shared.filter("earliest < latest"))
     lost = windows.join(shared, ["anchor", "window"]).groupBy("anchor", "content", "offset").agg(F.min("doc_id").alias("own"), F.min("earliest").alias("earliest"))
