@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.shipping import ship
+
 #: A word is a longest run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
-    return found.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(found.rstrip("/"))
+    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:

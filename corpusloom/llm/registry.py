@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, exact_dedup, hmm_lm, mixing, quality, simhash, substring_dedup
+from corpusloom.llm import bpe, chat, exact_dedup, hmm_lm, media, mixing, quality, simhash, substring_dedup, warc
 from corpusloom.llm.common import table
 
 
 def queries():
     return {
         "op1_mixing": lambda spark, sf: mixing.words_taken(table(spark, sf, "documents")),
+        "op2_warc": warc.op2,
+        "op3_media": media.op3,
         "op10_hmm_lm": hmm_lm.op10,
         "op4_substring_dedup": lambda spark, sf: substring_dedup.without_repeats(table(spark, sf, "documents")),
         "op5_bpe": lambda spark, sf: bpe.encode_documents(table(spark, sf, "documents"), ids=False),
