@@ -46,11 +46,11 @@ def _(t):
 
 def _snippet_sql() -> str:
     return f"""with {ranked_sql(TERMS)}, h as (select urn, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') as w from hits order by score desc, urn limit 10),
- e as (select urn, w, unnest(range(0, greatest(len(w) - 40, 0) + 1)) as at from h),
- c as (select urn, w, at, len(list_filter(w[at + 1:at + 40], lambda x: len(list_filter(regexp_extract_all(lower(strip_accents(x)), '[\\p{{L}}\\p{{N}}]+'), lambda y: y in ('der', 'die'))) > 0)) as n from e),
- b as (select urn, min_by(at, -n * 1000000 + at) as at, any_value(w) as w from c group by urn)
- select urn, (case when at > 0 then '...' else '' end) || array_to_string(list_transform(w[at + 1:at + 40], lambda x: case when len(list_filter(regexp_extract_all(lower(strip_accents(x)), '[\\p{{L}}\\p{{N}}]+'), lambda y: y in ('der', 'die'))) > 0 then '<b>' || x || '</b>' else x end), ' ')
-  || (case when at + 40 < len(w) then '...' else '' end) as snippet from b"""
+ e as (select urn, w, unnest(range(0, greatest(len(w) - 40, 0) + 1)) as p0 from h),
+ c as (select urn, w, p0, len(list_filter(w[p0 + 1:p0 + 40], lambda x: len(list_filter(regexp_extract_all(lower(strip_accents(x)), '[\\p{{L}}\\p{{N}}]+'), lambda y: y in ('der', 'die'))) > 0)) as n from e),
+ b as (select urn, min_by(p0, -n * 1000000 + p0) as p0, any_value(w) as w from c group by urn)
+ select urn, (case when p0 > 0 then '...' else '' end) || array_to_string(list_transform(w[p0 + 1:p0 + 40], lambda x: case when len(list_filter(regexp_extract_all(lower(strip_accents(x)), '[\\p{{L}}\\p{{N}}]+'), lambda y: y in ('der', 'die'))) > 0 then '<b>' || x || '</b>' else x end), ' ')
+  || (case when p0 + 40 < len(w) then '...' else '' end) as snippet from b"""
 
 
 @register("q03_snippet", _snippet_sql())
