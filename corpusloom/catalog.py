@@ -11,7 +11,7 @@ from corpusloom.plans.adapters import Tables, with_views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-FAMILIES = ("graph", "mining", "search", "amendments", "reports", "changes", "validation")
+FAMILIES = ("graph", "mining", "search", "amendments", "reports", "changes", "validation", "streams")
 
 
 def register(name: str, sql: str | None = None):

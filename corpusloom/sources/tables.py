@@ -1,23 +1,27 @@
-"""Tables between steps: reliable checkpoints and versioned directories."""
+"""Tables between steps, in a folder that all executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows behind a reliable checkpoint in spark.checkpoint.dir, which all executors share.
-
-    A local session without the setting gets a folder of its own; elsewhere it is required."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. A local session without the setting gets a folder of its own; elsewhere it is required."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
     if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
         sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows behind a reliable checkpoint: computed once, and safe from lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
