@@ -168,7 +168,7 @@ def evidence(laws: DataFrame, query: str, k: int = 8, pool: int = 100, include_a
     return rows.select(F.concat(head, F.array_join(F.col("l.line"), "\n")).alias("evidence"))
 
 
-BROWSE = {"year_desc": [F.desc_nulls_last("year")], "year_asc": [F.asc_nulls_last("year")], "title": [F.asc_nulls_last("title")], "articles": [F.desc_nulls_last("article_count")], "importance": [F.desc_nulls_last("importance_score")]}
+BROWSE = {"year_desc": SORTS["year_desc"], "year_asc": SORTS["year_asc"], "title": SORTS["title"], "articles": SORTS["articles"], "importance": SORTS["importance"]}
 
 
 def browse(laws: DataFrame, kind=None, year=None, status=None, sort_by: str = "year_desc", page: int = 0, size: int = 25, preview: int = 2000) -> DataFrame:
@@ -177,7 +177,8 @@ def browse(laws: DataFrame, kind=None, year=None, status=None, sort_by: str = "y
     for column, value in (("type", kind), ("year", year), ("status", status)):
         if value is not None:
             rows = rows.filter(F.col(column) == value)
-    rows = rows.orderBy(*BROWSE[sort_by], "urn").offset(page * size).limit(size)
+    direction, column = BROWSE[sort_by]
+    rows = rows.orderBy(direction(column), "urn").offset(page * size).limit(size)
     return rows.select("urn", "title", "type", "year", "status", F.left("text", F.lit(preview)).alias("preview"))
 
 
