@@ -105,7 +105,6 @@ def read_feed(spark: SparkSession, path: str, most: int = 240) -> DataFrame:
 
 
 AKN = "{http://docs.oasis-open.org/legaldocml/ns/akn/3.0}"
-RDFA = "{http://www.normattiva.it/rdfa/}"
 ARTICLES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("num", "eId", "text")]))
 ACT_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("zip", "entry", "urn", "title", "date", "type", "text")] + [T.StructField("articles", ARTICLES)])
 
@@ -127,10 +126,11 @@ def _act_of(content: bytes, glue: str) -> dict | None:
     act = root if root.tag == f"{AKN}act" else root.find(f".//{AKN}act")
     if act is None:
         return None
-    with_name = lambda tag, key, value: next((e for e in act.iter(tag) if e.get(key) == value), None)
-    alias = with_name(f"{AKN}FRBRalias", "name", "urn:nir")
-    title = with_name(f"{RDFA}span", "property", "eli:title")
-    kind = with_name(f"{RDFA}span", "property", "eli:type_document")
+    # by local name: publishers put the spans into namespaces of their own
+    with_name = lambda tag, key, value: next((e for e in act.iter() if e.get(key) == value and str(e.tag).rpartition("}")[2] == tag), None)
+    alias = with_name("FRBRalias", "name", "urn:nir")
+    title = with_name("span", "property", "eli:title")
+    kind = with_name("span", "property", "eli:type_document")
     date = act.find(f".//{AKN}FRBRdate")
     body = act.find(f".//{AKN}body")
     articles, seen = [], set()

@@ -148,7 +148,7 @@ def test_jsonl_scan(spark, tmp_path):
     assert rows(changes.dedupe_counts(laws)) == [(2, 0, 1)]
 
 
-AKN = 'xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0" xmlns:nrdfa="http://www.normattiva.it/rdfa/"'
+AKN = 'xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0" xmlns:nrdfa="http://example.org/rdfa/"'
 
 
 def akn(urn, title="Title ", kind="http://x#legge", date="2001-02-03", body=None):
