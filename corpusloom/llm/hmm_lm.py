@@ -152,7 +152,7 @@ class Hmm:
 
 
 def seed_model(sequences: list[np.ndarray], states: int = STATES, rounds: int = 12, seed: int = 11) -> Hmm:
-    """A first model: states start at texts far apart, then Baum-Welch on the sample."""
+    """A first model: states start at texts far apart, then Baum-Welch on the sample, over whole texts."""
     rng = np.random.default_rng(seed)
     sequences = [s for s in sequences if len(s) > 1]
     if not sequences:
@@ -223,9 +223,26 @@ class Fitted:
         return self.train_tokens + 0.5 * (self.vocabulary + 1)
 
 
+def frequent_words(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """The most frequent words, HEAD at most: those above a count under which too many would qualify.
+
+    The bound comes from a histogram of the counts' logarithms, of some hundred rows for any corpus."""
+    most = HEAD if most is None else most
+    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect()
+    total, least = 0, None
+    for row in bins:
+        total += row["words"]
+        if total > most:
+            break
+        least = row["bin"]
+    return counts.filter(F.lit(False) if least is None else F.floor(F.log2("n") * 16) >= least)
+
+
 def fit(texts: DataFrame, counts: DataFrame, rounds: int = 2, seed_texts: int = SEED_TEXTS) -> Fitted:
     """The model from the training texts and their token counts (a checkpointed table)."""
-    sample = texts.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").select("text").limit(seed_texts)
+    # ids first, so that no task or driver sees more texts than the sample's; then a broadcast of seed_texts rows
+    picked = texts.select("doc_id").filter("doc_id is not null").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(seed_texts).distinct()
+    sample = texts.join(F.broadcast(picked), "doc_id", "left_semi").select("text")
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +260,7 @@ def fit(texts: DataFrame, counts: DataFrame, rounds: int = 2, seed_texts: int =
         mass[at] = float(value)
     mass[:CLASSES] += 0.5  # for the class's unknown words, which are one token
     mass[END] = max(mass[END], 1e-300)
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas().sort_values("word")
+    head = frequent_words(counts).toPandas().sort_values("word")
     fitted = Fitted(hmm, np.zeros(0), int(total[0]), int(total[1]), (head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
     fitted.shares = np.log10(mass / fitted.unit())
     return fitted
