@@ -104,3 +104,81 @@ def _(t):
     nodes = graph.graph_nodes(t.laws, t.citations)
     files.export_graph(nodes, graph.graph_edges(nodes, t.citations), where)
     return t.spark.read.schema("id string, size long").json(f"{where}/nodes")
+
+
+@register("c20_incremental_append", "select event_id, event_type from events")
+def _(t):
+    where = f"{shared_dir(t.spark)}/append-{uuid.uuid4().hex}"
+    for _run in range(2):  # the second run finds nothing new
+        jobs.append_new(_stream(t, "event_id", "event_type"), f"{where}/out", f"{where}/state").awaitTermination()
+    return t.spark.read.parquet(f"{where}/out").select("event_id", "event_type")
+
+
+@register("s04_write_laws", "select urn, title from v_laws order by urn")
+def _(t):
+    where = f"{shared_dir(t.spark)}/ordered-{uuid.uuid4().hex}"
+    files.write_laws(t.laws.select("urn", "title"), where, ordered=True)
+    return t.spark.read.schema("urn string, title string").json(where)
+
+
+AKN_NS = 'xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0" xmlns:r="urn:x-rdfa"'
+ENTRIES = f"""select concat('a', cast(doc_id as string), case when doc_id % 50 = 49 then '.txt' else '.xml' end) as entry, cast(concat('<akomaNtoso {AKN_NS}><act><meta><identification>',
+ case when doc_id % 10 = 3 then '' else concat('<FRBRalias name="urn:nir" value="urn:nir:stato:legge:', cast(1950 + doc_id % 70 as string), '-01-02;', cast(doc_id as string), '"/>') end,
+ case when doc_id % 4 = 1 then '' else concat('<FRBRdate date="', cast(1950 + doc_id % 70 as string), '-01-02"/>') end,
+ case when doc_id % 5 = 2 then '' else concat('<r:span property="eli:title" content=" Title ', cast(doc_id as string), '"/>') end,
+ '<r:span property="eli:type_document" resource="http://x#', lang, '"/></identification></meta><body><part><article eId="a1"><heading>Art. 1</heading><p> one ', cast(doc_id as string), ' </p></article></part><article eId="a2"><p>two</p></article></body></act></akomaNtoso>') as binary) as content from {{d}}"""
+
+
+def _entries(t):
+    return t.spark.sql(ENTRIES, d=t.base("documents")).withColumn("zip", F.lit("z"))
+
+
+ACTS = """a as (select doc_id, case when doc_id % 10 <> 3 then 'urn:nir:stato:legge:' || (1950 + doc_id % 70) || '-01-02;' || doc_id end as urn, case when doc_id % 4 <> 1 then (1950 + doc_id % 70) || '-01-02' end as date,
+ case when doc_id % 5 <> 2 then 'Title ' || doc_id end as title, lang as type, 'Art. 1one ' || doc_id || 'two' as text from documents)"""
+
+
+@register("x01_parse_akn", f"with {ACTS} select 'a' || doc_id || case when doc_id % 50 = 49 then '.txt' else '.xml' end as entry, urn, title, date, type, text, length(text)::bigint as text_length, 2 as article_count, try_cast(substring(date, 1, 4) as int) as year from a")
+def _(t):
+    return files.parse_akn(_entries(t)).drop("zip", "articles")
+
+
+@register("x02_explode_articles", f"with {ACTS} select urn, unnest([0, 1]) as pos, unnest(['Art. 1', 'a2']) as num, unnest(['a1', 'a2']) as \"eId\", unnest(['Art. 1one ' || doc_id, 'two']) as text from a where urn is not null")
+def _(t):
+    return files.explode_articles(files.parse_akn(_entries(t)).filter("urn is not null"))
+
+
+@register("x03_parse_abrogated", f"""with {ACTS} select urn, coalesce(title, 'Atto del ' || coalesce(date, '')) as title, 1950 + (doc_id % 70)::int as year, length('Art. 1 one ' || doc_id || ' two')::bigint as text_length, 'Art. 1' as text, 'abrogated' as status from a where urn is not null""")
+def _(t):
+    return files.parse_akn(_entries(t), variant="abrogated", most=6).select("urn", "title", "year", "text_length", "text", "status")
+
+
+@register("s02_read_zip_entries", "select 'a' || doc_id || '.xml' as entry, lang from documents where doc_id % 50 <> 49")
+def _(t):
+    where = f"{shared_dir(t.spark)}/zips-{uuid.uuid4().hex}"
+    files.write_zips(_entries(t).repartition(4, "entry"), where).agg(F.sum("entries")).collect()
+    found = files.read_zip_entries(t.spark, where, parts=8)
+    return found.select("entry", F.regexp_extract(F.decode("content", "UTF-8"), "http://x#([a-z]+)", 1).alias("lang"))
+
+
+@register("s03_read_xml_dir", "select count(*) as acts, true as sized, true as hashed from v_laws")
+def _(t):
+    where = f"{shared_dir(t.spark)}/xml-{uuid.uuid4().hex}"
+    t.laws.select("urn", "year").write.format("xml").option("rootTag", "acts").option("rowTag", "law").save(where)
+    found = files.read_xml_dir(t.spark, where)
+    return found.agg(F.sum(F.regexp_count("xml", F.lit("<law>"))).alias("acts"), F.min(F.col("size_bytes") > 0).alias("sized"), F.min(F.col("sha256").rlike("^[0-9a-f]{64}$")).alias("hashed"))
+
+
+@register("s11_read_catalogue", "select collection, variant, acts, created from v_catalogue")
+def _(t):
+    where = f"{shared_dir(t.spark)}/catalogue-{uuid.uuid4().hex}"
+    named = t.catalogue.select(F.when(F.col("acts") % 2 == 0, F.col("collection")).alias("nomeCollezione"), F.when(F.col("acts") % 2 == 1, F.col("collection")).alias("nome"), F.col("variant").alias("formato"), F.col("acts").alias("numeroAtti"), F.col("created").alias("dataCreazione"))
+    named.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(where)  # a catalogue has some dozen rows
+    return files.read_catalogue(t.spark, where)
+
+
+@register("s12_read_feed", "select 'Act ' || event_id as title, ts::date::varchar as pub_date, 'http://x/' || event_id as link, substring(rtrim(repeat(event_type || ' ', 40)), 1, 240) as description from events")
+def _(t):
+    where = f"{shared_dir(t.spark)}/feed-{uuid.uuid4().hex}"
+    items = t.events.select(F.concat(F.lit("Act "), "event_id").alias("title"), F.to_date("ts").cast("string").alias("pubDate"), F.concat(F.lit("http://x/"), "event_id").alias("link"), F.repeat(F.concat("event_type", F.lit(" ")), 40).alias("description"))
+    files.write_feed(items, where)
+    return files.read_feed(t.spark, where)

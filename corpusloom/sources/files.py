@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -261,3 +263,30 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     """The promoted version."""
     version = spark.read.schema("version string").json(f"{root}/CURRENT").first()["version"]
     return spark.read.parquet(f"{root}/v={version}")
+
+
+def write_zips(entries: DataFrame, folder: str) -> DataFrame:
+    """Packs (entry, content) rows into ZIP archives, one a partition, named for the attempt; returns (zip, entries)."""
+    ship(entries.sparkSession)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buffer, n = io.BytesIO(), 0
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for frame in frames:
+                for entry, content in zip(frame["entry"], frame["content"], strict=True):
+                    archive.writestr(entry, bytes(content))
+                    n += 1
+        if n:
+            system, path = fs.FileSystem.from_uri(folder)
+            system.create_dir(path, recursive=True)
+            name = f"{uuid.uuid4().hex}.zip"
+            with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+                out.write(buffer.getvalue())
+            yield pd.DataFrame({"zip": [name], "entries": [n]})
+
+    return entries.select("entry", "content").mapInPandas(pack, "zip string, entries long")
+
+
+def write_feed(items: DataFrame, path: str) -> None:
+    """Items as feed XML."""
+    items.write.mode("overwrite").format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)

@@ -31,6 +31,11 @@ def ingest(new_files: DataFrame, base_path: str, log_path: str, checkpoint: str)
     return new_files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_new(new_files: DataFrame, out: str, checkpoint: str):
+    """Appends the rows of files that no earlier run has finished, and stops."""
+    return new_files.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class _Changes(StatefulProcessor):
     """Emits (key, from, to, seq) when a key's value differs from the one before; null counts as empty."""
 
