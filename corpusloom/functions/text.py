@@ -24,6 +24,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def query_terms(query: Column) -> Column:
+    """Folded terms of a column of queries, distinct in order: runs of word characters longer than one, split at _."""
+    runs = F.regexp_extract_all(folded(query), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    parts = F.flatten(F.transform(F.filter(runs, lambda w: F.length(w) > 1), lambda w: F.split(w, "_")))
+    return F.array_distinct(F.filter(parts, lambda w: w != ""))
+
+
 def stripped(text: Column) -> Column:
     """Without white space at either end, tabs and line breaks included."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

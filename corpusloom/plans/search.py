@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
+from corpusloom.functions import text as fx
 from corpusloom.operators import search
 from corpusloom.plans.mining import LEG, STATUS
 
@@ -27,11 +28,12 @@ def ranked_sql(terms: list[str]) -> str:
 TERMS = search.query_terms("der die")
 
 
-@register("q01_query_terms", "select 'une_ part de l''Écran 5' as query, unnest(['une', 'part', 'de', 'ecran']) as term, unnest([1, 2, 3, 4]) as pos from (select count(*) from v_laws) t(n) where n > 0")
+@register("q01_query_terms", r"""with w as (select urn, list_filter(regexp_extract_all(lower(strip_accents(replace(title, ' ', '_ '))), '[\p{L}\p{N}_]+'), lambda x: length(x) > 1) as r from v_laws),
+ p as (select urn, list_filter(flatten(list_transform(r, lambda x: string_split(x, '_'))), lambda x: x <> '') as t from w), u as (select urn, unnest(t) as term, generate_subscripts(t, 1) as i from p),
+ f as (select urn, term, min(i) as i from u group by 1, 2) select urn, string_agg(term, ' ' order by i) as terms from f group by 1""")
 def _(t):
-    terms = search.query_terms("une_ part de l'Écran 5")
-    rows = t.laws.limit(1).select(F.lit("une_ part de l'Écran 5").alias("query"), F.posexplode(F.array(*map(F.lit, terms))).alias("pos", "term"))
-    return rows.select("query", "term", (F.col("pos") + 1).alias("pos"))
+    terms = fx.query_terms(F.replace("title", F.lit(" "), F.lit("_ ")))
+    return t.laws.select("urn", F.array_join(terms, " ").alias("terms")).filter("terms <> ''")
 
 
 @register("q02_search", f"with {ranked_sql(TERMS)} select urn, title, score from hits order by score desc, urn limit 50")
