@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blobs import Archive, in_batches, read_ranges, rows_of, striped
-from corpusloom.llm.common import cut, fresh_dir, stored, table, whole_text
+from corpusloom.llm.blobs import Archive, read_ranges, striped
+from corpusloom.llm.common import fresh_dir, stored, table, whole_text
 
 ROW = 192
 HEADER = 33  # signature and header chunk
 #: Fixed value: the signature of a PNG file.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SHARD_BYTES = 1 << 30
-SEEN = 200_000
+SEEN = 50_000
 
 
 def padded(data: bytes, row: int = ROW) -> bytes:
@@ -99,19 +99,19 @@ def store_media(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
                     if len(seen) >= SEEN:
                         seen.clear()
                     image = png(padded(data))
-                    digest = hashlib.sha256(image).hexdigest()
-                    info = tarfile.TarInfo(f"{digest}.png")
+                    digest = hashlib.sha256(image).digest()
+                    info = tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(image)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     name, at = shard.append(head + image + bytes(-len(image) % 512))
                     seen[key] = (digest, name, at + len(head), len(image))
                 found.append((len(data), *seen[key]))
             columns = list(zip(*found, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            types = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
         shard.close()
 
-    return stored(rows.mapInArrow(write, f"doc_id {kind}, n_bytes long, digest string, file string, offset long, length long"), "media-rows")
+    return stored(rows.mapInArrow(write, f"doc_id {kind}, n_bytes long, digest binary, file string, offset long, length long"), "media-rows")
 
 
 def places(rows: DataFrame) -> DataFrame:
@@ -120,53 +120,65 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(first).select("digest", "at.file", "at.offset", "at.length")
 
 
-def header_columns(index: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, depth by reading only the first bytes of each image."""
-    schema = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("depth", pa.int32())])
+#: Columns of an image's header and of its content: name, Arrow type, SQL type.
+HEADER_COLUMNS = [(n, pa.int32(), "int") for n in ("width", "height", "depth")]
+CONTENT_COLUMNS = [("payload_bytes", pa.int64(), "long"), ("payload_sha", pa.binary(), "binary"), ("tail_crc32", pa.int64(), "long"), ("feature", pa.string(), "string")]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for r, data in read_ranges(folder, (x | {"head": HEADER} for x in rows_of(batches)), length="head"):
-                width, height, depth = png_header(data)
-                yield {"digest": r["digest"], "width": width, "height": height, "depth": depth}
 
-        yield from in_batches(rows(), schema)
+def _header(row: dict, data: bytes) -> dict:
+    return dict(zip(("width", "height", "depth"), png_header(data), strict=True))
 
-    return striped(index).mapInArrow(read, "digest string, width int, height int, depth int")
 
+def _content(row: dict, data: bytes) -> dict:
+    if hashlib.sha256(data).digest() != row["digest"]:
+        raise ValueError(f"the stored image {row['digest'].hex()} is damaged")
+    samples = png_samples(data)
+    return {"payload_bytes": len(samples), "payload_sha": hashlib.sha256(samples).digest(), "tail_crc32": zlib.crc32(samples[-16:]), "feature": feature(samples)}
 
-def media_features(index: DataFrame, folder: str) -> DataFrame:
-    """What the stored images hold, by digest; an image that disagrees with its digest is an error."""
-    schema = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())])
+
+def _read(index: DataFrame, folder: str, header: bool, content: bool) -> DataFrame:
+    """The index's rows with what range reads of their images give: the header's, then the whole."""
+    columns = HEADER_COLUMNS * header + CONTENT_COLUMNS * content
+    ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields] + [f"{n} {t}" for n, _, t in columns])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for r, data in read_ranges(folder, rows_of(batches)):
-                if hashlib.sha256(data).hexdigest() != r["digest"]:
-                    raise ValueError(f"the stored image {r['digest']} is damaged")
-                samples = png_samples(data)
-                yield {
-                    "digest": r["digest"],
-                    "payload_bytes": len(samples),
-                    "payload_sha256": hashlib.sha256(samples).hexdigest(),
-                    "tail_crc32": zlib.crc32(samples[-16:]),
-                    "media_bytes": len(data),
-                    "feature": feature(samples),
-                }
+        for batch in batches:
+            schema = pa.schema([*batch.schema, *(pa.field(n, t) for n, t, _ in columns)])
+            for at in range(0, len(batch), 1000):
+                rows = batch.slice(at, 1000).to_pylist()
+                if header:
+                    for row in rows:
+                        row["__head"] = min(HEADER, row["length"])
+                    for row, data in read_ranges(folder, rows, length="__head"):
+                        row.update(_header(row, data))
+                if content:
+                    for row, data in read_ranges(folder, rows):
+                        row.update(_content(row, data))
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return index.mapInArrow(read, ddl)
 
-        yield from in_batches(rows(), schema)
 
-    return striped(index).mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
+def header_columns(index: DataFrame, folder: str) -> DataFrame:
+    """The index with width, height and depth, read from the first bytes of each image only."""
+    return _read(striped(index), folder, header=True, content=False)
+
+
+def media_features(index: DataFrame, folder: str, header: bool = False) -> DataFrame:
+    """The index with what the stored images hold; an image that disagrees with its digest is an error."""
+    return _read(striped(index), folder, header=header, content=True)
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Every document with its stored image's columns, read back."""
+    """Every document with its stored image's columns, read back.
+
+    Each image is visited once, in the order of the shards: its header, then the whole of it, in one stage."""
     folder = fresh_dir(docs.sparkSession, "media")
     rows = store_media(docs, folder)
-    index = cut(places(rows))
-    found = cut(media_features(index, folder).join(header_columns(index, folder), "digest"))
+    found = media_features(places(rows), folder, header=True).drop("file", "offset")
+    hexed = lambda c: F.lower(F.hex(c))
     return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "width", "height", "depth"
+        "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("digest").alias("media_sha256"), "feature", "width", "height", "depth"
     )
 
 
