@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACES, whole_text
+from corpusloom.llm.common import SPACES, cut, whole_text
 
 
 def without_spaces(text: Column) -> Column:
@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     The join back carries hashes only. Groups of many copies make a skewed join side, which Spark splits
     at run time.
     """
-    groups = duplicate_groups(docs)
+    groups = cut(duplicate_groups(docs))  # both sides of the join are then plain exchanges, which can be split
     members = _normalised(docs).select("doc_id", "n_chars", "hash128", F.sha2("norm", 256).alias("text_sha256"))
     return members.join(groups, ["hash128", "text_sha256"]).select(
         "doc_id",
