@@ -123,7 +123,7 @@ def importance(laws: DataFrame, cit: DataFrame, iterations: int = 20, damping: f
     n = nodes.count()
     out = cit.groupBy("citing_urn").agg(F.count("*").alias("degree"))
     edges = cit.select("citing_urn", "cited_urn").join(out, "citing_urn").join(nodes.withColumnRenamed("urn", "citing_urn"), "citing_urn", "left_semi")
-    edges = checkpointed(edges.join(nodes.withColumnRenamed("urn", "cited_urn"), "cited_urn", "left_semi").repartition("citing_urn"))
+    edges = checkpointed(edges.join(nodes.withColumnRenamed("urn", "cited_urn"), "cited_urn", "left_semi"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     base = F.lit((1 - damping) / max(n, 1))
     for i in range(1, iterations + 1):
