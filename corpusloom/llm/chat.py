@@ -8,9 +8,10 @@ anti-joins; the maximal ones are rendered.
 Positions and prefix sums come from two levels (PART positions each), and a long conversation is rendered as
 several rows of PART turns, so one conversation that holds a third of all rows is spread over many groups.
 
-Defined cases: turns are ordered by turn (null first), then role, then text; equal rows count once; a null role
-renders as "unknown" and a null text as nothing, and both differ from empty strings when conversations are
-compared; rows with a null conv_id are one conversation; an empty table gives no rows; other columns are ignored.
+Defined cases: turns are ordered by turn (null first), different turns of one number by their hash; equal rows
+count once; a null role renders as "unknown" and a null text as nothing, and both differ from empty strings when
+conversations are compared; rows with a null conv_id are one conversation; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,22 +32,27 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("unknown")), F.lit(MIDDLE + "\n"), body, F.lit("\n" + CLOSE + "\n"))
 
 
+def _marked(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text and two 64-bit hashes of what is said."""
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    said = [F.coalesce(c, F.lit("\x00")) for c in ("role", "text")]
+    return rows.withColumn("h1", F.xxhash64(*said)).withColumn("h2", F.xxhash64(F.lit("b"), *said))
+
+
 def prefixes(turns: DataFrame, part: int = PART) -> DataFrame:
-    """Every turn with its position from 1 and the rolling hash (a, b) of the turns up to it.
+    """Every distinct turn (conv_id, turn, h1, h2) with its position from 1 and the rolling hash (a, b) up to it.
 
     Turn numbers are dealt into ranges of `part`; positions and sums inside a range are windows over
-    (conversation, range), and ranges add up over one row each.
-    """
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
+    (conversation, range), and ranges add up over one row each. No text is shuffled."""
+    rows = _marked(turns).select("conv_id", "turn", "h1", "h2").distinct()
     rows = rows.withColumn("range", F.coalesce(F.floor(F.col("turn") / part), F.lit(-(2**53))))
-    here = Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text")
+    here = Window.partitionBy("conv_id", "range").orderBy("turn", "h1", "h2")
     rows = rows.withColumn("within", F.row_number().over(here))
     earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     sizes = sizes.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), "before")
     rows = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r"))).withColumn("position", F.col("before") + F.col("within"))
-    said = [F.col("position"), F.coalesce(F.col("role"), F.lit("\x00")), F.coalesce(F.col("text"), F.lit("\x00"))]
-    rows = rows.withColumn("ha", F.xxhash64(*said).cast("decimal(20,0)")).withColumn("hb", F.xxhash64(F.lit("b"), *said).cast("decimal(20,0)"))
+    rows = rows.withColumn("ha", F.xxhash64("position", "h1", "h2").cast("decimal(20,0)")).withColumn("hb", F.xxhash64(F.lit("b"), "position", "h1", "h2").cast("decimal(20,0)"))
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy("conv_id", "range").agg(F.sum("ha").alias("sa"), F.sum("hb").alias("sb"))
     zero = F.lit(0).cast("decimal(38,0)")
@@ -56,7 +62,7 @@ def prefixes(turns: DataFrame, part: int = PART) -> DataFrame:
     rows = rows.withColumn("a", F.sum("ha").over(upto)).withColumn("b", F.sum("hb").over(upto))
     rows = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("range") == F.col("r2")))
     return rows.select(
-        "conv_id", "turn", "role", "text", F.col("position").cast("long").alias("position"), *((F.col(x) + F.col(f"s{x}0")).cast("decimal(38,0)").alias(x) for x in ("a", "b"))
+        "conv_id", "turn", "h1", "h2", F.col("position").cast("long").alias("position"), *((F.col(x) + F.col(f"s{x}0")).cast("decimal(38,0)").alias(x) for x in ("a", "b"))
     )
 
 
@@ -67,18 +73,21 @@ def maximal(marked: DataFrame) -> DataFrame:
     whole = marked.join(lengths, F.col("conv_id").eqNullSafe(F.col("c")))
     ends = whole.filter("position = n_turns").select("conv_id", "n_turns", "a", "b")
     inner = whole.filter("position < n_turns").select("position", F.col("a").alias("pa"), F.col("b").alias("pb")).distinct()
-    longest = ends.join(inner, (F.col("n_turns") == F.col("position")) & (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
+    # equal conversations collapse before the join, so a very common one is one row in it
     first = F.min(F.struct(F.col("conv_id").isNull(), F.col("conv_id"))).alias("first")
-    return longest.groupBy("n_turns", "a", "b").agg(first, F.count("*").alias("copies")).select(F.col("first.conv_id").alias("conv_id"), "n_turns", "copies")
+    ends = ends.groupBy("n_turns", "a", "b").agg(first, F.count("*").alias("copies"))
+    longest = ends.join(inner, (F.col("n_turns") == F.col("position")) & (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
+    return longest.select(F.col("first.conv_id").alias("conv_id"), "n_turns", "copies")
 
 
 def chat_texts(turns: DataFrame, part: int = PART) -> DataFrame:
     """conv_id, n_turns, copies (equal conversations), part (from 0) and text of each maximal conversation."""
     marked = cut(prefixes(turns, part))
     kept = maximal(marked).select(F.col("conv_id").alias("c"), "n_turns", "copies")
-    rows = marked.join(kept, F.col("conv_id").eqNullSafe(F.col("c")))
-    rows = rows.withColumn("part", F.expr(f"(position - 1) div {part}"))
-    lines = F.array_sort(F.collect_list(F.struct("position", rendered(F.col("role"), F.col("text")).alias("line"))))
+    places = marked.join(kept, F.col("conv_id").eqNullSafe(F.col("c"))).select("c", F.col("turn").alias("t"), F.col("h1").alias("x1"), F.col("h2").alias("x2"), "position", "n_turns", "copies")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))
+    rows = _marked(turns).withColumn("line", rendered(F.col("role"), F.col("text"))).join(places, same).withColumn("part", F.expr(f"(position - 1) div {part}"))
+    lines = F.array_sort(F.collect_set(F.struct("position", "line")))  # equal rows count once
     return rows.groupBy("conv_id", "n_turns", "copies", "part").agg(lines.alias("lines")).select("conv_id", "n_turns", "copies", "part", F.array_join(F.col("lines.line"), "").alias("text"))
 
 
