@@ -42,9 +42,12 @@ def _(t):
     return t.spark.read.parquet(f"{where}/base/v={last}")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 @register("l02_status_changes", """with r as (select user_id::varchar as key, event_type as value, event_id as seq, lag(event_type) over (partition by user_id order by event_id) as f from events) select key, f as "from", value as "to", seq from r where f <> value""")
 def _(t):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return _finished(t, jobs.value_changes(_keyed(_stream(t))))
 
 
@@ -53,11 +56,29 @@ def _(t):
     return jobs.value_changes_batch(_keyed(t.events))
 
 
-@register("l03_tag_changes", """with r as (select collection as key, old_etag as value, id as seq, lag(old_etag) over (partition by collection order by id) as f from v_log where old_etag is not null) select key, f as "from", value as "to", seq, f is null as is_new from r where f is null or f <> value""")
+TAGS = """with r as (select collection as key, old_etag as value, id as seq, lag(old_etag) over (partition by collection order by id) as f from v_log where old_etag is not null) select key, f as "from", value as "to", seq, f is null as is_new from r where f is null or f <> value"""
+
+
+@register("l03_tag_changes", TAGS)
+def _(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    tag = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("e"), (F.col("event_id") % 9).cast("string")))
+    rows = _stream(t).select(F.concat(F.lit("coll"), (F.col("user_id") % 20).cast("string")).alias("key"), tag.alias("value"), F.col("event_id").alias("seq"))
+    return _finished(t, jobs.tag_changes(rows))
+
+
+@register("l03_tag_changes_batch", TAGS)
 def _(t):
     return jobs.tag_changes_batch(t.log.select(F.col("collection").alias("key"), F.col("old_etag").alias("value"), F.col("id").alias("seq")))
 
 
+@register("l04_activity_stream", """select date_trunc('day', ts) as start, event_type as action, count(*) as n from events group by 1, 2
+ having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 2 hours from events)""")
+def _(t):
+    rows = _stream(t).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action"))
+    return _finished(t, jobs.activity(rows)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @register("l04_activity", "select date_trunc('day', ts) as start, event_type as action, count(*) as n from events group by 1, 2")
 def _(t):
     return jobs.activity(t.events.select("ts", F.col("event_type").alias("action")))

@@ -37,33 +37,46 @@ def append_new(new_files: DataFrame, out: str, checkpoint: str):
 
 
 class _Changes(StatefulProcessor):
-    """Emits (key, from, to, seq) when a key's value differs from the one before; null counts as empty."""
+    """Emits (key, from, to, seq, is_new) when a key's value differs from the one before.
+
+    With `tags`, nulls are passed over and a key's first value is emitted as new; else null counts as empty."""
+
+    def __init__(self, tags: bool):
+        self.tags = tags
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "value string, seq long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        before = self.last.get() if self.last.exists() else None
-        value, out = (None if before is None else before[0]), []
-        seen = before is not None
-        for now, seq in zip(frame["value"].fillna(""), frame["seq"], strict=True):
-            if seen and now != value:
-                out.append((key[0], value, now, int(seq)))
+        frame = frame[frame["value"].notna()] if self.tags else frame.fillna({"value": ""})
+        seen = self.last.exists()
+        value, out = (self.last.get()[0] if seen else None), []
+        for now, seq in zip(frame["value"], frame["seq"], strict=True):
+            if (seen and now != value) or (self.tags and not seen):
+                out.append((key[0], value, now, int(seq), not seen))
             value, seen = now, True
-        self.last.update((value, int(frame["seq"].iloc[-1])))
-        yield pd.DataFrame(out, columns=["key", "from", "to", "seq"])
+        if len(frame):
+            self.last.update((value, int(frame["seq"].iloc[-1])))
+        yield pd.DataFrame(out, columns=["key", "from", "to", "seq", "is_new"])
 
     def close(self) -> None:
         pass
 
 
+CHANGES = "key string, `from` string, `to` string, seq long, is_new boolean"
+
+
 def value_changes(stream: DataFrame) -> DataFrame:
-    """Changes of each key's value in a stream of (key, value, seq): statuses of acts, version tags of collections.
+    """Changes of each key's value in a stream of (key, value, seq), such as the statuses of acts.
 
     State is one value a key, in the RocksDB state store."""
-    schema = "key string, `from` string, `to` string, seq long"
-    return stream.groupBy("key").transformWithStateInPandas(_Changes(), schema, "Append", "none")
+    return stream.groupBy("key").transformWithStateInPandas(_Changes(False), CHANGES, "Append", "none").drop("is_new")
+
+
+def tag_changes(stream: DataFrame) -> DataFrame:
+    """New and changed version tags of collections in a stream of (key, value, seq)."""
+    return stream.groupBy("key").transformWithStateInPandas(_Changes(True), CHANGES, "Append", "none")
 
 
 def value_changes_batch(rows: DataFrame) -> DataFrame:
