@@ -5,8 +5,6 @@ Sorts end in urn, so results do not depend on partitioning. Aggregates run befor
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -283,7 +281,3 @@ def graph_edges(nodes: DataFrame, cit: DataFrame) -> DataFrame:
     ids = nodes.select("id")
     rows = cit.join(ids.withColumnRenamed("id", "citing_urn"), "citing_urn", "left_semi").join(ids.withColumnRenamed("id", "cited_urn"), "cited_urn", "left_semi")
     return rows.select(F.col("citing_urn").alias("source"), F.col("cited_urn").alias("target"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
