@@ -172,8 +172,8 @@ def links(distinct: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFra
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node it reaches) for every node of the edges (a, b).
 
-    Alternating large-star and small-star (Kiveris et al. 2014), one checkpoint a round, until no edge changes.
-    Hot nodes cost a window over their neighbours' ids only in the star's minimum, which is a plain group-by.
+    Alternating large-star and small-star (Kiveris et al. 2014), one checkpoint a round, until no edge changes; the
+    rounds grow with the square of the logarithm of the nodes. The star's minimum is a plain group-by.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -199,6 +199,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = cut(components(links(classes.select("fp"), radius)))
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    names = cut(named.groupBy("root").agg(F.min("least_id").alias("component_id")))  # a plain join side, which can be split
     of_class = named.join(names, "root").select("fp", "component_id")
     return marked.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
