@@ -135,9 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(chunk)) for k in (0, 1)), *lists], ["id", "y", "buckets", "counts"])
 
     found = texts.mapInArrow(count, f"id {texts.schema['id'].dataType.simpleString()}, y int, buckets array<int>, counts array<int>").toArrow()
+    sets = []
+    for batch in found.to_batches():  # views of the batches, no copies
+        (at, buckets), (_, counts) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("buckets"), batch.column("counts")))
+        for i, (doc_id, label) in enumerate(zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+            sets.append((doc_id, buckets[at[i] : at[i + 1]], counts[at[i] : at[i + 1]], label))
     # a doc_id may repeat with several texts: a fixed order makes the training the same each time
-    order = sorted(range(len(found)), key=lambda i: (found["id"][i].as_py(), len(found["buckets"][i])))
-    sets = [(np.array(found["buckets"][i].values), np.array(found["counts"][i].values), found["y"][i].as_py()) for i in order[:sample]]
+    sets.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
+    sets = [x[1:] for x in sets[:sample]]
     return train(sets)
 
 
