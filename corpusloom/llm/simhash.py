@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, whole_text
@@ -65,16 +65,23 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
-    rows = docs.select("doc_id", whole_text().alias("text"))
+def _row_key() -> Column:
+    """256 bits of a row's doc_id and text; a null doc_id differs from all others."""
+    name = F.col("doc_id").cast("string")
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-")), whole_text()), 256))
+
+
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long); keyed: and key (_row_key)."""
+    rows = docs.select("doc_id", whole_text().alias("text"), *([_row_key().alias("key")] if keyed else []))
+    names = ["doc_id", "fp", *rows.columns[2:]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(shingle_hashes(t.as_py(), width, seed)) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names)
 
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + (", key binary" if keyed else ""))
 
 
 def covering_masks(radius: int = 4, bits: int = 64) -> np.ndarray:
@@ -204,20 +211,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """The classes (one row per fingerprint, column fp) with the root of their component."""
+    roots = cut(components(links(classes.select("fp"), radius)))
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id it reaches)."""
     marked = cut(fingerprints(docs, width, seed))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = cut(components(links(classes.select("fp"), radius)))
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))), radius)
     names = cut(named.groupBy("root").agg(F.min("least_id").alias("component_id")))  # a plain join side, which can be split
     of_class = named.join(names, "root").select("fp", "component_id")
     return marked.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each_component(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """One document of each component, with all columns: the smallest doc_id, a null last, then fingerprint and key.
+
+    Components are told apart by their root and documents by doc_id and text, so distinct documents without an id,
+    or of one id, all stay. Rows equal in both collapse in each task before texts are shuffled.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "fp", "key")).alias("first")
+    classes = cut(fingerprints(docs, width, seed, keyed=True).groupBy("fp").agg(first))
+    chosen = cut(_rooted(classes, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")))
+    rows = docs.withColumn("__key", _row_key()).groupBy("__key").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return rows.join(chosen, "__key", "left_semi").select("__row.*")
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all columns."""
-    found = near_duplicates(docs, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return left.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(whole_text()))).filter("__n = 1").drop("__n")
+    """one_of_each_component, and of rows that share a doc_id only the first by text. Rows without an id all stay."""
+    left = one_of_each_component(docs, **options)
+    own = F.when(F.col("doc_id").isNull(), _row_key())
+    return left.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", own).orderBy(whole_text()))).filter("__n = 1").drop("__n")

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from corpusloom.llm import bpe, hmm_lm, quality, simhash, substring_dedup
 from corpusloom.llm import textbytes as tb
 from tests.llm.helpers import awkward, frame, lower_ascii, with_clashes, words
@@ -177,6 +178,22 @@ def test_near_stage_keeps_one(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == sorted(n for n in names if n is not None)
 
 
+def test_near_stage_loses_no_component(spark):
+    """Distinct texts without an id, or under one id, all stay; of near or equal copies one row does."""
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(4))
+    rows = [(None, a, "en", "a", 1), (None, b, "en", "a", 1), (None, b, "en", "a", 1), (7, c, "en", "a", 1), (7, d, "en", "a", 1), (3, d.upper(), "en", "a", 1), (None, d, "en", "a", 1)]
+    docs = with_clashes(frame(spark, rows))
+    left = corpus_pipeline.near_stage(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(None, a), (None, b), (7, c), (3, d.upper())])
+    assert sorted(r["text"] for r in simhash.drop_near_duplicates(docs).collect() if r["doc_id"] is None) == sorted([a, b])
+    rows = awkward()
+    groups = brute_components({brute_fingerprint(r[1]) for r in rows})
+    kept = [brute_fingerprint(r["text"]) for r in corpus_pipeline.near_stage(spark, frame(spark, rows), SF).collect()]
+    assert len(kept) == len({min(groups[x]) for x in kept}) == len({min(g) for g in groups.values()})
+
+
 SF = "/root/testdata/sf0.01"
 
 
