@@ -23,6 +23,19 @@ def _(t):
     return am.upsert_amendments(t.amendments.filter("seq % 2 = 0"), t.amendments.filter("seq % 3 = 0")).select("urn", "amending_urn", "action", "seq", "date_effective")
 
 
+def _base_and_new(t):
+    """All amendments, and all of them with a later date: those of even seq under the same key, the others under a new one."""
+    key = F.when(F.col("seq") % 2 == 0, F.col("amending_urn")).otherwise(F.concat("amending_urn", F.lit(":bis")))
+    return t.amendments, t.amendments.withColumns({"amending_urn": key, "date_effective": F.concat(F.lit("2025"), F.expr("substring(date_effective, 5)"))})
+
+
+@register("a01_upsert_all_amendments", """with n as (select urn, case when seq % 2 = 0 then amending_urn else concat(amending_urn, ':bis') end as amending_urn, action, seq, concat('2025', substring(date_effective, 5)) as date_effective, 1 as z from v_amendments),
+ b as (select urn, amending_urn, action, seq, date_effective, 0 as z from v_amendments), r as (select *, row_number() over (partition by urn, amending_urn, action order by z desc, seq desc) as n
+ from (select * from n union all select * from b)) select urn, amending_urn, action, seq, date_effective from r where n = 1""")
+def _(t):
+    return am.upsert_amendments(*_base_and_new(t)).select("urn", "amending_urn", "action", "seq", "date_effective")
+
+
 @register("a02_timeline", "select a.date_effective, a.amending_urn, a.action, l.title as amending_title, a.seq from v_amendments a left join v_laws l on l.urn = a.amending_urn where a.urn = 'doc:7'")
 def _(t):
     return am.timeline(t.amendments, t.laws, "doc:7")

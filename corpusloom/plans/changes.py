@@ -11,6 +11,7 @@ from corpusloom.operators import changes as c
 from corpusloom.plans.mining import ERA, GOV, LEG, STATUS, TRACK
 
 NOW = dt.datetime(2024, 2, 1)
+MIDDLE = dt.datetime(2024, 1, 16)
 
 
 @register("c01_tag_diff", "select n.collection, n.tag, n.acts, o.tag as old_tag, o.tag is null as is_new from v_tags_new n left join v_tags_old o on o.collection = n.collection where n.tag is not null and (o.tag is null or o.tag <> n.tag)")
@@ -23,6 +24,20 @@ def _(t):
     return c.record_changes(t.log.filter("id % 5 = 1 and id < 200"), t.log.filter("id % 2 = 0")).select("collection", "old_etag", "new_etag")
 
 
+ALL_CHANGES = "w as (select collection, old_etag, concat(new_etag, '-', cast(id // 500 as varchar)) as new_etag, detected_at < timestamp '2024-01-16' as logged from v_log)"
+
+
+def _log_and_changes(t):
+    """The log of January's first half and the changes of all rows; the tags differ from one 500 ids to the next, so both grow."""
+    rows = t.log.withColumn("new_etag", F.concat("new_etag", F.lit("-"), F.expr("id div 500").cast("string")))
+    return rows.filter(F.col("detected_at") < F.lit(MIDDLE)), rows
+
+
+@register("c02_record_all_changes", f"""with {ALL_CHANGES} select distinct collection, old_etag, new_etag from w n where not exists (select 1 from w o where o.logged and o.collection is not distinct from n.collection and o.old_etag is not distinct from n.old_etag and o.new_etag is not distinct from n.new_etag)""")
+def _(t):
+    return c.record_changes(*_log_and_changes(t)).select("collection", "old_etag", "new_etag")
+
+
 @register("c03_pending", "select id, collection, json_extract_string(preview_data, '$.k') as k from v_log where status = 'pending'")
 def _(t):
     return c.pending(t.log, "k string").select("id", "collection", F.col("preview.k").alias("k"))
