@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,17 +183,31 @@ def history_gap(laws: DataFrame, ratios: dict[str, float] | None = None, default
 def budget_select(items: DataFrame, budget: float, group: str = "grp") -> DataFrame:
     """Items in order of priority: taken if they fit what is left of the group's budget, else skipped with a reason.
 
-    A fold over each group's list of candidates, which is short by nature."""
-    listed = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("priority", "name", "size"))).alias("items"))
-    start = F.struct(F.lit(float(budget)).alias("left"), F.array().cast("array<struct<name:string,size:double,included:boolean,reason:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["size"] <= acc["left"]
-        row = F.struct(x["name"].alias("name"), x["size"].alias("size"), fits.alias("included"), F.when(~fits, F.format_string("exceeds budget (%.2f > %.2f)", x["size"], acc["left"])).otherwise("").alias("reason"))
-        return F.struct(F.when(fits, acc["left"] - x["size"]).otherwise(acc["left"]).alias("left"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    done = listed.select(group, F.aggregate("items", start, step).alias("a"))
-    return done.select(group, F.round("a.left", 6).alias("remaining"), F.posexplode("a.out").alias("pos", "i")).select(group, "remaining", "pos", "i.*")
+    A group's rows pass as a sorted stream; what is held is one remaining budget, not the group."""
+    rows = items.select(F.col(group).alias("g"), "priority", "name", F.col("size").cast("double").alias("size"))
+    rows = rows.repartition("g").sortWithinPartitions("g", "priority", "name", "size")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left, pos = fold, 0.0, 0  # no group yet
+        for batch in batches:
+            places, before, after = [], [], []
+            for key, size in zip(batch["g"].to_pylist(), batch["size"].to_pylist(), strict=True):
+                if key != at:
+                    at, left, pos = key, float(budget), 0
+                places.append(pos)
+                before.append(left)
+                left, pos = left - size if size is not None and size <= left else left, pos + 1
+                after.append(left)
+            kept = [batch["g"], batch["name"], batch["size"]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(places, pa.int32()), pa.array(before, pa.float64()), pa.array(after, pa.float64())], ["g", "name", "size", "pos", "left", "rest"])
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    done = rows.mapInArrow(fold, f"g {kind['g']}, name {kind['name']}, size double, pos int, `left` double, rest double")
+    last = done.groupBy(F.col("g").alias("of")).agg(F.round(F.max_by("rest", "pos"), 6).alias("remaining"))
+    fits = F.col("size") <= F.col("left")
+    reason = F.when(~fits, F.format_string("exceeds budget (%.2f > %.2f)", "size", "left")).otherwise("")
+    done = done.join(last, F.col("g").eqNullSafe(F.col("of")))
+    return done.select(F.col("g").alias(group), "remaining", "pos", "name", "size", fits.alias("included"), reason.alias("reason"))
 
 
 def variant_ratios(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries in which every row of the tables takes part."""
 
 from corpusloom import catalog
+from corpusloom.operators import reports
 from corpusloom.plans.adapters import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +26,21 @@ def test_every_amendment_takes_part(spark):
     found = {(r[0], r[1], r[2]): (r[3], r[4]) for r in catalog.queries()["a01_upsert_all_amendments"](spark, SF).collect()}
     assert found == want
     assert {seq % 6 for seq, _ in found.values()} == set(range(6)) and {date[:4] for _, date in found.values()} == {"2024", "2025"}
+
+
+def test_budget_of_a_long_group_is_no_array(spark):
+    """One group of more rows than an Arrow batch, one small and one null, against a plain fold."""
+    items = [("a" if i % 50 else ("b" if i % 100 else None), i * 7919 % 30011, f"n{i}", float(i % 13)) for i in range(30011)]
+    found = reports.budget_select(spark.createDataFrame(items, "grp string, priority long, name string, size double"), 60000)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    left, places, want = {}, {}, {}
+    for group, _, name, size in sorted(items, key=lambda x: x[1]):
+        before = left.get(group, 60000.0)
+        fits = size <= before
+        places[group] = places.get(group, -1) + 1
+        want[name] = (group, places[group], size, fits, "" if fits else f"exceeds budget ({size:.2f} > {before:.2f})")
+        left[group] = before - size if fits else before
+    rows = found.collect()
+    assert found.columns == ["grp", "remaining", "pos", "name", "size", "included", "reason"] and len(rows) == len(items)
+    assert {r["name"]: (r["grp"], r["pos"], r["size"], r["included"], r["reason"]) for r in rows} == want
+    assert {r["grp"]: r["remaining"] for r in rows} == left and any(not r["included"] for r in rows)
