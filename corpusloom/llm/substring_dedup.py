@@ -1,59 +1,70 @@
 """Removal of passages that an earlier document has, exact at the level of 50-word windows.
 
-1. Anchors. Every window of 50 words has an anchor: its 8-word phrase with the least hash (winnowing; the last
-   of equals). Equal windows have equal anchors. Consecutive windows with one anchor form a segment; there is
-   about one for 22 words. A segment is known by its anchor's hash and a hash of all its words, 128 bits.
-2. Equal segments. The smallest doc_id of each distinct segment owns it; every other document loses all of
-   its windows. Copies thus cost one aggregation, however many there are.
-3. Recurring phrases. An anchor that recurs in several documents with different segments around it is
-   contested: parts of its segments may be equal. The phrases of contested anchors are compiled into
-   Aho-Corasick automata, one for each batch of documents that own such segments (so that automata stay
-   bounded and follow the data), and these documents stream through them to locate every occurrence. The
-   windows at the located anchors are compared across the distinct segments.
-4. The windows of a segment that go are one bit each in a long. Each document gets its segments' bits and
-   drops the words they cover.
-
-Nothing is sampled or capped. Hashes of equal content decide (128 bits for segments and windows).
+1. Confirm. Every window of 50 words has an anchor: its 8-word phrase with the least hash (winnowing; the last of
+   equals). Equal windows have equal anchors, so a passage of 50 words or more that recurs across documents has an
+   anchor in each of them. One aggregation over (phrase, doc_id) confirms the phrases that are anchors in two
+   documents or more.
+2. Compile. The confirmed phrases are dealt by hash into shards of about SHARD; a task compiles each shard's
+   Aho-Corasick automaton and stores it in the shared folder. A word is two letters of an automaton's text (8 bits of
+   its hash), so a phrase is 16 letters, whatever language or length its words have.
+3. Locate. All documents stream through all automata, in blocks of BLOCK words, each automaton being loaded once for
+   a block. Only where a phrase is located can windows be anchored: consecutive windows with one located anchor form a
+   segment, and a document without any is done. Nothing else decides which windows are compared.
+4. Compare. A segment is known by a hash of its anchor and a hash of all its words, 128 bits. The smallest doc_id of
+   each distinct segment owns it; every other document loses all of its windows. Distinct segments of one anchor are
+   compared window by window, by (anchor, window) hashes, again 128 bits.
+5. Remove. Each document gets its segments' bits, one a window, and drops the words they cover.
+
+The letters only locate: two phrases with the same letters cost a comparison and never a word. Nothing is sampled or
+capped. The automata's work is documents times shards, and the shards follow the confirmed phrases; loading one costs
+about a third of a second a block.
 
 Defined cases: a null or empty text has no words; texts under 50 words lose nothing; a null doc_id neither
-loses words nor takes them from others; rows that share a doc_id do not take words from each other; other
-columns are ignored.
+loses words nor takes them from others; rows that share a doc_id (repeated rows, too) do not take words from each
+other; of equal windows the smallest doc_id's stays, wherever in its text; a text longer than a block is a block of
+its own, so memory follows the longest text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textbytes as tb
-from corpusloom.llm.common import cut, stored, whole_text
+from corpusloom.llm.common import cut, fresh_dir, stored, whole_text
 
 PHRASE = 8
+#: Confirmed phrases of one automaton (about 100 MB) and words that stream through it at a time.
+SHARD = 250_000
+BLOCK = 2_000_000
 
 
 @dataclass
-class Segments:
-    """Segments of a run of texts: first window, number of windows, anchor's word, anchor's hash, content's hash."""
+class Anchored:
+    """Runs of windows that share an anchor: first window, number of windows, the anchor's word and hash, by text."""
 
     first: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
-    anchor_hash: np.ndarray
-    content: np.ndarray
+    hashes: np.ndarray
+    owner: np.ndarray
 
     @staticmethod
-    def of(words: np.ndarray, per_text: np.ndarray, window: int) -> Segments:
-        none = np.empty(0, np.int64)
+    def of(words: np.ndarray, per_text: np.ndarray, window: int) -> Anchored:
         last = len(words) - window + 1
         if last < 1:
-            return Segments(none, none, none, none.view(np.uint64), none.view(np.uint64))
+            none = np.empty(0, np.int64)
+            return Anchored(none, none, none, none.view(np.uint64), none)
         phrases = tb.run_hashes(words, PHRASE)
         chosen = tb.sliding_argmin(phrases, window - PHRASE + 1)
         text = np.repeat(np.arange(len(per_text)), per_text)
@@ -62,9 +73,13 @@ class Segments:
         new = np.ones(len(at), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         starts = np.flatnonzero(new)
-        windows = np.diff(np.concatenate([starts, [len(at)]]))
-        first, anchor = at[starts], anchor[starts]
-        return Segments(first, windows, anchor, phrases[anchor], tb.range_hashes(words, first, first + windows + window - 1))
+        anchor = anchor[starts]
+        return Anchored(at[starts], np.diff(np.concatenate([starts, [len(at)]])), anchor, phrases[anchor], text[at[starts]])
+
+    def at(self, hit: np.ndarray) -> Anchored:
+        """Those whose anchor's word is marked."""
+        take = np.flatnonzero(hit[self.anchor])
+        return Anchored(self.first[take], self.windows[take], self.anchor[take], self.hashes[take], self.owner[take])
 
 
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,124 +88,196 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tb.span_hashes(raw, starts, ends), tb.words_per_text(starts, offsets)
 
 
+def phrase_keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A phrase's letters as one number: the low bytes of its words' hashes."""
+    low = words.astype(np.uint8)
+    return np.stack([low[at + k] for k in range(PHRASE)], axis=1).view("<i8").ravel() if len(at) else np.empty(0, np.int64)
+
+
+def letters(low: np.ndarray) -> str:
+    """Two letters a word; first and second ones differ, so phrases are only found where words begin."""
+    return np.stack([65 + (low >> 4), 97 + (low & 15)], axis=1).astype(np.uint8).tobytes().decode("ascii")
+
+
+def automaton_of(keys: Iterable[int]) -> ahocorasick.Automaton:
+    """An Aho-Corasick automaton of phrases."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    text = letters(np.array(list(keys), dtype="<i8").view(np.uint8))
+    for at in range(0, len(text), 2 * PHRASE):
+        automaton.add_word(text[at : at + 2 * PHRASE], 1)
+    automaton.make_automaton()
+    return automaton
+
+
+def located(automaton: ahocorasick.Automaton, text: str) -> np.ndarray:
+    """The words at which a phrase of the automaton starts, in every occurrence."""
+    if not len(automaton):
+        return np.empty(0, np.int64)
+    return (np.fromiter((end for end, _ in automaton.iter(text)), dtype=np.int64) + 1) // 2 - PHRASE
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, version (tells rows of one doc_id apart) and text."""
     return docs.select("doc_id", whole_text().alias("text")).select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def segments(rows: DataFrame, window: int) -> DataFrame:
-    """Every segment: doc_id, version, anchor, content, first (word in its document), windows, place (anchor's word)."""
+def recurring_phrases(rows: DataFrame, window: int) -> DataFrame:
+    """The phrases (column phrase) that are anchors in several documents."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in tb.text_chunks(batch.column(2)):
+            for row, texts in tb.text_chunks(batch.column(1)):
                 words, per_text = _word_hashes(texts)
-                found = Segments.of(words, per_text, window)
-                begins = np.cumsum(per_text) - per_text
-                owner = np.searchsorted(np.cumsum(per_text), found.first, side="right")
-                take = pa.array(owner + row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(take),
-                        batch.column(1).take(take),
-                        pa.array(found.anchor_hash.view(np.int64)),
-                        pa.array(found.content.view(np.int64)),
-                        pa.array((found.first - begins[owner]).astype(np.int32)),
-                        pa.array(found.windows.astype(np.int32)),
-                        pa.array((found.anchor - begins[owner]).astype(np.int32)),
-                    ],
-                    ["doc_id", "version", "anchor", "content", "first", "windows", "place"],
-                )
-
-    return rows.mapInArrow(scan, f"doc_id {kind}, version long, anchor long, content long, first int, windows int, place int")
-
-
-def automaton_of(phrases: set[str]) -> ahocorasick.Automaton:
-    """An Aho-Corasick automaton of phrases, each between blanks."""
-    automaton = ahocorasick.Automaton()
-    for phrase in phrases:
-        automaton.add_word(f" {phrase} ", len(phrase))
-    automaton.make_automaton()
-    return automaton
+                found = Anchored.of(words, per_text, window)
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_keys(words, found.anchor)), batch.column(0).take(pa.array(found.owner + row))], ["phrase", "doc_id"])
 
+    pairs = rows.filter("doc_id is not null").select("doc_id", "text").mapInArrow(scan, f"phrase long, doc_id {kind}")
+    return pairs.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("phrase")
 
-def located(automaton: ahocorasick.Automaton, words: list[str]) -> np.ndarray:
-    """Indices of the words at which a phrase of the automaton starts."""
-    if not len(automaton):
-        return np.empty(0, np.int64)
-    ends = [end - length for end, length in automaton.iter(" " + " ".join(words) + " ")]
-    starts = np.cumsum([1, *(len(w) + 1 for w in words)])[:-1]
-    return np.unique(np.searchsorted(starts, np.array(ends, dtype=np.int64)))
 
+def compiled(phrases: DataFrame, folder: str, shard: int = SHARD) -> list[str]:
+    """Stores an automaton of each shard of the (checkpointed) phrases in the folder; the names of the files.
+
+    Names are unique to the attempt, and only those that Spark committed count."""
+    shards = -(-phrases.count() // shard)
+    if not shards:
+        return []
+    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard")
+
+    def compile_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+
+        def saved(keys: list[np.ndarray]) -> pa.RecordBatch:
+            name = uuid.uuid4().hex
+            with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+                out.write(pickle.dumps(automaton_of(np.concatenate(keys))))
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+        at, held = None, []  # the phrases of one shard
+        for batch in batches:
+            keys, of = batch["phrase"].to_numpy(), batch["shard"].to_numpy()
+            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
+                if len(part) and of[part[0]] != at:
+                    if held:
+                        yield saved(held)
+                    at, held = of[part[0]], []
+                held.append(keys[part])
+        if held:
+            yield saved(held)
+
+    files = stored(dealt.mapInArrow(compile_shards, "file string"), "automata")
+    return sorted(r["file"] for r in files.collect())  # a name a shard
+
+
+SEGMENT = "struct<anchor: bigint, content: bigint, first: int, windows: int, hashes: array<bigint>>"
 
-def contested_windows(rows: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
-    """Windows at located anchors: doc_id, anchor, content, offset in the segment, window (hash).
 
-    `phrases` has the words at which contested anchors start, by doc_id and version, in column anchors.
-    """
+@dataclass
+class Chunk:
+    """Some rows of a block."""
+
+    doc_id: pa.Array
+    version: pa.Array
+    texts: list[bytes]
+    words: np.ndarray
+    per_text: np.ndarray
+    anchored: Anchored
+
+    def rows(self, hit: np.ndarray, window: int, texts: bool) -> pa.RecordBatch:
+        """What streamed() returns of them, given the words at which phrases are located."""
+        found, number = self.anchored.at(hit), len(self.texts)
+        content = tb.range_hashes(self.words, found.first, found.first + found.windows + window - 1)
+        segment = np.repeat(np.arange(len(found.first)), found.windows)
+        ends = np.cumsum(found.windows)
+        at = found.first[segment] + np.arange(len(segment)) - (ends - found.windows)[segment]
+        each = pa.array(tb.range_hashes(self.words, at, at + window).view(np.int64))
+        first = found.first - (np.cumsum(self.per_text) - self.per_text)[found.owner]
+        fields = [found.hashes.view(np.int64), content.view(np.int64), first.astype(np.int32), found.windows.astype(np.int32)]
+        windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), each)
+        inner = pa.StructArray.from_arrays([*map(pa.array, fields), windows], ["anchor", "content", "first", "windows", "hashes"])
+        bounds = np.searchsorted(found.owner, np.arange(number + 1))
+        some = np.diff(bounds) > 0
+        kept = [t.decode("utf-8", "surrogatepass") if s or texts else None for t, s in zip(self.texts, some, strict=True)]
+        digests = [None if s else hashlib.sha256(b" ".join(t.split())).hexdigest() for t, s in zip(self.texts, some, strict=True)]
+        columns = [self.doc_id, self.version, pa.array(self.per_text), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), inner), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_words", "segments", "text", "digest"])
+
+
+def streamed(rows: DataFrame, folder: str, files: list[str], window: int, texts: bool = False, block: int = BLOCK) -> DataFrame:
+    """Every row after all automata: doc_id, version, n_words, segments (the located ones), text (of rows with
+    segments, or of all) and digest (SHA-256 of all words, of rows without)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    needed = rows.join(phrases, ["doc_id", "version"]).select("doc_id", "text", "anchors")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+
+        def passed(held: list[Chunk]) -> Iterator[pa.RecordBatch]:
+            text = letters(np.concatenate([c.words.astype(np.uint8) for c in held]))
+            hit = np.zeros(len(text) // 2 + 1, dtype=bool)
+            for name in files:
+                with system.open_input_stream(f"{path}/{name}", compression=None) as saved:
+                    automaton = pickle.loads(saved.read())
+                hit[located(automaton, text)] = True
+                del automaton
+            at = 0
+            for chunk in held:
+                yield chunk.rows(hit[at : at + len(chunk.words) + 1], window, texts)
+                at += len(chunk.words)
+
+        held, size = [], 0
         for batch in batches:
-            for row, texts in tb.text_chunks(batch.column(1)):
-                split = [[w.decode("utf-8", "surrogatepass") for w in t.split()] for t in texts]
-                starts = [batch.column(2)[row + i].as_py() for i in range(len(texts))]
-                automaton = automaton_of({" ".join(w[a : a + PHRASE]) for w, at in zip(split, starts, strict=True) for a in at})
-                words, per_text = _word_hashes(texts)
-                begins = np.cumsum(per_text) - per_text
-                hits = np.concatenate([np.empty(0, np.int64), *(located(automaton, w) + b for w, b in zip(split, begins, strict=True))])
-                found = Segments.of(words, per_text, window)
-                chosen = np.flatnonzero(np.isin(found.anchor, hits))
-                counts = found.windows[chosen]
-                segment = np.repeat(chosen, counts)
-                offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = found.first[segment] + offset
-                owner = np.searchsorted(np.cumsum(per_text), at, side="right")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(owner + row)),
-                        pa.array(found.anchor_hash[segment].view(np.int64)),
-                        pa.array(found.content[segment].view(np.int64)),
-                        pa.array(offset.astype(np.int32)),
-                        pa.array(tb.range_hashes(words, at, at + window).view(np.int64)),
-                    ],
-                    ["doc_id", "anchor", "content", "offset", "window"],
-                )
-
-    return needed.mapInArrow(scan, f"doc_id {kind}, anchor long, content long, offset int, window long")
-
-
-def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, version, first, bits: bit k tells that the window at word first + k goes."""
-    rows = _rows(docs).filter("doc_id is not null")
-    every = stored(segments(rows, window), "segments")
-    distinct = every.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+            for row, found in tb.text_chunks(batch.column(2)):
+                words, per_text = _word_hashes(found)
+                held.append(Chunk(*(batch.column(k).slice(row, len(found)) for k in (0, 1)), found, words, per_text, Anchored.of(words, per_text, window)))
+                size += len(words)
+                if size >= block:
+                    yield from passed(held)
+                    held, size = [], 0
+        if held:
+            yield from passed(held)
+
+    return rows.mapInArrow(scan, f"doc_id {kind}, version long, n_words long, segments array<{SEGMENT}>, text string, digest string")
+
+
+def repeated_windows(located_rows: DataFrame) -> DataFrame:
+    """doc_id, version, first, bits: bit k tells that the window at word first + k goes.
+
+    `located_rows` are those of streamed() with a doc_id."""
+    every = located_rows.select("doc_id", "version", F.explode("segments").alias("s")).select("doc_id", "version", "s.*")
+    narrow = every.select("doc_id", "version", "anchor", "content", "first", "windows")
+    distinct = cut(narrow.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")))
     anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("owner").alias("low"), F.max("last").alias("high"))
-    anchors = cut(anchors.filter("low < high"))
-    owned = cut(distinct.join(anchors, "anchor").select("anchor", "content", "owner", "last", (F.col("kinds") > 1).alias("contested")))
-    # where the owners of contested segments have them
-    contested = owned.filter("contested").select("anchor", "content", F.col("owner").alias("doc_id"))
-    phrases = every.join(contested, ["anchor", "content", "doc_id"])
-    phrases = phrases.groupBy("doc_id", "version").agg(F.collect_set("place").alias("anchors"))
-    windows = stored(contested_windows(rows, phrases, window), "windows")
+    anchors = cut(anchors.filter("kinds > 1 and low < high").select("anchor"))
+    # windows of each contested segment, as its owner has them
+    contested = cut(distinct.join(anchors, "anchor", "left_semi").select("anchor", "content", F.col("owner").alias("doc_id")))
+    windows = every.select("doc_id", "anchor", "content", "hashes").join(contested, ["anchor", "content", "doc_id"], "left_semi")
+    windows = stored(windows.select("doc_id", "anchor", "content", F.posexplode("hashes").alias("offset", "window")), "windows")
     shared = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
-    shared = cut(shared.filter("earliest < latest"))
-    lost = windows.join(shared, ["anchor", "window"]).groupBy("anchor", "content", "offset").agg(F.min("doc_id").alias("own"), F.min("earliest").alias("earliest"))
-    lost = lost.filter("earliest < own").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, offset))").alias("part"))
-    marks = owned.join(lost, ["anchor", "content"], "left").filter("owner < last or part is not null")
+    shared = cut(shared.filter("earliest < latest").drop("latest"))
+    lost = windows.join(shared, ["anchor", "window"]).filter("earliest < doc_id")
+    lost = lost.groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, offset))").alias("part"))
+    marks = distinct.join(lost, ["anchor", "content"], "left").filter("owner < last or part is not null")
     marks = cut(marks.select("anchor", "content", "owner", F.coalesce("part", F.lit(0)).alias("part")))
     whole = F.expr("shiftleft(1L, windows) - 1")
-    hit = every.join(marks, ["anchor", "content"])
+    hit = narrow.join(marks, ["anchor", "content"])
     hit = hit.select("doc_id", "version", "first", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("part")).alias("bits"))
     return hit.filter("bits <> 0")
 
 
 def without_repeats(docs: DataFrame, window: int = 50, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (the words that stay, by one blank)."""
-    marks = repeated_windows(docs, window).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
-    rows = _rows(docs).join(marks, ["doc_id", "version"], "left").select("doc_id", "text", F.expr("marks.first").alias("first"), F.expr("marks.bits").alias("bits"))
+    if not PHRASE <= window < 64 + PHRASE - 1:
+        raise ValueError("a window has 8 to 70 words: a segment's windows are the bits of a long")
+    rows = _rows(docs)
+    folder = fresh_dir(docs.sparkSession, "automata")
+    files = compiled(cut(recurring_phrases(rows, window)), folder)
+    passed = stored(streamed(rows, folder, files, window, text), "streamed")
+    hit = passed if text else passed.filter("size(segments) > 0")
+    marks = repeated_windows(passed.filter("doc_id is not null")).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
+    hit = hit.select("doc_id", "version", "text", "n_words").join(marks, ["doc_id", "version"], "left")
+    left = hit.select("doc_id", "text", F.expr("marks.first").alias("first"), F.expr("marks.bits").alias("bits"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +304,8 @@ def without_repeats(docs: DataFrame, window: int = 50, text: bool = False) -> Da
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
+    some = left.mapInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
+    if text:
+        return some
+    untouched = passed.filter("size(segments) = 0")
+    return some.unionByName(untouched.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")))

@@ -72,8 +72,43 @@ def test_substring_dedup_other_width_and_empty(spark):
 
 
 def test_automaton_finds_every_occurrence():
-    text = "a b a b a c a b".split()
-    assert substring_dedup.located(substring_dedup.automaton_of({"a b", "b a"}), text).tolist() == [0, 1, 2, 3, 6]
+    low = np.array([1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 6, 7, 8, 1], dtype=np.uint8)
+    keys = substring_dedup.phrase_keys(low.astype(np.uint64), np.array([0, 1]))
+    found = substring_dedup.located(substring_dedup.automaton_of(keys), substring_dedup.letters(low))
+    assert found.tolist() == [0, 1, 8, 9]
+    assert substring_dedup.located(substring_dedup.automaton_of([]), "Aa").tolist() == []
+
+
+def test_automata_decide(spark, monkeypatch):
+    """Without what the automata locate nothing is removed; with many shards and small blocks all of it is."""
+    docs = frame(spark, mosaic(1))
+    assert substring_dedup.without_repeats(docs).agg({"n_removed": "sum"}).first()[0] > 0
+    monkeypatch.setattr(substring_dedup, "compiled", lambda phrases, folder, shard=5, real=substring_dedup.compiled: real(phrases, folder, 5))
+    monkeypatch.setattr(substring_dedup, "streamed", lambda *a, real=substring_dedup.streamed, **k: real(*a, **k, block=100))
+    found = substring_dedup.without_repeats(docs)
+    assert Counter(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_windows(mosaic(1), 50)
+    monkeypatch.setattr(substring_dedup, "compiled", lambda phrases, folder: [])
+    assert substring_dedup.without_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_alike_in_polynomials_differ(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64."""
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    raw, _ = tb.joined([x.encode(), y.encode()])
+    starts, ends = tb.word_spans(raw)
+    assert len(set(tb.span_hashes(raw, starts, ends).tolist())) == 2
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{line} {x} {line}", "en", "a", 1), (2, f"{line} {y} {line}", "en", "a", 1)]
+    found = substring_dedup.without_repeats(frame(spark, rows))
+    assert Counter(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_windows(rows, 50)
+    rows = [(d, t, "en", "a", 1) for d, t in ((2, x), (3, y), (4, x))]
+    found = hmm_lm.hmm_scores(frame(spark, rows), rounds=1).collect()
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in found) == brute_base(rows)
 
 
 ODD = ["", "   ", "aaaaaaaa" * 9, "***!!!***" * 9, "ΟΔΥΣΣΕΥΣ", "İstanbul I don't we'LL", "a\x1cb\x1fc \x85 d", "é ﬁ", "<|endoftext|> hi<|startoftext|>there <|ENDOFTEXT|>", "日本語 12345 ½ Ⅷ", "😀👩‍👩‍👧", "\x00﻿", "Ა ⴰ", "ꟊ 𐵐"]
@@ -206,6 +241,59 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
 
 
+def slow_score(model, text):
+    """One text by plain loops: its words, repeated words, and n-grams of code points inside words with their borders."""
+    spaces = " \t\n\x0b\x0c\r"
+    found = words(text)
+
+    def bucket(word):
+        raw, _ = tb.joined([word.encode()])
+        return int(tb.span_hashes(raw, *tb.word_spans(raw))[0]) % quality.BUCKETS
+
+    def gram(points):
+        g = len(points)
+        for p in points:
+            g = (g ^ p) * 2654435761 % 2**32
+            g ^= g >> 15
+        return g % quality.BUCKETS
+
+    buckets = [bucket(w) for w in found] + [0 for a, b in zip(found, found[1:], strict=False) if a == b]
+    line = [32 if c in spaces else ord(c) for c in f" {text} "]
+    for n in (3, 4):
+        buckets += [gram(line[i : i + n]) for i in range(len(line) - n + 1) if 32 not in line[i + 1 : i + n - 1]]
+    mean = sum(int(model.weights[b]) for b in buckets) / (max(len(buckets), 1) * quality.UNIT)
+    return 1 / (1 + math.exp(-model.bias - mean))
+
+
+def test_quality_is_the_same_in_any_batch(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["", " ", "ab", "", "ab ab", "日本語 é", "ab"]
+    together = model.scores(texts)
+    assert [model.scores([t])[0] for t in texts] == together.tolist()
+    order = list(range(len(texts)))
+    random.Random(2).shuffle(order)
+    assert model.scores([texts[i] for i in order]).tolist() == together[order].tolist()
+    assert together[texts.index("")] == pytest.approx(1 / (1 + math.exp(-model.bias)), abs=1e-12)
+    for i in [*range(0, 60), *range(len(texts) - 7, len(texts))]:
+        if len(texts[i]) < 20000:
+            assert together[i] == pytest.approx(slow_score(model, texts[i]), abs=1e-12)
+
+
+def test_quality_bounds_the_sample_by_texts(spark):
+    """A doc_id of many texts and many rows alike: neither is learned from beyond the sample."""
+    rows = [(5, f"text {i % 40}", "en", "a", 1) for i in range(400)] + [(6, "other", "en", "a", 1)]
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, quality int")
+    seen = []
+    train = quality.train
+    try:
+        quality.train = lambda samples: seen.extend(samples) or train(samples)
+        quality.fit(frame(spark, rows), labels, sample=30)
+    finally:
+        quality.train = train
+    assert len(seen) <= 30
+
+
 def test_quality_does_not_read_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(200), spark.read.parquet(f"{SF}/labels.parquet")
     flipped = labels.withColumn("quality", quality.F.when(quality.held_out(), 1 - quality.F.col("quality")).otherwise(quality.F.col("quality")))
