@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.shipping import ship
+from corpusloom.sources.tables import shared_dir
 
 #: A word is a longest run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: A side of a join is broadcast up to so many bytes.
+BROADCAST = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,25 +27,6 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: spark.checkpoint.dir.
-
-    A local session without that setting (tests, notebooks) gets a folder of its own; on a cluster the
-    setting is required, since executors do not see each other's local folders.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    path = sc._jvm.org.apache.hadoop.fs.Path(found.rstrip("/"))
-    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
-
-
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
@@ -63,10 +45,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def joined_small(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
-    """Join with a side that is usually small: broadcast after its rows are counted, else shuffled.
+def joined_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST) -> DataFrame:
+    """Join with a side that is usually small: broadcast if its bytes, which are counted first, are at most `most`.
 
-    `right` must be cheap to count (checkpointed).
-    """
-    small = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if small else right, on, how)
+    Else both sides are shuffled, and each partition of `right`, whose keys are unique, becomes a hash table, so the
+    rows of `left` are not sorted. `right` must be cheap to count (checkpointed)."""
+    varied = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in right.dtypes if kind in ("string", "binary")]
+    counted = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(varied, F.lit(0))), F.lit(0)).alias("bytes")).first()
+    small = counted["n"] * 16 * len(right.columns) + counted["bytes"] <= most
+    return left.join(F.broadcast(right) if small else right.hint("shuffle_hash"), on, how)
