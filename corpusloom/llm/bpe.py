@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +50,21 @@ NEW_CAPITALS = {
     0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
 }
+#: Combining marks that the tokenizers library's normalisation table does not have. It neither reorders
+#: nor composes them, so they stand like letters between what is before and after them.
+NEW_MARKS = [
+    (0x07FD, 0x07FD), (0x0898, 0x089F), (0x08CA, 0x08D3), (0x09FE, 0x09FE), (0x0C3C, 0x0C3C), (0x0D3B, 0x0D3C), (0x0EBA, 0x0EBA),
+    (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF),
+    (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A),
+    (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
+    (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+#: The tables above complete this version of the interpreter's data, and a regex module that knows letters of Unicode
+#: 17 (the first) and none of a later version (the second is not assigned in it).
+MADE_FOR = ("15.1.0", "\U00016EA0", "\U0003347A")
 NO_RANK = np.iinfo(np.int64).max
+NEW_MARK = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEW_MARKS) + "])")
 
 
 def default_path() -> str:
@@ -64,6 +80,20 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+def normalized(text: str) -> str:
+    """NFC as the library's table has it."""
+    if text.isascii() or unicodedata.is_normalized("NFC", text) and not NEW_MARK.search(text):
+        return text
+    return "".join(unicodedata.normalize("NFC", part) for part in NEW_MARK.split(text))
+
+
+def check_tables() -> None:
+    """Warns where the interpreter's or the regex module's data are of another version than the tables here."""
+    version, last, beyond = MADE_FOR
+    if unicodedata.unidata_version != version or not regex.match(r"\p{L}", last) or regex.match(r"\p{L}", beyond):
+        warnings.warn(f"the tables of rare characters are for Unicode {version} and a regex module of Unicode 17; characters newer than Unicode 9 may be encoded otherwise", stacklevel=2)
+
+
 def newer_letters() -> str:
     """Letters and digits of the regex module that the tokenizers library's older table does not know."""
     every = "".join(chr(c) for first, last in AFTER_16 for c in range(first, last + 1))
@@ -86,6 +116,7 @@ class Vocabulary:
 
     @staticmethod
     def read(path: str) -> Vocabulary:
+        check_tables()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -177,7 +208,7 @@ class Encoder:
         self.flat, self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _words(self, text: str) -> list[str]:
-        text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        text = normalized(text)
         text = text.replace("Σ", "σ").lower()  # one character at a time: no final sigma
         rare = self.rare.findall(text)
         if not rare:

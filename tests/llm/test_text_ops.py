@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,6 +128,25 @@ def test_bpe(spark):
     assert bpe.encode_documents(frame(spark, [])).count() == 0
 
 
+def test_bpe_of_marks():
+    """Every combining mark, alone, in pairs with two accents on either side, and in mixes of scripts."""
+    encoder, reference = bpe.Encoder(bpe.Vocabulary.read(bpe.default_path())), Tokenizer.from_file(bpe.default_path())
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    texts = [f"{a}{m}{b} {a}{b}{m}x" for m in marks for a, b in (("e\u0301", "\u0323"), ("q\u0323", "\u0301"), ("", "\u0301"))]
+    rng = random.Random(4)
+    some = [*marks, *"aeou\u00e9\u0d15\u0928\u0915\u05d0\u1100\u1161\u11a8\U00011935\U00011930\U00011938 "]
+    texts += ["".join(rng.choice(some) for _ in range(12)) for _ in range(3000)]
+    want = reference.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, got, ref in zip(texts, encoder.encode(texts), want, strict=True) if got.tolist() != ref.ids]
+    assert not wrong, (len(wrong), [t.encode("unicode_escape") for t in wrong[:5]])
+
+
+def test_bpe_warns_of_other_tables(monkeypatch):
+    monkeypatch.setattr(bpe, "MADE_FOR", ("1.0", *bpe.MADE_FOR[1:]))
+    with pytest.warns(UserWarning, match="Unicode"):
+        bpe.Vocabulary.read(bpe.default_path())
+
+
 def test_bpe_forgets_words(monkeypatch):
     monkeypatch.setattr(bpe, "WORDS", 3)
     encoder = bpe.Encoder(bpe.Vocabulary.read(bpe.default_path()))
