@@ -6,12 +6,14 @@ follows its smoothed count; a class's unknown words are one token of count 0.5.
 sum log10 share(class) + log10 P_HMM(classes), where base is the smoothed unigram score and share(class) the
 class's part of the smoothed mass.
 
-* Counts. Tasks count the distinct words of their batches; a group-by on the 64-bit word hash adds them up
-  over all training texts.
-* Training. An initial model comes from a bounded sample (SEED_TEXTS texts with the smallest hash of doc_id)
-  on the driver. Each Baum-Welch round then covers every training text: tasks run scaled forward and backward
-  recursions over whole texts and emit expected counts, which Spark adds up by state and class. What reaches
-  the driver has the fixed size STATES x CLASSES.
+* Counts. Tasks count the distinct words of their batches; a group-by on the word's hash (64 bits and 32 of a second
+  hash) adds them up over all training texts.
+* Training. The states begin as clusters of classes that keep the same company: a text's signature is the mean of its
+  tokens' random signs (DIM of them for each class), tasks add up the signatures of the texts around each class, over
+  every training text, and k-means parts the class means. Each
+  Baum-Welch round then covers every training text: tasks run scaled forward and backward recursions over whole texts
+  and emit expected counts, which Spark adds up by state and class. What reaches the driver has a fixed size, a few
+  numbers a class.
 * Scoring. The scaled forward recursion gives the exact likelihood of each whole text. The HEAD most frequent
   words' counts are broadcast (fixed size); the other occurrences are joined to the count table by hash, after
   being counted per document.
@@ -21,7 +23,10 @@ that are still running.
 
 Defined cases: null counts as empty, which has the end token only; without training texts N and V are 0, the
 base of a token is log10(0.5 / 0.5) = 0 and the model is uniform; rows with a null doc_id count as training
-rows; repeated rows are counted and scored each; other columns are ignored.
+rows; repeated rows are counted and scored each, alike; words of equal counts are alike; very long texts are scored
+whole, about 100 bytes of memory a word; an empty table gives no rows; other columns are ignored.
+
+Scores are computed in double precision; expected counts of the training are kept in single precision.
 """
 
 from __future__ import annotations
@@ -41,16 +46,18 @@ from corpusloom.llm.quality import held_out
 STATES = 8
 CLASSES = 4096
 END = CLASSES
-SEED_TEXTS = 256
+DIM = 16
+#: At the start a class belongs to its cluster by OWN, and a state goes on with STAY to 1 for each other one.
+OWN, STAY = 0.7, 1000
 HEAD = 65536
 #: Fixed value: the hash that stands for the end token.
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
-CHUNK = 12_000_000
+CHUNK = 8_000_000
 
 
-def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens and the number of tokens of each text; every text ends with the end token."""
-    found, numbers, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens, 32 bits of a second hash, and the number of tokens of each text; each ends with the end token."""
+    found, tails, numbers, at = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
     while at < len(texts):  # pieces that fit a processor's cache
         stop, size = at, 0
         while stop < len(texts) and (stop == at or size < 500_000):
@@ -60,13 +67,14 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         starts, ends = tb.word_spans(raw)
         counts = tb.words_per_text(starts, offsets)
         found.append(np.insert(tb.span_hashes(raw, starts, ends), np.cumsum(counts), END_HASH))
+        tails.append(np.insert(tb.span_hashes(raw, starts, ends, 1).astype(np.uint32).view(np.int32), np.cumsum(counts), 0))
         numbers.append(counts + 1)
         at = stop
-    return np.concatenate(found), np.concatenate(numbers)
+    return np.concatenate(found), np.concatenate(tails), np.concatenate(numbers)
 
 
 def classes_of(tokens: np.ndarray) -> np.ndarray:
-    return np.where(tokens == END_HASH, END, (tokens >> np.uint64(20)) % np.uint64(CLASSES)).astype(np.int64)
+    return np.where(tokens == END_HASH, END, (tokens >> np.uint64(20)) % np.uint64(CLASSES)).astype(np.int32)
 
 
 @dataclass
@@ -85,9 +93,13 @@ class Side:
         steps = int(length[0]) if len(length) else 0
         running = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")  # texts of at least t tokens
         cuts = np.concatenate([[0], np.cumsum(running)])
-        step = np.repeat(np.arange(steps), running)
-        column = np.arange(cuts[-1]) - cuts[step]
-        return Side(order, classes[begins[column] + step], cuts)
+        at = begins[Side(order, classes, cuts).columns()]
+        at += np.repeat(np.arange(steps), running)
+        return Side(order, classes[at], cuts)
+
+    def columns(self) -> np.ndarray:
+        """Which sequence each place is of."""
+        return np.arange(self.cuts[-1]) - np.repeat(self.cuts[:-1], np.diff(self.cuts))
 
 
 @dataclass
@@ -96,49 +108,41 @@ class Hmm:
     moves: np.ndarray
     emits: np.ndarray  # (classes + 1, states)
 
-    def forward(self, side: Side, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """log10 likelihood by column, and if asked for the scaled forward values and their scales."""
-        steps = len(side.cuts) - 1
-        n = int(side.cuts[1]) if steps else 0
-        total = np.zeros(n)
+    def forward(self, side: Side, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """log10 likelihood by column, if asked for the scaled forward values, and their scales."""
+        n = int(side.cuts[1]) if len(side.cuts) > 1 else 0
         alpha = np.empty((len(side.classes), len(self.start)), np.float32) if keep else None
         scales = np.empty(len(side.classes))
-        moves, emits, ones = self.moves.astype(np.float32), self.emits.astype(np.float32), np.ones(len(self.start), np.float32)
-        now = np.tile(self.start.astype(np.float32), (n, 1))
-        cuts = side.cuts.tolist()
+        now = np.tile(self.start, (n, 1))
+        ones, cuts = np.ones(len(self.start)), side.cuts.tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a:
-                now = now[: b - a] @ moves
-            now *= emits[side.classes[a:b]]
+                now = now[: b - a] @ self.moves
+            now *= self.emits[side.classes[a:b]]
             scale = now @ ones
             now /= scale[:, None]
             scales[a:b] = scale
             if keep:
                 alpha[a:b] = now
-        column = np.arange(len(side.classes)) - np.repeat(side.cuts[:-1], np.diff(side.cuts))
-        total += np.bincount(column, weights=np.log10(scales), minlength=n)
-        return total, alpha, scales
+        return np.bincount(side.columns(), weights=np.log10(scales), minlength=n), alpha, scales
 
     def expected(self, side: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Baum-Welch counts: starts, moves, emissions; and the log10 likelihood."""
         k = len(self.start)
         total, alpha, scales = self.forward(side, keep=True)
-        starts, moves, gamma = np.zeros(k), np.zeros((k, k)), np.empty_like(alpha)
-        beta = np.empty((0, k), np.float32)
-        back, emits, over = self.moves.T.astype(np.float32), self.emits.astype(np.float32), (1 / scales).astype(np.float32)
+        moves, beta, back = np.zeros((k, k)), np.empty((0, k)), self.moves.T
         cuts = side.cuts.tolist()
         for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
-            here = np.ones((b - a, k), np.float32)
+            here = np.ones((b - a, k))
             if len(beta):
                 here[: len(beta)] = beta @ back
                 moves += alpha[a : a + len(beta)].T @ beta
-            np.multiply(alpha[a:b], here, out=gamma[a:b])
+            alpha[a:b] *= here  # from here on the share of each state
             beta = here
-            beta *= emits[side.classes[a:b]]
-            beta *= over[a:b, None]
-        if len(side.cuts) > 1:
-            starts = gamma[: side.cuts[1]].sum(axis=0)
-        emits = np.stack([np.bincount(side.classes, weights=gamma[:, s], minlength=CLASSES + 1) for s in range(k)], axis=1)
+            beta *= self.emits[side.classes[a:b]]
+            beta /= scales[a:b, None]
+        starts = alpha[: side.cuts[1]].sum(axis=0, dtype=np.float64) if len(side.cuts) > 1 else np.zeros(k)
+        emits = np.stack([np.bincount(side.classes, weights=alpha[:, s], minlength=CLASSES + 1) for s in range(k)], axis=1)
         return starts, moves * self.moves, emits, float(total.sum())
 
     @staticmethod
@@ -151,24 +155,30 @@ class Hmm:
         return Hmm(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0, keepdims=True))
 
 
-def seed_model(sequences: list[np.ndarray], states: int = STATES, rounds: int = 12, seed: int = 11) -> Hmm:
-    """A first model: states start at texts far apart, then Baum-Welch on the sample, over whole texts."""
-    rng = np.random.default_rng(seed)
-    sequences = [s for s in sequences if len(s) > 1]
-    if not sequences:
+def first_model(company: np.ndarray, states: int = STATES, rounds: int = 20) -> Hmm:
+    """States as clusters of classes by the texts they are in: rows of company_sums(), one a class.
+
+    k-means weighted by the classes' counts, from centres far apart; what of a class is not its cluster's is shared by
+    all of them."""
+    counts = company[:, 0]
+    if not counts.sum():
         return Hmm.from_counts(np.ones(states), np.ones((states, states)), np.ones((CLASSES + 1, states)))
-    shares = np.stack([np.sqrt(np.bincount(s, minlength=CLASSES + 1) / len(s)) for s in sequences])
-    picked = [int(np.argmax([len(s) for s in sequences]))]
-    while len(picked) < states:
-        picked.append(int(np.argmin((shares @ shares[picked].T).max(axis=1))))
-    overall = np.bincount(np.concatenate(sequences), minlength=CLASSES + 1)
-    emits = np.stack([0.5 * shares[i] ** 2 * overall.sum() + 0.5 * overall * rng.uniform(0.9, 1.1, CLASSES + 1) for i in picked], axis=1)
-    model = Hmm.from_counts(np.ones(states), np.eye(states) * 20 + 1, emits)
-    side = Side.of(np.concatenate(sequences), np.array([len(s) for s in sequences]))
+    means = company[:, 1:] / np.maximum(counts, 1)[:, None]
+    means -= counts @ means / counts.sum()
+    weight = np.sqrt(counts)
+    centres = [means[np.argmax(weight * (means**2).sum(axis=1))]]
+    while len(centres) < states:
+        apart = ((means[:, None] - np.array(centres)) ** 2).sum(axis=2).min(axis=1)
+        centres.append(means[np.argmax(weight * apart)])
+    centres = np.array(centres)
     for _ in range(rounds):
-        starts, moves, emits, _ = model.expected(side)
-        model = Hmm.from_counts(starts, moves, emits)
-    return model
+        own = ((means[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        size = np.bincount(own, weights=counts, minlength=states)
+        sums = np.stack([np.bincount(own, weights=counts * means[:, d], minlength=states) for d in range(means.shape[1])], axis=1)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+    share = np.full((len(counts), states), (1 - OWN) / states)
+    share[np.arange(len(counts)), own] += OWN
+    return Hmm.from_counts(np.ones(states), np.eye(states) * STAY + 1, counts[:, None] * share)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -176,15 +186,52 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """word (hash) and n over the given texts."""
+    """word, tail (hashes) and n over the given texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, chunk in tb.text_chunks(batch.column(0), CHUNK):
-                words, n = np.unique(tokens_of(chunk)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+                words, tails, _ = tokens_of(chunk)
+                order = np.argsort(words, kind="stable")
+                words, tails = words[order], tails[order]
+                first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (tails[1:] != tails[:-1])]))
+                n = np.diff(np.concatenate([first, [len(words)]]))
+                yield pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int64)), pa.array(tails[first]), pa.array(n)], ["word", "tail", "n"])
+
+    return texts.select("text").mapInArrow(count, "word long, tail int, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
+
 
-    return texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def company_sums(texts: DataFrame, dim: int = DIM, seed: int = 11) -> np.ndarray:
+    """For each class its count and, summed over its occurrences, the mean of its text's random signs, `dim` a class.
+
+    All given texts count; a row a class reaches the driver."""
+    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (CLASSES + 1, dim))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((CLASSES + 1, 1 + dim))
+        for batch in batches:
+            for _, chunk in tb.text_chunks(batch.column(0)):
+                sums += company(chunk, signs)
+        there = np.flatnonzero(sums[:, 0])
+        values = pa.FixedSizeListArray.from_arrays(pa.array(sums[there].ravel()), 1 + dim).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), values], ["at", "sums"])
+
+    rows = texts.select("text").mapInArrow(add, "at int, sums array<double>")
+    out = np.zeros((CLASSES + 1, 1 + dim))
+    for at, *values in rows.groupBy("at").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(1 + dim))).toPandas().itertuples(index=False):
+        out[at] = values
+    return out
+
+
+def company(texts: list[bytes], signs: np.ndarray) -> np.ndarray:
+    """What company_sums() adds up, of some texts."""
+    tokens, _, lengths = tokens_of(texts)
+    classes, text = classes_of(tokens), np.repeat(np.arange(len(texts)), lengths)
+    parts = [np.bincount(classes, minlength=CLASSES + 1)]
+    for column in signs.T:
+        mean = np.bincount(text, weights=column[classes], minlength=len(texts)) / lengths
+        parts.append(np.bincount(classes, weights=mean[text], minlength=CLASSES + 1))
+    return np.stack(parts, axis=1)
 
 
 def baum_welch(texts: DataFrame, model: Hmm) -> Hmm:
@@ -196,7 +243,7 @@ def baum_welch(texts: DataFrame, model: Hmm) -> Hmm:
         starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES + 1, states))
         for batch in batches:
             for _, chunk in tb.text_chunks(batch.column(0), CHUNK):
-                tokens, counts = tokens_of(chunk)
+                tokens, _, counts = tokens_of(chunk)
                 s, m, e, _ = shared.value.expected(Side.of(classes_of(tokens), counts))
                 starts, moves, emits = starts + s, moves + m, emits + e
         for kind, values in (("start", starts[None, :]), ("move", moves), ("emit", emits)):
@@ -217,7 +264,7 @@ class Fitted:
     shares: np.ndarray  # log10 of each class's share of the smoothed mass
     train_tokens: int
     vocabulary: int
-    head: tuple[np.ndarray, np.ndarray]  # sorted hashes of frequent words and their counts
+    head: tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted hashes of frequent words, their second ones and counts
 
     def unit(self) -> float:
         return self.train_tokens + 0.5 * (self.vocabulary + 1)
@@ -238,19 +285,9 @@ def frequent_words(counts: DataFrame, most: int | None = None) -> DataFrame:
     return counts.filter(F.lit(False) if least is None else F.floor(F.log2("n") * 16) >= least)
 
 
-def fit(texts: DataFrame, counts: DataFrame, rounds: int = 2, seed_texts: int = SEED_TEXTS) -> Fitted:
+def fit(texts: DataFrame, counts: DataFrame, rounds: int = 2) -> Fitted:
     """The model from the training texts and their token counts (a checkpointed table)."""
-    # ids first, so that no task or driver sees more texts than the sample's; then a broadcast of seed_texts rows
-    picked = texts.select("doc_id").filter("doc_id is not null").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(seed_texts).distinct()
-    sample = texts.join(F.broadcast(picked), "doc_id", "left_semi").select("text")
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [classes_of(tokens_of([t.as_py().encode("utf-8", "surrogatepass")])[0]).astype(np.int16) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int16()))], ["classes"])
-
-    found = sample.mapInArrow(classes, "classes array<smallint>").toArrow()["classes"]
-    hmm = seed_model(sorted((np.array(x.values, dtype=np.int64) for x in found), key=lambda x: (len(x), x.tobytes())))
+    hmm = first_model(company_sums(texts))
     for _ in range(rounds):
         hmm = baum_welch(texts, hmm)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -260,8 +297,8 @@ def fit(texts: DataFrame, counts: DataFrame, rounds: int = 2, seed_texts: int =
         mass[at] = float(value)
     mass[:CLASSES] += 0.5  # for the class's unknown words, which are one token
     mass[END] = max(mass[END], 1e-300)
-    head = frequent_words(counts).toPandas().sort_values("word")
-    fitted = Fitted(hmm, np.zeros(0), int(total[0]), int(total[1]), (head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
+    head = frequent_words(counts).toPandas().sort_values(["word", "tail"])
+    fitted = Fitted(hmm, np.zeros(0), int(total[0]), int(total[1]), tuple(head[c].to_numpy(kind) for c, kind in (("word", np.int64), ("tail", np.int32), ("n", np.int64))))
     fitted.shares = np.log10(mass / fitted.unit())
     return fitted
 
@@ -274,11 +311,11 @@ def scores(texts: DataFrame, counts: DataFrame, fitted: Fitted) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        words_of_head, counts_of_head = model.head
+        words_of_head, tails_of_head, counts_of_head = model.head
         unit = np.log10(model.unit())
         for batch in batches:
             for row, chunk in tb.text_chunks(batch.column(2), CHUNK):
-                tokens, lengths = tokens_of(chunk)
+                tokens, tails, lengths = tokens_of(chunk)
                 classes = classes_of(tokens)
                 side = Side.of(classes, lengths)
                 likelihood = np.empty(len(chunk))
@@ -287,19 +324,17 @@ def scores(texts: DataFrame, counts: DataFrame, fitted: Fitted) -> DataFrame:
                 likelihood -= np.bincount(text, weights=model.shares[classes], minlength=len(chunk))
                 signed = tokens.view(np.int64)
                 at = np.minimum(np.searchsorted(words_of_head, signed), max(len(words_of_head) - 1, 0))
-                frequent = words_of_head[at] == signed if len(words_of_head) else np.zeros(len(tokens), bool)
+                frequent = (words_of_head[at] == signed) & (tails_of_head[at] == tails) if len(words_of_head) else np.zeros(len(tokens), bool)
                 base = np.bincount(text[frequent], weights=np.log10(counts_of_head[at[frequent]] + 0.5) - unit, minlength=len(chunk))
                 known = np.bincount(text[frequent], minlength=len(chunk))
-                rare = ~frequent
-                if rare.any():
-                    pairs = np.stack([text[rare], signed[rare]])
-                    order = np.lexsort(pairs[::-1])
-                    pairs = pairs[:, order]
-                    first = np.flatnonzero(np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)]))
-                    rare_text, rare_word = pairs[0, first], pairs[1, first]
-                    rare_n = np.diff(np.concatenate([first, [pairs.shape[1]]]))
-                else:
-                    rare_text = rare_word = rare_n = np.empty(0, np.int64)
+                rare = np.flatnonzero(~frequent)
+                rare = rare[np.lexsort((tails[rare], signed[rare], text[rare]))]
+                key = np.stack([text[rare], signed[rare], tails[rare]])
+                new = np.ones(len(rare), dtype=bool)
+                new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+                first = np.flatnonzero(new)
+                rare_text, rare_word, rare_tail = key[:, first]
+                rare_n = np.diff(np.concatenate([first, [len(rare)]]))
                 ends = np.searchsorted(rare_text, np.arange(len(chunk) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -309,23 +344,24 @@ def scores(texts: DataFrame, counts: DataFrame, fitted: Fitted) -> DataFrame:
                         pa.array(base),
                         pa.array(likelihood),
                         pa.ListArray.from_arrays(ends, pa.array(rare_word)),
+                        pa.ListArray.from_arrays(ends, pa.array(rare_tail.astype(np.int32))),
                         pa.ListArray.from_arrays(ends, pa.array(rare_n)),
                     ],
-                    ["doc_id", "held_out", "version", "n_tokens", "known", "base", "model", "words", "times"],
+                    ["doc_id", "held_out", "version", "n_tokens", "known", "base", "model", "words", "tails", "times"],
                 )
 
     fields = f"doc_id {kind}, held_out boolean, version long, n_tokens long, known long, base double, model double"
-    scanned = stored(rows.select("doc_id", "held_out", "text", "version").mapInArrow(scan, fields + ", words array<long>, times array<long>"), "scanned")
-    rare = scanned.select("doc_id", "version", F.explode(F.arrays_zip("words", "times")).alias("x"))
-    rare = rare.select("doc_id", "version", F.col("x.words").alias("word"), F.col("x.times").alias("times")).distinct()
+    scanned = stored(rows.select("doc_id", "held_out", "text", "version").mapInArrow(scan, fields + ", words array<long>, tails array<int>, times array<long>"), "scanned")
+    rare = scanned.select("doc_id", "version", F.explode(F.arrays_zip("words", "tails", "times")).alias("x"))
+    rare = rare.select("doc_id", "version", F.col("x.words").alias("word"), F.col("x.tails").alias("tail"), F.col("x.times").alias("times")).distinct()
     unit = fitted.unit()
-    joined = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    joined = rare.join(counts, ["word", "tail"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = joined.groupBy("doc_id", "version").agg(
         F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.lit(float(np.log10(unit))))).alias("rare_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
     sums = sums.select(F.col("doc_id").alias("its"), F.col("version").alias("its_version"), "rare_base", "rare_known")
-    whole = scanned.drop("words", "times").join(sums, F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("version") == F.col("its_version")), "left")
+    whole = scanned.drop("words", "tails", "times").join(sums, F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("version") == F.col("its_version")), "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
     return whole.select(
         "doc_id",

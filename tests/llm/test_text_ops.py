@@ -333,7 +333,7 @@ def test_quality_awkward(spark):
     assert quality.quality_scores(frame(spark, []), labels).count() == 0
 
 
-def brute_base(rows):
+def brute_base(rows, digits=4):
     tokens = {i: [*words(lower_ascii(r[1])), None] for i, r in enumerate(rows)}
     held = {i: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1 for i, r in enumerate(rows)}
     counts = Counter(w for i in tokens if not held[i] for w in tokens[i])
@@ -341,7 +341,7 @@ def brute_base(rows):
     out = Counter()
     for i, r in enumerate(rows):
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i])
-        out[r[0], held[i], len(tokens[i]), sum(counts[w] > 0 for w in tokens[i]), n, round(base, 4)] += 1
+        out[r[0], held[i], len(tokens[i]), sum(counts[w] > 0 for w in tokens[i]), n, round(base, digits)] += 1
     return out
 
 
@@ -354,6 +354,32 @@ def test_language_model_base(spark, monkeypatch, head):
     assert all(r["score"] < 0 for r in found)
 
 
+def test_language_model_score(spark):
+    """The query's score against a plain forward recursion of each text, with the fitted model's parameters."""
+    rows = awkward()
+    docs = frame(spark, rows)
+    texts = hmm_lm._texts(docs)
+    counts = hmm_lm.cut(hmm_lm.token_counts(texts.filter("not held_out")))
+    fitted = hmm_lm.fit(texts.filter("not held_out"), counts, 1)
+    hmm = fitted.hmm
+    want = Counter()
+    for (doc_id, _held, _n, _known, _train, base), n in brute_base(rows, digits=9).items():
+        for r in rows:
+            if r[0] == doc_id and len(words(r[1])) + 1 == _n:
+                tokens, _, _ = hmm_lm.tokens_of([(r[1] or "").encode()])
+                now, total = hmm.start.tolist(), base
+                for t, c in enumerate(hmm_lm.classes_of(tokens).tolist()):
+                    if t:
+                        now = [sum(now[i] * float(hmm.moves[i, j]) for i in range(len(now))) for j in range(len(now))]
+                    now = [x * float(e) for x, e in zip(now, hmm.emits[c], strict=True)]
+                    total += math.log10(sum(now)) - float(fitted.shares[c])
+                    now = [x / sum(now) for x in now]
+                want[doc_id, round(total, 5)] += n
+                break
+    found = hmm_lm.scores(texts, counts, fitted).collect()
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in found) == want
+
+
 def test_language_model_empty(spark):
     assert hmm_lm.hmm_scores(frame(spark, []), rounds=1).count() == 0
     assert hmm_lm.hmm_scores(frame(spark, [(1, None, "en", "a", 0)]), rounds=1).count() == 1
@@ -374,14 +400,15 @@ def test_forward_is_exact():
             for t in range(1, len(s)):
                 p *= model.moves[path[t - 1], path[t]] * model.emits[s[t], path[t]]
             total += p
-        assert value == pytest.approx(math.log10(total), rel=1e-4)
+        assert value == pytest.approx(math.log10(total), rel=1e-12)
     starts, moves, emits, _ = model.expected(side)
-    assert starts.sum() == pytest.approx(3, rel=1e-3) and moves.sum() == pytest.approx(6, rel=1e-3) and emits.sum() == pytest.approx(9, rel=1e-3)
+    assert starts.sum() == pytest.approx(3, rel=1e-6) and moves.sum() == pytest.approx(6, rel=1e-6) and emits.sum() == pytest.approx(9, rel=1e-6)
 
 
 def test_language_model_beats_its_base(spark):
-    rows = hmm_lm.hmm_scores(spark.read.parquet(f"{SF}/documents.parquet"), rounds=1).filter("held_out").collect()
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    rows = hmm_lm.hmm_scores(spark.read.parquet(f"{SF}/documents.parquet")).filter("held_out").collect()
+    gain = (sum(r["score"] for r in rows) - sum(r["base_score"] for r in rows)) / sum(r["n_tokens"] for r in rows)
+    assert gain > 0.08  # log10 per token
 
 
 def test_hash_helpers():
