@@ -8,11 +8,12 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Ranges of one file that lie closer than GAP are read at once, up to SPAN bytes.
 GAP = 1 << 16
 SPAN = 8 << 20
-#: One task reads about this much of a file.
+#: One task reads about this much at most.
 STRIPE = 64 << 20
 
 
@@ -46,14 +47,21 @@ class Archive:
             self.out = None
 
 
-def striped(index: DataFrame) -> DataFrame:
-    """The index dealt out by stripes of the files, in offset order inside each task."""
-    rows = index.selectExpr("*", f"offset div {STRIPE} as stripe")
-    return rows.repartition("file", "stripe").sortWithinPartitions("file", "offset").drop("stripe")
+def striped(index: DataFrame, stripe: int | None = None) -> DataFrame:
+    """The index dealt out by stripes of the files, in offset order inside each task.
 
+    The number of tasks comes from the bytes that the (stored) index refers to: adaptive execution would go by the
+    index's own size, and leave whole archives to a few tasks. A stripe has STRIPE bytes, or less where that would
+    leave cores without work."""
+    there = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if stripe is None:
+        stripe = max(1 << 20, min(STRIPE, there // (4 * index.sparkSession.sparkContext.defaultParallelism)))
+    rows = index.selectExpr("*", f"offset div {stripe} as stripe")
+    return rows.repartition(max(1, -(-there // stripe)), "file", "stripe").sortWithinPartitions("file", "offset").drop("stripe")
 
-def read_ranges(folder: str, rows: Iterable[dict], start: str = "offset", length: str = "length") -> Iterator[tuple[dict, bytes]]:
-    """Each row with its bytes; neighbouring ranges of sorted rows are coalesced into one read."""
+
+def read_ranges(folder: str, rows: Iterable[dict], start: str = "offset", length: str = "length", gap: int = GAP) -> Iterator[tuple[dict, bytes]]:
+    """Each row with its bytes; ranges of sorted rows that lie closer than `gap` are coalesced into one read."""
     system, path = fs.FileSystem.from_uri(folder)
     opened, name = None, None
     held: list[dict] = []
@@ -74,7 +82,7 @@ def read_ranges(folder: str, rows: Iterable[dict], start: str = "offset", length
         held.clear()
 
     for row in rows:
-        if held and (row["file"] != held[0]["file"] or row[start] > held[-1][start] + held[-1][length] + GAP or row[start] + row[length] - held[0][start] > SPAN):
+        if held and (row["file"] != held[0]["file"] or row[start] > held[-1][start] + held[-1][length] + gap or row[start] + row[length] - held[0][start] > SPAN):
             yield from flush()
         held.append(row)
     yield from flush()

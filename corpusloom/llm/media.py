@@ -5,11 +5,13 @@ A text's UTF-8 bytes, padded with blanks to a positive multiple of the row lengt
 stores a payload once however often it meets it, and of copies that several tasks stored every row refers to
 the first by (file, offset). Nothing but (digest, place) rows is shuffled: payloads never move between tasks.
 
-Metadata columns (width, height, bit depth) come from range reads of the first HEADER bytes; features come
-from reading and decoding the stored images, each once.
+Metadata columns (width, height, bit depth) come from range reads of the first HEADER bytes and of nothing else:
+headers are only read together if they lie closer than HEADER_GAP. Features come from reading and decoding the stored
+images, each once; who reads an image whole takes its header from the same bytes.
 
-Defined cases: null and empty texts are one row of blanks; equal texts share one stored image; repeated rows
-give repeated rows; an empty table gives no shard; other columns are ignored.
+Defined cases: null and empty texts are one row of blanks; equal texts share one stored image; repeated rows and
+other ties give repeated rows; a very long text is one image in memory; an empty table gives no shard; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from corpusloom.llm.common import fresh_dir, stored, table, whole_text
 
 ROW = 192
 HEADER = 33  # signature and header chunk
+HEADER_GAP = 256
 #: Fixed value: the signature of a PNG file.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SHARD_BYTES = 1 << 30
@@ -136,9 +139,8 @@ def _content(row: dict, data: bytes) -> dict:
     return {"payload_bytes": len(samples), "payload_sha": hashlib.sha256(samples).digest(), "tail_crc32": zlib.crc32(samples[-16:]), "feature": feature(samples)}
 
 
-def _read(index: DataFrame, folder: str, header: bool, content: bool) -> DataFrame:
-    """The index's rows with what range reads of their images give: the header's, then the whole."""
-    columns = HEADER_COLUMNS * header + CONTENT_COLUMNS * content
+def _read(index: DataFrame, folder: str, columns: list[tuple], *, whole: bool) -> DataFrame:
+    """The index's rows with the columns that range reads of their images give: of headers only, or of the whole."""
     ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields] + [f"{n} {t}" for n, _, t in columns])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,36 +148,34 @@ def _read(index: DataFrame, folder: str, header: bool, content: bool) -> DataFra
             schema = pa.schema([*batch.schema, *(pa.field(n, t) for n, t, _ in columns)])
             for at in range(0, len(batch), 1000):
                 rows = batch.slice(at, 1000).to_pylist()
-                if header:
+                if whole:
+                    for row, data in read_ranges(folder, rows):
+                        row.update(_header(row, data[:HEADER]), **_content(row, data))
+                else:
                     for row in rows:
                         row["__head"] = min(HEADER, row["length"])
-                    for row, data in read_ranges(folder, rows, length="__head"):
+                    for row, data in read_ranges(folder, rows, length="__head", gap=HEADER_GAP):
                         row.update(_header(row, data))
-                if content:
-                    for row, data in read_ranges(folder, rows):
-                        row.update(_content(row, data))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return index.mapInArrow(read, ddl)
+    return striped(index).mapInArrow(read, ddl)
 
 
 def header_columns(index: DataFrame, folder: str) -> DataFrame:
-    """The index with width, height and depth, read from the first bytes of each image only."""
-    return _read(striped(index), folder, header=True, content=False)
+    """The (stored) index with width, height and depth, read from the first bytes of each image only."""
+    return _read(index, folder, HEADER_COLUMNS, whole=False)
 
 
-def media_features(index: DataFrame, folder: str, header: bool = False) -> DataFrame:
-    """The index with what the stored images hold; an image that disagrees with its digest is an error."""
-    return _read(striped(index), folder, header=header, content=True)
+def media_features(index: DataFrame, folder: str) -> DataFrame:
+    """The (stored) index with what the stored images hold; an image that disagrees with its digest is an error."""
+    return _read(index, folder, HEADER_COLUMNS + CONTENT_COLUMNS, whole=True)
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Every document with its stored image's columns, read back.
-
-    Each image is visited once, in the order of the shards: its header, then the whole of it, in one stage."""
+    """Every document with its stored image's columns, read back: each image once, in the order of the shards."""
     folder = fresh_dir(docs.sparkSession, "media")
     rows = store_media(docs, folder)
-    found = media_features(places(rows), folder, header=True).drop("file", "offset")
+    found = media_features(stored(places(rows), "media-places"), folder).drop("file", "offset")
     hexed = lambda c: F.lower(F.hex(c))
     return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("digest").alias("media_sha256"), "feature", "width", "height", "depth"

@@ -10,8 +10,8 @@ page_id is a response and the others are revisits that refer to it.
 
 Defined cases: a null html is an empty payload; a null url gives a record without a target; line breaks in a
 url are percent-encoded; rows that share the smallest page_id of a group are all responses; a null page_id
-comes after all others; pages below the size are all responses; an empty table gives no archive; other columns
-are ignored.
+comes after all others; pages below the size are all responses; repeated rows and other ties give records of their
+own; a very long page is one record in memory; an empty table gives no archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,7 +133,8 @@ def resolved(records: DataFrame) -> DataFrame:
     wanted = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
     sources = responses.join(wanted, ["page_id", "payload_digest"], "left_semi").dropDuplicates(["page_id", "payload_digest"])
     sources = sources.select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), *(F.col(c).alias(f"__{c}") for c in carried))
-    joined = records.join(sources, (F.col("refers_to") == F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
+    # checkpointed, so that the revisits of one very common page can be split
+    joined = joined_small(records, cut(sources), (F.col("refers_to") == F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
     return joined.select(*(F.coalesce(c, f"__{c}").alias(c) if c in carried else F.col(c) for c in records.columns))
 
 

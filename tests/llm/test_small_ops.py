@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyarrow import fs
 
-from corpusloom.llm import chat, exact_dedup, media, mixing, warc
+from corpusloom.llm import blobs, chat, exact_dedup, media, mixing, warc
 from corpusloom.llm.common import fresh_dir
 from tests.llm.helpers import awkward, frame, with_clashes, words
 
@@ -120,6 +122,48 @@ def test_media(spark):
     assert media.media_round_trip(frame(spark, [])).count() == 0
 
 
+def test_media_headers_alone(spark, monkeypatch):
+    """Headers are read by ranges of their own: far fewer bytes than the images have, and the same columns."""
+    rng = random.Random(1)
+    rows = [(i, "".join(chr(rng.randrange(32, 126)) for _ in range(4000)), "en", "a", 1) for i in range(30)] + awkward()
+    folder = fresh_dir(spark, "media-test")
+    places = media.stored(media.places(media.store_media(frame(spark, rows), folder)), "places-test")
+    whole = media.media_features(places, folder).select("digest", "width", "height", "depth").collect()
+    assert sorted(map(tuple, media.header_columns(places, folder).select("digest", "width", "height", "depth").collect())) == sorted(map(tuple, whole))
+    index = sorted((r.asDict() for r in places.collect()), key=lambda r: (r["file"], r["offset"]))
+    read = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.close = file, file.close
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.file.read_at(n, at)
+
+    class System:
+        def __init__(self, system):
+            self.system = system
+
+        def open_input_file(self, path):
+            return Counted(self.system.open_input_file(path))
+
+    class Fs:
+        @staticmethod
+        def from_uri(uri):
+            system, path = fs.FileSystem.from_uri(uri)
+            return System(system), path
+
+    monkeypatch.setattr(blobs, "fs", type("F", (), {"FileSystem": Fs}))
+    assert len(list(blobs.read_ranges(folder, [r | {"__head": 33} for r in index], length="__head", gap=media.HEADER_GAP))) == len(index)
+    assert sum(read) < 0.2 * sum(r["length"] for r in index)
+
+
+def test_reads_are_dealt_by_bytes(spark):
+    index = spark.createDataFrame([("f", i * 1000, 1000) for i in range(100)], "file string, offset long, length long")
+    assert blobs.striped(index, 10_000).rdd.getNumPartitions() == 10
+
+
 def test_png_is_lossless():
     for data in (b" " * 192, bytes(range(192)) * 5):
         image = media.png(data)
