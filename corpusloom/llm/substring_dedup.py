@@ -7,17 +7,18 @@
 2. Compile. The confirmed phrases are dealt by hash into shards of about SHARD; a task compiles each shard's
    Aho-Corasick automaton and stores it in the shared folder. A word is two letters of an automaton's text (8 bits of
    its hash), so a phrase is 16 letters, whatever language or length its words have.
-3. Locate. All documents stream through all automata, in blocks of BLOCK words, each automaton being loaded once for
-   a block. Only where a phrase is located can windows be anchored: consecutive windows with one located anchor form a
-   segment, and a document without any is done. Nothing else decides which windows are compared.
+3. Locate. All documents stream through the automata, in blocks of BLOCK words, each automaton being loaded once for
+   a block. A window of a document can only be anchored at its own anchors, and a phrase is in one shard only, so an
+   automaton gets those of the block's anchors, as letters, that its shard may hold: together each anchor once,
+   however many shards there are. Consecutive windows with one located anchor form a segment, and a document without
+   any is done. Nothing else decides which windows are compared.
 4. Compare. A segment is known by a hash of its anchor and a hash of all its words, 128 bits. The smallest doc_id of
    each distinct segment owns it; every other document loses all of its windows. Distinct segments of one anchor are
    compared window by window, by (anchor, window) hashes, again 128 bits.
 5. Remove. Each document gets its segments' bits, one a window, and drops the words they cover.
 
 The letters only locate: two phrases with the same letters cost a comparison and never a word. Nothing is sampled or
-capped. The automata's work is documents times shards, and the shards follow the confirmed phrases; loading one costs
-about a third of a second a block.
+capped. Loading is what grows with blocks times shards, a twelfth of a second each.
 
 Defined cases: a null or empty text has no words; texts under 50 words lose nothing; a null doc_id neither
 loses words nor takes them from others; rows that share a doc_id (repeated rows, too) do not take words from each
@@ -44,18 +45,19 @@ from corpusloom.llm import textbytes as tb
 from corpusloom.llm.common import cut, fresh_dir, stored, whole_text
 
 PHRASE = 8
-#: Confirmed phrases of one automaton (about 100 MB) and words that stream through it at a time.
-SHARD = 250_000
+#: Confirmed phrases of one automaton (about 40 MB) and words that stream through it at a time.
+SHARD = 100_000
 BLOCK = 2_000_000
 
 
 @dataclass
 class Anchored:
-    """Runs of windows that share an anchor: first window, number of windows, the anchor's word and hash, by text."""
+    """Runs of windows that share an anchor: first window, number of windows, the anchor's letters (as a number) and
+    hash, and the text they are of."""
 
     first: np.ndarray
     windows: np.ndarray
-    anchor: np.ndarray
+    phrase: np.ndarray
     hashes: np.ndarray
     owner: np.ndarray
 
@@ -74,12 +76,11 @@ class Anchored:
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         starts = np.flatnonzero(new)
         anchor = anchor[starts]
-        return Anchored(at[starts], np.diff(np.concatenate([starts, [len(at)]])), anchor, phrases[anchor], text[at[starts]])
+        return Anchored(at[starts], np.diff(np.concatenate([starts, [len(at)]])), phrase_keys(words, anchor), phrases[anchor], text[at[starts]])
 
     def at(self, hit: np.ndarray) -> Anchored:
-        """Those whose anchor's word is marked."""
-        take = np.flatnonzero(hit[self.anchor])
-        return Anchored(self.first[take], self.windows[take], self.anchor[take], self.hashes[take], self.owner[take])
+        """The marked ones."""
+        return Anchored(self.first[hit], self.windows[hit], self.phrase[hit], self.hashes[hit], self.owner[hit])
 
 
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,26 +95,30 @@ def phrase_keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([low[at + k] for k in range(PHRASE)], axis=1).view("<i8").ravel() if len(at) else np.empty(0, np.int64)
 
 
-def letters(low: np.ndarray) -> str:
-    """Two letters a word; first and second ones differ, so phrases are only found where words begin."""
-    return np.stack([65 + (low >> 4), 97 + (low & 15)], axis=1).astype(np.uint8).tobytes().decode("ascii")
+def letters(phrases: np.ndarray) -> str:
+    """Two letters a word and a full stop after each phrase."""
+    low = np.ascontiguousarray(phrases, dtype="<i8").view(np.uint8).reshape(-1, PHRASE)
+    out = np.full((len(low), 2 * PHRASE + 1), ord("."), dtype=np.uint8)
+    out[:, 0:-1:2], out[:, 1::2] = 65 + (low >> 4), 97 + (low & 15)
+    return out.tobytes().decode("ascii")
 
 
-def automaton_of(keys: Iterable[int]) -> ahocorasick.Automaton:
+def automaton_of(phrases: np.ndarray) -> ahocorasick.Automaton:
     """An Aho-Corasick automaton of phrases."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    text = letters(np.array(list(keys), dtype="<i8").view(np.uint8))
-    for at in range(0, len(text), 2 * PHRASE):
-        automaton.add_word(text[at : at + 2 * PHRASE], 1)
+    text, step = letters(phrases), 2 * PHRASE + 1
+    for at in range(0, len(text), step):
+        automaton.add_word(text[at : at + step - 1], 1)
     automaton.make_automaton()
     return automaton
 
 
-def located(automaton: ahocorasick.Automaton, text: str) -> np.ndarray:
-    """The words at which a phrase of the automaton starts, in every occurrence."""
-    if not len(automaton):
-        return np.empty(0, np.int64)
-    return (np.fromiter((end for end, _ in automaton.iter(text)), dtype=np.int64) + 1) // 2 - PHRASE
+def located(automaton: ahocorasick.Automaton, phrases: np.ndarray) -> np.ndarray:
+    """Which of the phrases the automaton finds in their text: every occurrence of its own."""
+    hit = np.zeros(len(phrases), dtype=bool)
+    if len(automaton) and len(phrases):
+        hit[np.fromiter((end for end, _ in automaton.iter(letters(phrases))), dtype=np.int64) // (2 * PHRASE + 1)] = True
+    return hit
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -130,30 +135,31 @@ def recurring_phrases(rows: DataFrame, window: int) -> DataFrame:
             for row, texts in tb.text_chunks(batch.column(1)):
                 words, per_text = _word_hashes(texts)
                 found = Anchored.of(words, per_text, window)
-                yield pa.RecordBatch.from_arrays([pa.array(phrase_keys(words, found.anchor)), batch.column(0).take(pa.array(found.owner + row))], ["phrase", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.phrase), batch.column(0).take(pa.array(found.owner + row))], ["phrase", "doc_id"])
 
     pairs = rows.filter("doc_id is not null").select("doc_id", "text").mapInArrow(scan, f"phrase long, doc_id {kind}")
     return pairs.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("phrase")
 
 
-def compiled(phrases: DataFrame, folder: str, shard: int = SHARD) -> list[str]:
-    """Stores an automaton of each shard of the (checkpointed) phrases in the folder; the names of the files.
+def compiled(phrases: DataFrame, folder: str, shard: int = SHARD) -> list[str | None]:
+    """Stores an automaton of each shard of the (checkpointed) phrases in the folder; the files by shard, which is the
+    phrase modulo their number.
 
     Names are unique to the attempt, and only those that Spark committed count."""
     shards = -(-phrases.count() // shard)
     if not shards:
         return []
-    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = phrases.withColumn("shard", F.pmod("phrase", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard")
 
     def compile_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
 
-        def saved(keys: list[np.ndarray]) -> pa.RecordBatch:
+        def saved(at: int, keys: list[np.ndarray]) -> pa.RecordBatch:
             name = uuid.uuid4().hex
             with system.open_output_stream(f"{path}/{name}", compression=None) as out:
                 out.write(pickle.dumps(automaton_of(np.concatenate(keys))))
-            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([name])], ["shard", "file"])
 
         at, held = None, []  # the phrases of one shard
         for batch in batches:
@@ -161,14 +167,15 @@ def compiled(phrases: DataFrame, folder: str, shard: int = SHARD) -> list[str]:
             for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
                 if len(part) and of[part[0]] != at:
                     if held:
-                        yield saved(held)
+                        yield saved(at, held)
                     at, held = of[part[0]], []
                 held.append(keys[part])
         if held:
-            yield saved(held)
+            yield saved(at, held)
 
-    files = stored(dealt.mapInArrow(compile_shards, "file string"), "automata")
-    return sorted(r["file"] for r in files.collect())  # a name a shard
+    files = stored(dealt.mapInArrow(compile_shards, "shard long, file string"), "automata")
+    names = {r["shard"]: r["file"] for r in files.collect()}  # a name a shard
+    return [names.get(k) for k in range(shards)]
 
 
 SEGMENT = "struct<anchor: bigint, content: bigint, first: int, windows: int, hashes: array<bigint>>"
@@ -186,7 +193,7 @@ class Chunk:
     anchored: Anchored
 
     def rows(self, hit: np.ndarray, window: int, texts: bool) -> pa.RecordBatch:
-        """What streamed() returns of them, given the words at which phrases are located."""
+        """What streamed() returns of them, given which of their anchors are located."""
         found, number = self.anchored.at(hit), len(self.texts)
         content = tb.range_hashes(self.words, found.first, found.first + found.windows + window - 1)
         segment = np.repeat(np.arange(len(found.first)), found.windows)
@@ -205,7 +212,7 @@ class Chunk:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_words", "segments", "text", "digest"])
 
 
-def streamed(rows: DataFrame, folder: str, files: list[str], window: int, texts: bool = False, block: int = BLOCK) -> DataFrame:
+def streamed(rows: DataFrame, folder: str, files: list[str | None], window: int, texts: bool = False, block: int = BLOCK) -> DataFrame:
     """Every row after all automata: doc_id, version, n_words, segments (the located ones), text (of rows with
     segments, or of all) and digest (SHA-256 of all words, of rows without)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -214,17 +221,20 @@ def streamed(rows: DataFrame, folder: str, files: list[str], window: int, texts:
         system, path = fs.FileSystem.from_uri(folder)
 
         def passed(held: list[Chunk]) -> Iterator[pa.RecordBatch]:
-            text = letters(np.concatenate([c.words.astype(np.uint8) for c in held]))
-            hit = np.zeros(len(text) // 2 + 1, dtype=bool)
-            for name in files:
-                with system.open_input_stream(f"{path}/{name}", compression=None) as saved:
-                    automaton = pickle.loads(saved.read())
-                hit[located(automaton, text)] = True
-                del automaton
+            phrases = np.concatenate([c.anchored.phrase for c in held])
+            hit = np.zeros(len(phrases), dtype=bool)
+            shard = phrases % max(len(files), 1)
+            for k, name in enumerate(files):
+                mine = np.flatnonzero(shard == k)
+                if name is not None and len(mine):
+                    with system.open_input_stream(f"{path}/{name}", compression=None) as saved:
+                        automaton = pickle.loads(saved.read())
+                    hit[mine] = located(automaton, phrases[mine])
+                    del automaton
             at = 0
             for chunk in held:
-                yield chunk.rows(hit[at : at + len(chunk.words) + 1], window, texts)
-                at += len(chunk.words)
+                yield chunk.rows(hit[at : at + len(chunk.anchored.phrase)], window, texts)
+                at += len(chunk.anchored.phrase)
 
         held, size = [], 0
         for batch in batches:

@@ -73,11 +73,12 @@ def test_substring_dedup_other_width_and_empty(spark):
 
 
 def test_automaton_finds_every_occurrence():
-    low = np.array([1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 6, 7, 8, 1], dtype=np.uint8)
-    keys = substring_dedup.phrase_keys(low.astype(np.uint64), np.array([0, 1]))
-    found = substring_dedup.located(substring_dedup.automaton_of(keys), substring_dedup.letters(low))
-    assert found.tolist() == [0, 1, 8, 9]
-    assert substring_dedup.located(substring_dedup.automaton_of([]), "Aa").tolist() == []
+    low = np.array([1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 6, 7, 8, 1], dtype=np.uint64)
+    phrases = substring_dedup.phrase_keys(low, np.arange(10))
+    assert substring_dedup.letters(phrases[:1]) == "AbAcAdAeAfAgAhAi."
+    found = substring_dedup.located(substring_dedup.automaton_of(phrases[:2]), phrases)
+    assert np.flatnonzero(found).tolist() == [0, 1, 8, 9]
+    assert not substring_dedup.located(substring_dedup.automaton_of(phrases[:0]), phrases).any()
 
 
 def test_automata_decide(spark, monkeypatch):
