@@ -13,10 +13,18 @@ from corpusloom.functions import dims
 _ACCENTED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1}
 
 
+#: Lower-case accented Latin letters and the letters they fold to.
+FOLDED = {k: v for k, v in _ACCENTED.items() if k == k.lower()}
+
+
+def unaccented(text: Column) -> Column:
+    """Lower-case text without the accents of Latin letters."""
+    return F.translate(text, "".join(FOLDED), "".join(FOLDED.values()))
+
+
 def folded(text: Column) -> Column:
     """Lower case without the accents of Latin letters."""
-    accented = {k: v for k, v in _ACCENTED.items() if k == k.lower()}
-    return F.translate(F.lower(text), "".join(accented), "".join(accented.values()))
+    return unaccented(F.lower(text))
 
 
 def tokens(text: Column) -> Column:
@@ -24,6 +32,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def raw_tokens(text: Column) -> Column:
+    """The same, in lower case only: folding them one by one, once they are rows, is cheaper."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+def folded_token(token: Column) -> Column:
+    """A lower-case token without accents."""
+    return F.when(F.octet_length(token) > F.length(token), unaccented(token)).otherwise(token)
+
+
 def query_terms(query: Column) -> Column:
     """Folded terms of a column of queries, distinct in order: runs of word characters longer than one, split at _."""
     runs = F.regexp_extract_all(folded(query), F.lit(r"([\p{L}\p{N}_]+)"), 1)
@@ -103,9 +121,11 @@ def matched(text: Column, words: list[str], whole_word: bool = False) -> Column:
 
 
 def labels_of(text: Column, table: dict[str, list[str]], whole_word: bool = False) -> Column:
-    """Labels, in the table's order, of which the text holds a word."""
-    marks = F.array(*(F.when(matched(text, words, whole_word), F.lit(label)) for label, words in table.items()))
-    return F.filter(marks, lambda x: x.isNotNull())
+    """Labels, in the table's order, of which the text holds a word.
+
+    The text is the one element of an array, so that it is computed once for all labels."""
+    marks = lambda t: F.filter(F.array(*(F.when(matched(t, words, whole_word), F.lit(label)) for label, words in table.items())), lambda x: x.isNotNull())
+    return F.flatten(F.transform(F.array(text), marks))
 
 
 def amounts(text: Column) -> Column:

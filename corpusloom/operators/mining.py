@@ -107,7 +107,8 @@ def urn_references(laws: DataFrame, k: int = 30, pattern: str = r"urn:nir:[\w.:;
 def detect_domains(laws: DataFrame, table: dict[str, list[str]] | None = None, most_chars: int = 2000, whole_word: bool = False) -> DataFrame:
     """Acts with a domain: urn, domain_cluster (first), tags (first five), keywords (all)."""
     text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.left(F.coalesce("text", F.lit("")), F.lit(most_chars))))
-    rows = laws.select("urn", fx.labels_of(text, table or dims.DOMAINS, whole_word).alias("keywords")).filter(F.size("keywords") > 0)
+    # exploded from an array of one, so that the filter reads the labels instead of finding them again
+    rows = laws.select("urn", F.explode(F.array(fx.labels_of(text, table or dims.DOMAINS, whole_word))).alias("keywords")).filter(F.size("keywords") > 0)
     return rows.select("urn", F.element_at("keywords", 1).alias("domain_cluster"), F.slice("keywords", 1, 5).alias("tags"), "keywords")
 
 

