@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
-from corpusloom.operators import graph
+from corpusloom.operators import graph, reports
 from corpusloom.sources import files
 from corpusloom.sources.tables import shared_dir
 from corpusloom.streaming import jobs
@@ -28,6 +28,13 @@ def _finished(t, stream: DataFrame, mode: str = "append") -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
+def _watched(t, job, stream: DataFrame) -> DataFrame:
+    """All changes that a job finds in a stream."""
+    where = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    job(stream, f"{where}/out", f"{where}/state").awaitTermination()
+    return jobs.seen_changes(t.spark, f"{where}/out")
+
+
 def _keyed(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
 
@@ -38,17 +45,12 @@ def _(t):
     rows = _stream(t).select(F.concat(F.lit("user:"), F.col("user_id")).alias("urn"), F.col("event_type").alias("status"), F.col("event_id").alias("ts"))
     query = jobs.ingest(rows, f"{where}/base", f"{where}/log", f"{where}/state")
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return t.spark.read.parquet(f"{where}/base/v={last}")
-
-
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    return jobs.ingested(t.spark, f"{where}/base", rows.schema)
 
 
 @register("l02_status_changes", """with r as (select user_id::varchar as key, event_type as value, event_id as seq, lag(event_type) over (partition by user_id order by event_id) as f from events) select key, f as "from", value as "to", seq from r where f <> value""")
 def _(t):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return _finished(t, jobs.value_changes(_keyed(_stream(t))))
+    return _watched(t, jobs.value_changes, _keyed(_stream(t))).drop("is_new")
 
 
 @register("l02_status_changes_batch", """with r as (select user_id::varchar as key, event_type as value, event_id as seq, lag(event_type) over (partition by user_id order by event_id) as f from events) select key, f as "from", value as "to", seq from r where f <> value""")
@@ -61,10 +63,9 @@ TAGS = """with r as (select collection as key, old_etag as value, id as seq, lag
 
 @register("l03_tag_changes", TAGS)
 def _(t):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     tag = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("e"), (F.col("event_id") % 9).cast("string")))
     rows = _stream(t).select(F.concat(F.lit("coll"), (F.col("user_id") % 20).cast("string")).alias("key"), tag.alias("value"), F.col("event_id").alias("seq"))
-    return _finished(t, jobs.tag_changes(rows))
+    return _watched(t, jobs.tag_changes, rows)
 
 
 @register("l03_tag_changes_batch", TAGS)
@@ -95,7 +96,9 @@ def _(t):
 @register("s05_export_csv", """select l.urn as "URN", l.title as "Title", l.year as "Year", coalesce(i.n, 0) as "Citations_In", coalesce(o.n, 0) as "Citations_Out" from v_laws l left join (select cited_urn, count(*) as n from v_citations group by 1) i on i.cited_urn = l.urn
  left join (select citing_urn, count(*) as n from v_citations group by 1) o on o.citing_urn = l.urn order by l.year desc nulls last, l.title nulls last, l.urn limit 200""")
 def _(t):
-    return files.csv_rows(t.laws, t.citations, 200).select("URN", "Title", "Year", "Citations_In", "Citations_Out")
+    where = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    files.export_csv(t.laws, t.citations, where, 200)
+    return files.read_export(t.spark, where).select("URN", "Title", "Year", "Citations_In", "Citations_Out")
 
 
 @register("s07_citation_index", "select citing_urn as urn, count(*) as count from v_citations group by 1")
@@ -104,6 +107,27 @@ def _(t):
     return files.citation_index(nested).select("urn", "count")
 
 
+@register("s07_citation_index_totals", "select count(distinct citing_urn) as acts_with_citations, count(*) as citations from v_citations")
+def _(t):
+    nested = t.citations.groupBy(F.col("citing_urn").alias("urn")).agg(F.collect_list(F.struct("cited_urn")).alias("citations")).withColumn("title", F.lit(""))
+    return files.citation_index_totals(files.citation_index(nested))
+
+
+@register("s10_write_report", "with c as (select 'by_type' as metric, type as key, count(*) as n from v_laws group by type union all select 'by_year', cast(year as varchar), count(*) from v_laws group by year) select metric, count(*) as keys, sum(n)::bigint as acts from c group by 1")
+def _(t):
+    where = f"{shared_dir(t.spark)}/report-{uuid.uuid4().hex}"
+    rows = [t.laws.groupBy(F.col(c).cast("string").alias("key")).agg(F.count("*").cast("string").alias("value")).withColumn("metric", F.lit(f"by_{c}")) for c in ("type", "year")]
+    files.write_report(reports.metrics_document(rows[0].unionByName(rows[1])), where)
+    back = t.spark.read.schema("metric string, document string").json(where).select("metric", F.explode(F.map_values(F.from_json("document", "map<string, string>"))).alias("n"))
+    return back.groupBy("metric").agg(F.count("*").alias("keys"), F.sum(F.col("n").cast("long")).alias("acts"))
+
+
+@register("s11_manifest", "select filename, downloaded_at, sha256 from (select 'f' || user_id as filename, ts as downloaded_at, event_id::varchar as sha256, row_number() over (partition by user_id order by ts desc, event_id::varchar) as n from events) where n = 1")
+def _(t):
+    rows = t.events.select(F.concat(F.lit("f"), "user_id").alias("filename"), F.col("ts").alias("downloaded_at"), F.col("event_id").cast("string").alias("sha256"))
+    return files.manifest(rows)
+
+
 @register("s09_append_log", "select cast(ts as date) as day, count(*) as n from events group by 1")
 def _(t):
     where = f"{shared_dir(t.spark)}/log-{uuid.uuid4().hex}"
@@ -168,16 +192,16 @@ def _(t):
     return files.explode_articles(files.parse_akn(_entries(t)).filter("urn is not null"))
 
 
-@register("x03_parse_abrogated", f"""with {ACTS} select urn, coalesce(title, 'Atto del ' || coalesce(date, '')) as title, 1950 + (doc_id % 70)::int as year, length('Art. 1 one ' || doc_id || ' two')::bigint as text_length, 'Art. 1' as text, 'abrogated' as status from a where urn is not null""")
+@register("x03_parse_abrogated", f"""with {ACTS} select urn, coalesce(title, 'Atto del ' || coalesce(date, '')) as title, 1950 + (doc_id % 70)::int as year, length('Art. 1 one ' || doc_id || ' two')::bigint as text_length, 'Art. 1 one ' || doc_id || ' two' as text, 'abrogated' as status from a where urn is not null""")
 def _(t):
-    return files.parse_akn(_entries(t), variant="abrogated", most=6).select("urn", "title", "year", "text_length", "text", "status")
+    return files.parse_akn(_entries(t), variant="abrogated").select("urn", "title", "year", "text_length", "text", "status")
 
 
 @register("s02_read_zip_entries", "select 'a' || doc_id || '.xml' as entry, lang from documents where doc_id % 50 <> 49")
 def _(t):
     where = f"{shared_dir(t.spark)}/zips-{uuid.uuid4().hex}"
-    files.write_zips(_entries(t).repartition(4, "entry"), where).agg(F.sum("entries")).collect()
-    found = files.read_zip_entries(t.spark, where, parts=8)
+    files.write_zips(_entries(t), where).agg(F.sum("entries")).collect()
+    found = files.read_zip_entries(t.spark, where)
     return found.select("entry", F.regexp_extract(F.decode("content", "UTF-8"), "http://x#([a-z]+)", 1).alias("lang"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import re
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -63,28 +63,64 @@ def read_laws(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return laws, bad
 
 
-def read_zip_entries(spark: SparkSession, path: str, suffix: str = ".xml", parts: int = 64) -> DataFrame:
+EMPTY_ZIP = 22
+
+
+def _member(file, offset: int, packed: int, method: int, crc: int) -> bytes | None:
+    """One member of an archive from its own byte range; None if it is damaged or packed in another way."""
+    head = file.read_at(30, offset)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04" or int.from_bytes(head[6:8], "little") & 1:
+        return None
+    begin = offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+    data = file.read_at(packed, begin)
+    try:
+        data = data if method == zipfile.ZIP_STORED else zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else None
+    except zlib.error:
+        return None
+    return data if data is not None and zlib.crc32(data) == crc else None
+
+
+def read_zip_entries(spark: SparkSession, path: str, suffix: str = ".xml", task_bytes: int = 32 << 20) -> DataFrame:
     """zip, entry, pos and content of every file with the suffix in ZIP archives; broken archives and entries are skipped.
 
-    An archive is read by one task; its entries are then dealt out for parsing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    Archives of any size: one pass reads their directories only, the members are then dealt out by their bytes, about
+    `task_bytes` a task, and each is read by its own byte range. The store must be one that Arrow can open."""
+    from corpusloom.sources.tables import checkpointed
+
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path")
 
-    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def directory(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "entry", "pos", "at", "packed", "method", "crc"]
         for frame in frames:
-            for zip_path, content in zip(frame["path"], frame["content"], strict=True):
+            for uri in frame["path"]:
+                system, where = fs.FileSystem.from_uri(uri)
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    with system.open_input_file(where) as file:
+                        infos = zipfile.ZipFile(file).infolist() if file.size() >= EMPTY_ZIP else []
                 except zipfile.BadZipFile:
                     continue
-                for pos, info in enumerate(archive.infolist()):
-                    if info.filename.lower().endswith(suffix):
-                        try:
-                            data = archive.read(info)
-                        except (zipfile.BadZipFile, RuntimeError, OSError):
-                            continue
-                        yield pd.DataFrame({"zip": [zip_path.rsplit("/", 1)[-1]], "entry": [info.filename], "pos": [pos], "content": [data]})
+                rows = [(uri, i.filename, pos, i.header_offset, i.compress_size, i.compress_type, i.CRC) for pos, i in enumerate(infos) if i.filename.lower().endswith(suffix)]
+                for at in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[at : at + 10_000], columns=names)
 
-    return files.mapInPandas(entries, "zip string, entry string, pos int, content binary").repartition(parts, "zip", "pos")
+    members = checkpointed(files.mapInPandas(directory, "path string, entry string, pos int, at long, packed long, method int, crc long"))
+    total = members.agg(F.coalesce(F.sum("packed"), F.lit(0))).first()[0]
+    task = max(1 << 20, min(task_bytes, total // (4 * spark.sparkContext.defaultParallelism)))
+    dealt = members.withColumn("stripe", F.expr(f"at div {task}")).repartition(max(1, -(-total // task)), "path", "stripe").sortWithinPartitions("path", "at")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, opened = None, None
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if r.path != opened:
+                    system, where = fs.FileSystem.from_uri(r.path)
+                    file, opened = system.open_input_file(where), r.path
+                data = _member(file, r.at, r.packed, r.method, r.crc)
+                if data is not None:
+                    yield pd.DataFrame({"zip": [r.path.rsplit("/", 1)[-1]], "entry": [r.entry], "pos": [r.pos], "content": [data]})
+
+    return dealt.mapInPandas(read, "zip string, entry string, pos int, content binary")
 
 
 def read_xml_dir(spark: SparkSession, path: str) -> DataFrame:
@@ -200,6 +236,10 @@ def write_laws(laws: DataFrame, path: str, ordered: bool = False) -> None:
     (laws.orderBy("urn") if ordered else laws).write.mode("overwrite").json(path)
 
 
+#: Quotes are doubled inside quoted fields.
+CSV = {"header": "true", "escape": '"'}
+
+
 def csv_rows(laws: DataFrame, cit: DataFrame, k: int | None = None) -> DataFrame:
     """What export_csv writes."""
     rows = with_degrees(laws, cit).select(
@@ -211,7 +251,13 @@ def csv_rows(laws: DataFrame, cit: DataFrame, k: int | None = None) -> DataFrame
 
 
 def export_csv(laws: DataFrame, cit: DataFrame, path: str, k: int | None = None) -> None:
-    csv_rows(laws, cit, k).write.mode("overwrite").option("header", "true").csv(path)
+    csv_rows(laws, cit, k).write.mode("overwrite").options(**CSV, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """What export_csv wrote."""
+    schema = "URN string, Title string, Type string, Date string, Year int, Articles int, Text_Length long, Status string, Importance double, Citations_In long, Citations_Out long"
+    return spark.read.schema(schema).options(**CSV).csv(path)
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -250,38 +296,46 @@ POINTER = re.compile(r"^v=\d{14}-\w+$")
 def promote(staging: DataFrame, root: str, version: str) -> str:
     """Writes the staging rows as a new version below root and points CURRENT at it; earlier versions are the backup.
 
-    The pointer is a one-row table written after the data, so a reader sees the old version or all of the new."""
+    Pointers are only added, after their data, and the newest one counts: a reader sees the old version or all of the
+    new, at any time."""
     if not POINTER.match(f"v={version}"):
         raise ValueError("a version is yyyymmddhhmmss-name")
     target = f"{root}/v={version}"
     staging.write.mode("errorifexists").parquet(target)
-    staging.sparkSession.createDataFrame([(version,)], "version string").write.mode("overwrite").json(f"{root}/CURRENT")
+    staging.sparkSession.range(1).select(F.current_timestamp().alias("at"), F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{root}/CURRENT")
     return target
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """The promoted version."""
-    version = spark.read.schema("version string").json(f"{root}/CURRENT").first()["version"]
+    """The version promoted last."""
+    version = spark.read.schema("at timestamp, version string").json(f"{root}/CURRENT").agg(F.max_by("version", F.struct("at", "version"))).first()[0]
     return spark.read.parquet(f"{root}/v={version}")
 
 
-def write_zips(entries: DataFrame, folder: str) -> DataFrame:
-    """Packs (entry, content) rows into ZIP archives, one a partition, named for the attempt; returns (zip, entries)."""
+def write_zips(entries: DataFrame, folder: str, most: int = 1 << 30) -> DataFrame:
+    """Packs (entry, content) rows into ZIP archives named for the attempt, about `most` bytes each; (zip, entries)."""
     ship(entries.sparkSession)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buffer, n = io.BytesIO(), 0
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            for frame in frames:
-                for entry, content in zip(frame["entry"], frame["content"], strict=True):
-                    archive.writestr(entry, bytes(content))
-                    n += 1
-        if n:
-            system, path = fs.FileSystem.from_uri(folder)
-            system.create_dir(path, recursive=True)
-            name = f"{uuid.uuid4().hex}.zip"
-            with system.open_output_stream(f"{path}/{name}", compression=None) as out:
-                out.write(buffer.getvalue())
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        name, out, archive, n, size = "", None, None, 0, 0
+        for frame in frames:
+            for entry, content in zip(frame["entry"], frame["content"], strict=True):
+                if archive is None:
+                    name, n, size = f"{uuid.uuid4().hex}.zip", 0, 0
+                    out = system.open_output_stream(f"{path}/{name}", compression=None)
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(entry, bytes(content))
+                n, size = n + 1, size + archive.filelist[-1].compress_size
+                if size >= most:
+                    archive.close()
+                    out.close()
+                    yield pd.DataFrame({"zip": [name], "entries": [n]})
+                    archive = None
+        if archive is not None:
+            archive.close()
+            out.close()
             yield pd.DataFrame({"zip": [name], "entries": [n]})
 
     return entries.select("entry", "content").mapInPandas(pack, "zip string, entries long")

@@ -170,7 +170,7 @@ def test_zip_of_xml(spark, tmp_path):
         z.writestr("4.xml", "<not closed")
         z.writestr("readme.txt", "no")
     (tmp_path / "broken.zip").write_bytes(b"no zip")
-    entries = files.read_zip_entries(spark, str(tmp_path), parts=2)
+    entries = files.read_zip_entries(spark, str(tmp_path))
     assert entries.count() == 4
     acts = files.parse_akn(entries)
     found = {r["entry"]: r for r in acts.collect()}
@@ -246,5 +246,7 @@ def test_versions(spark, tmp_path):
     old = spark.createDataFrame([("a", 1)], "urn string, n int")
     files.promote(old, str(tmp_path), "20240101000000-x")
     assert rows(files.current(spark, str(tmp_path))) == [("a", 1)]
+    files.promote(spark.createDataFrame([("a", 2)], "urn string, n int"), str(tmp_path), "20240102000000-y")
+    assert rows(files.current(spark, str(tmp_path))) == [("a", 2)] and len(list((tmp_path / "CURRENT").glob("part-*"))) == 2
     log = spark.createDataFrame([("c", None, "n1", dt.datetime(2024, 1, 1))], "collection string, old_etag string, new_etag string, detected_at timestamp")
     assert changes.record_changes(log, log).count() == 0
