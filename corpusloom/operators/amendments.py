@@ -61,6 +61,21 @@ def amendment_chains(laws: DataFrame, modifies: str = "modifies") -> DataFrame:
     return each.groupBy("original").agg(F.sort_array(F.collect_list("by")).alias("chain"))
 
 
+def amendment_parts(laws: DataFrame, modifies: str = "modifies", part: int = 1000) -> DataFrame:
+    """original, part (from 0) and chain: amendment_chains with at most `part` amenders a row, for acts with very many.
+
+    Places come from two levels, inside a year and over the years' counts, so the amenders of one act are sorted in
+    many tasks."""
+    each = laws.select(F.explode(modifies).alias("original"), F.struct("date", F.col("urn").alias("law_id"), "type", "title").alias("by"))
+    each = each.withColumn("year", F.coalesce(F.left("by.date", F.lit(4)), F.lit("")))
+    inside = Window.partitionBy("original", "year").orderBy("by")
+    earlier = Window.partitionBy("original").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    years = each.groupBy("original", "year").agg(F.count("*").alias("n")).select("original", "year", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = each.withColumn("within", F.row_number().over(inside) - 1).join(years, ["original", "year"])
+    placed = placed.withColumn("part", F.expr(f"(before + within) div {part}"))
+    return placed.groupBy("original", "part").agg(F.sort_array(F.collect_list("by")).alias("chain"))
+
+
 def with_amendments(laws: DataFrame, modifies: str = "modifies") -> DataFrame:
     """Acts with the chain of their amenders; empty where there is none."""
     chains = amendment_chains(laws, modifies)

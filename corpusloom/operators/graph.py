@@ -90,7 +90,9 @@ def neighborhood(cit: DataFrame, laws: DataFrame, urn: str, depth: int = 1, max_
     """Known acts within `depth` hops: urn, title (80 characters), type, year, depth, is_center.
 
     A node passes on at most `fan` cited and `fan` citing acts, by urn; nodes are taken by (depth, urn) up to
-    max_nodes. Each hop joins the frontier, of at most max_nodes rows, with the edges."""
+    max_nodes. Each hop joins the frontier, of at most max_nodes rows, with the edges, and is checkpointed."""
+    from corpusloom.sources.tables import checkpointed
+
     spark = cit.sparkSession
     seen = spark.createDataFrame([(urn, 0)], "urn string, depth int")
     frontier = seen
@@ -102,7 +104,7 @@ def neighborhood(cit: DataFrame, laws: DataFrame, urn: str, depth: int = 1, max_
             ranked = step.withColumn("n", F.row_number().over(Window.partitionBy("from").orderBy("urn"))).filter(F.col("n") <= fan)
             found.append(ranked.select("urn"))
         new = found[0].union(found[1]).distinct().join(seen, "urn", "left_anti").withColumn("depth", F.lit(hop))
-        seen = seen.union(new).orderBy("depth", "urn").limit(max_nodes)
+        seen = checkpointed(seen.union(new).orderBy("depth", "urn").limit(max_nodes))
         frontier = seen.filter(F.col("depth") == hop)
     known = laws.select("urn", F.left("title", F.lit(80)).alias("title"), "type", "year")
     return known.join(F.broadcast(seen), "urn").select("urn", "title", "type", "year", "depth", (F.col("urn") == urn).alias("is_center"))
@@ -112,20 +114,24 @@ def importance(laws: DataFrame, cit: DataFrame, iterations: int = 20, damping: f
     """PageRank: urn, pagerank (8 decimals), importance_score (0 to 100 of the largest, 2 decimals).
 
     Nodes are the known acts on any edge, out-degrees count all edges, and mass of acts without citations is not
-    handed out again. Every round is one join and one aggregation; lineage is cut by reliable checkpoints."""
+    handed out again. Nodes are dealt out once by urn and edges once by citing urn, each with 1 / out-degree; a round
+    joins them where they lie and moves only the contributions, added up in the map tasks. Every `cut_every` rounds a
+    reliable checkpoint cuts the lineage."""
     from corpusloom.sources.tables import checkpointed
 
+    spark = cit.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = laws.select("urn")
     ends = cit.select(F.col("citing_urn").alias("urn")).union(cit.select("cited_urn"))
-    nodes = checkpointed(ends.distinct().join(known, "urn", "left_semi"))
+    nodes = checkpointed(ends.distinct().join(known, "urn", "left_semi").repartition(parts, "urn"))
     n = nodes.count()
-    out = cit.groupBy("citing_urn").agg(F.count("*").alias("degree"))
-    edges = cit.select("citing_urn", "cited_urn").join(out, "citing_urn").join(nodes.withColumnRenamed("urn", "citing_urn"), "citing_urn", "left_semi")
-    edges = checkpointed(edges.join(nodes.withColumnRenamed("urn", "cited_urn"), "cited_urn", "left_semi"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    out = cit.groupBy("citing_urn").agg((1 / F.count("*")).alias("share"))
+    edges = cit.select("citing_urn", "cited_urn").join(nodes.withColumnRenamed("urn", "cited_urn"), "cited_urn", "left_semi").join(out, "citing_urn")
+    edges = checkpointed(edges.select(F.col("citing_urn").alias("urn"), "cited_urn", "share").repartition(parts, "urn"))
     base = F.lit((1 - damping) / max(n, 1))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(1, iterations + 1):
-        given = edges.join(ranks.withColumnRenamed("urn", "citing_urn"), "citing_urn").groupBy(F.col("cited_urn").alias("urn")).agg(F.sum(F.col("rank") / F.col("degree")).alias("in"))
+        given = edges.join(ranks, "urn").groupBy(F.col("cited_urn").alias("urn")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         ranks = nodes.join(given, "urn", "left").select("urn", (base + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
         if i % cut_every == 0 and i < iterations:
             ranks = checkpointed(ranks)
@@ -262,8 +268,20 @@ def most_cited_stored(meta: DataFrame, laws: DataFrame, k: int = 25) -> DataFram
     return rows.select("urn", "title", "year", "citation_count_incoming").orderBy(F.desc("citation_count_incoming"), "urn").limit(k)
 
 
+def adjacency_parts(cit: DataFrame, part: int = 10_000) -> DataFrame:
+    """urn, side (outgoing or incoming), part (from 0) and at most about `part` ids each: a hub is many rows.
+
+    Ids are dealt to parts by hash, so a hub's ids meet in many tasks and no array grows with it."""
+    sides = [cit.select(F.col(a).alias("urn"), F.lit(side).alias("side"), F.col(b).alias("id")) for a, b, side in (("citing_urn", "cited_urn", "outgoing"), ("cited_urn", "citing_urn", "incoming"))]
+    each = sides[0].union(sides[1]).filter("urn is not null and id is not null").distinct()
+    sizes = each.groupBy("urn", "side").agg(F.count("*").alias("n"))
+    big = sizes.filter(F.col("n") > part).select("urn", "side", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    dealt = each.join(big, ["urn", "side"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    return dealt.groupBy("urn", "side", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
 def adjacency_index(cit: DataFrame) -> DataFrame:
-    """urn, outgoing and incoming ids, sorted."""
+    """urn, outgoing and incoming ids, sorted: a row an act, for graphs whose hubs fit a row (see adjacency_parts)."""
     out = cit.groupBy(F.col("citing_urn").alias("urn")).agg(F.sort_array(F.collect_set("cited_urn")).alias("outgoing"))
     inn = cit.groupBy(F.col("cited_urn").alias("urn")).agg(F.sort_array(F.collect_set("citing_urn")).alias("incoming"))
     empty = F.array().cast("array<string>")

@@ -20,7 +20,7 @@ VIEWS = {
     "v_citations": f"""select citing_urn, cited_urn, count(*) as cnt, min(ctx) as context from (
         select concat('doc:', cast(l_orderkey % ({N_DOCS} + 100) as varchar(20))) as citing_urn,
         concat('doc:', cast(l_partkey % ({N_DOCS} + 50) as varchar(20))) as cited_urn, l_returnflag as ctx
-        from lineitem where l_linenumber = 1) e group by citing_urn, cited_urn""",
+        from lineitem) e group by citing_urn, cited_urn""",
     "v_meta": """select concat('doc:', cast(doc_id as varchar(20))) as urn, case doc_id % 6 when 0 then null when 1 then '' when 2 then 'diritto_civile'
         when 3 then 'diritto_penale' when 4 then 'trasporti' else 'diritto_europeo' end as domain_cluster, cast(doc_id % 13 as bigint) as citation_count_incoming,
         cast((doc_id * 31) % 1000 as double) / 1000 as pagerank from documents where doc_id % 11 <> 5""",

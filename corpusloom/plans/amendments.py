@@ -17,10 +17,12 @@ def _chained(t):
     return t.chains.withColumn("modifies", am.modified_ids(F.col("modifies_one"), F.split("modifies_list", ",")))
 
 
-@register("a01_upsert_amendments", """with n as (select *, 1 as z from v_amendments where seq % 3 = 0), b as (select *, 0 as z from v_amendments where seq % 2 = 0), r as (select *, row_number() over (partition by urn, amending_urn, action order by z desc, seq desc) as n
- from (select * from n union all select * from b)) select urn, amending_urn, action, seq, date_effective from r where n = 1""")
+@register("a01_upsert_amendments", """with n as (select urn, amending_urn, action, seq, concat('2026', substring(date_effective, 5)) as date_effective, 1 as z from v_amendments), b as (select urn, amending_urn, concat(action, ':old') as action, seq, date_effective, 0 as z from v_amendments union all select urn, amending_urn, action, seq, date_effective, 0 as z from v_amendments),
+ r as (select *, row_number() over (partition by urn, amending_urn, action order by z desc, seq desc) as n from (select * from n union all select * from b)) select urn, amending_urn, action, seq, date_effective from r where n = 1""")
 def _(t):
-    return am.upsert_amendments(t.amendments.filter("seq % 2 = 0"), t.amendments.filter("seq % 3 = 0")).select("urn", "amending_urn", "action", "seq", "date_effective")
+    old = t.amendments.withColumn("action", F.concat("action", F.lit(":old"))).unionByName(t.amendments)
+    new = t.amendments.withColumn("date_effective", F.concat(F.lit("2026"), F.expr("substring(date_effective, 5)")))
+    return am.upsert_amendments(old, new).select("urn", "amending_urn", "action", "seq", "date_effective")
 
 
 def _base_and_new(t):
@@ -66,6 +68,13 @@ def _(t):
     return am.amendment_chains(_chained(t)).select("original", F.array_join(line, ";").alias("chain"), F.size("chain").cast("long").alias("n"))
 
 
+@register("a06_amendment_parts", f"""with {EACH}, p as (select *, row_number() over (partition by original order by date nulls first, urn) - 1 as pos from e)
+ select original, pos // 4 as part, string_agg(coalesce(date, '') || '=' || urn, ';' order by pos) as chain from p group by 1, 2""")
+def _(t):
+    line = F.transform("chain", lambda x: F.concat(F.coalesce(x["date"], F.lit("")), F.lit("="), x["law_id"]))
+    return am.amendment_parts(_chained(t), part=4).select("original", "part", F.array_join(line, ";").alias("chain"))
+
+
 @register("a07_with_amendments", f"with {EACH} select c.urn, (select count(*) from e where e.original = c.urn) as n_chain, case when modifies_list is not null then 2 when modifies_one is not null then 1 else 0 end as n_modifies from v_chains c")
 def _(t):
     return am.with_amendments(_chained(t)).select("urn", F.size("chain").cast("long").alias("n_chain"), F.size("modifies").alias("n_modifies"))

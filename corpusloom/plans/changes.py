@@ -19,9 +19,14 @@ def _(t):
     return c.tag_diff(t.tags_old, t.tags_new)
 
 
-@register("c02_record_changes", """select distinct collection, old_etag, new_etag from v_log n where id % 2 = 0 and not exists (select 1 from v_log o where o.id % 5 = 1 and o.id < 200 and o.collection is not distinct from n.collection and o.old_etag is not distinct from n.old_etag and o.new_etag is not distinct from n.new_etag)""")
+EARLY = dt.datetime(2024, 1, 8)
+
+
+@register("c02_record_changes", """with w as (select collection, old_etag, concat(new_etag, '-', cast(id // 50 as varchar)) as new_etag, detected_at < timestamp '2024-01-08' as logged from v_log)
+ select distinct collection, old_etag, new_etag from w n where not exists (select 1 from w o where o.logged and o.collection is not distinct from n.collection and o.old_etag is not distinct from n.old_etag and o.new_etag is not distinct from n.new_etag)""")
 def _(t):
-    return c.record_changes(t.log.filter("id % 5 = 1 and id < 200"), t.log.filter("id % 2 = 0")).select("collection", "old_etag", "new_etag")
+    rows = t.log.withColumn("new_etag", F.concat("new_etag", F.lit("-"), F.expr("id div 50").cast("string")))
+    return c.record_changes(rows.filter(F.col("detected_at") < F.lit(EARLY)), rows).select("collection", "old_etag", "new_etag")
 
 
 ALL_CHANGES = "w as (select collection, old_etag, concat(new_etag, '-', cast(id // 500 as varchar)) as new_etag, detected_at < timestamp '2024-01-16' as logged from v_log)"

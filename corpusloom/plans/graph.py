@@ -226,6 +226,11 @@ def _(t):
     return graph.adjacency_index(t.citations).select("urn", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
 
 
+@register("s08_adjacency_parts", "select citing_urn as urn, 'outgoing' as side, cited_urn as id from v_citations union select cited_urn, 'incoming', citing_urn from v_citations")
+def _(t):
+    return graph.adjacency_parts(t.citations, part=20).select("urn", "side", F.explode("ids").alias("id"))
+
+
 NODES_SQL = "nodes as (select l.urn as id, l.title, l.type, l.year, c.size from v_laws l join (select cited_urn, count(*) as size from v_citations group by 1) c on c.cited_urn = l.urn where c.size >= 2)"
 
 
