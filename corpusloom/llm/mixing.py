@@ -14,8 +14,10 @@
 4. Slots join blocks on (source, block): at most a few slots and the documents of B words meet in one key.
 
 Defined cases: a null text has size 0; a null source is a source of its own; size-0 documents take nothing;
-rows that repeat a doc_id are rows of their own; an empty table gives no rows; columns other than doc_id,
-text and source are ignored. Equal input gives equal output, however it is partitioned.
+rows that repeat a doc_id are rows of their own; rows alike in all that is read take what their places in the stream
+give them; a very long document is cut into blocks; an empty table gives no rows; columns other than doc_id, text and
+source are ignored. Equal input gives equal output, however it is partitioned. Sources are ranked in one task, a row a
+source: some thousands, not one a host.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from corpusloom.llm.common import WORD, cut, joined_small, whole_text
 SPAN = 4294967296
 GOLDEN = 2654435769
 CELL_BITS = 20
-SLOT_CHUNK = 65536
+#: Slots and words are divided into about so many parts.
+PARTS = 4096
 
 
 def measured(docs: DataFrame, seed: str) -> DataFrame:
@@ -100,7 +103,7 @@ def _slots(targets: DataFrame, block: int) -> DataFrame:
     cells = cells.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))))
     points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % 2**31 * GOLDEN) % SPAN).alias("x"))
     points = points.withColumn("cell", F.shiftright("x", CELL_BITS))
-    dealt = points.join(cells, "cell").filter("lo <= x and x < hi").select("slot", "no", F.expr(f"slot div {SLOT_CHUNK}").alias("chunk"))
+    dealt = points.join(cells, "cell").filter("lo <= x and x < hi").select("slot", "no", F.expr(f"slot div {max(1, n // PARTS)}").alias("chunk"))
     counts = dealt.groupBy("no", "chunk").count()
     earlier = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("no", "chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset"))
@@ -127,8 +130,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     """
     sizes = cut(measured(docs, seed))
     targets = cut(source_targets(sizes, weights, share, cap))
-    wanted = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    block = int(min(max_block, max(1, wanted // 4096)))
+    wanted = targets.agg(F.coalesce(F.round(F.sum("target"), 3), F.lit(0.0))).first()[0]
+    block = int(min(max_block, max(1, wanted // PARTS)))
     documents = cut(_placed(sizes, targets))
     stop = F.col("start") + F.col("size")
     pieces = documents.filter("size > 0").withColumn("stop", stop)
@@ -143,12 +146,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
 
 
 def words_taken(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken, first_slot (of the schedule; null if not taken)."""
     made = mix(docs, **options)
-    taken = made.segments.groupBy("no", "start").agg(F.sum(F.col("end_word") - F.col("begin_word")).alias("taken"))
+    taken = made.segments.groupBy("no", "start").agg(F.sum(F.col("end_word") - F.col("begin_word")).alias("taken"), F.min("slot").alias("first_slot"))
     rows = made.documents.withColumn("at", F.when(F.col("size") > 0, F.col("start")))
     return rows.join(taken.withColumnRenamed("start", "at"), ["no", "at"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot"
     )
 
 
@@ -165,7 +168,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plays = plays.filter("__plays > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__size"), "__plays")
     keyed = docs.withColumn("__words", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__of")) & (F.col("__words") == F.col("__size"))
-    return keyed.join(plays, on).withColumn("__play", F.explode(F.sequence(F.lit(1), F.col("__plays")))).select(*docs.columns)
+    # of few numbers a row, in a hash table: the texts are not sorted
+    return keyed.join(plays.hint("shuffle_hash"), on).withColumn("__play", F.explode(F.sequence(F.lit(1), F.col("__plays")))).select(*docs.columns)
 
 
 OP1_SQL = r"""
@@ -179,9 +183,23 @@ f as (select *, coalesce(sum(most) over (order by most / weight, no rows between
   (sum(weight) over (order by most / weight, no rows between current row and unbounded following))::double as rest from w),
 l as (select *, (total - before) / rest as level, (total - before) / rest * weight >= most as sated from f),
 t as (select source, source_size, case when sated then most else weight * max(case when not sated then level end) over () end as target from l),
-p as (select doc_id, size, t.source_size, t.target, floor(t.target)::bigint as words,
+z as (select *, row_number() over (order by source asc nulls last) - 1 as no, floor(target)::bigint as words from t),
+y as (select *, least(65536, greatest(1, floor((select round(sum(target), 3) from t) / 4096)))::bigint as b from z),
+p as (select doc_id, size, y.no, y.source_size, y.target, y.b,
   coalesce(sum(size) over (partition by m.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from m join t on m.source is not distinct from t.source)
-select doc_id, size, source_size, target, case when size = 0 then 0 else
-  (words // source_size) * size + greatest(0, least(start + size, words % source_size) - start) end::bigint as taken from p
+  from m join y on m.source is not distinct from y.source),
+n1 as (select no, b, source_size, (source_size + b - 1) // b as blocks, words // source_size as full_, words % source_size as rest from y where source_size > 0),
+n2 as (select *, full_ * blocks + (rest + b - 1) // b as needed from n1),
+n3 as (select *, (coalesce(sum(needed) over (order by no rows between unbounded preceding and 1 preceding), 0))::bigint as before from n2),
+k as (select coalesce(sum(needed), 0)::bigint as n from n3),
+x as (select slot, (slot % 2147483648 * 2654435769) % 4294967296 as x from (select unnest(range((select n from k))) as slot)),
+d as (select slot, no, row_number() over (partition by no order by slot) - 1 as rank from x join n3 on
+  x >= before::hugeint * 4294967296 // (select n from k) and x < (before + needed)::hugeint * 4294967296 // (select n from k)),
+e as (select slot, no, rank from d union all select (select n from k) + before + r, no, r from
+  (select no, before, unnest(range((select count(*) from d where d.no = n3.no), needed)) as r from n3)),
+f2 as (select slot, no, b, rank % blocks as block, case when rank // blocks = full_ then rest else source_size end as lim from e join n3 using (no) where rank < needed),
+g as (select p.no, p.start, slot, least(p.start + p.size, (block + 1) * f2.b, lim) - greatest(p.start, block * f2.b) as part
+  from p join f2 on p.no = f2.no and p.size > 0 and f2.block between p.start // f2.b and (p.start + p.size - 1) // f2.b),
+h as (select no, start, sum(part)::bigint as taken, min(slot)::bigint as first_slot from g where part > 0 group by 1, 2)
+select doc_id, size, source_size, target, coalesce(h.taken, 0)::bigint as taken, h.first_slot from p left join h on h.no = p.no and h.start = p.start and p.size > 0
 """

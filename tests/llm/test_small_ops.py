@@ -48,6 +48,7 @@ def test_mixing(spark):
     again = mixing.words_taken(frame(spark, rows, 7)).collect()
     key = lambda r: (str(r["doc_id"]), r["size"], r["taken"])
     assert sorted(map(key, again)) == sorted(map(key, found))
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in found)
 
 
 def test_mixing_spreads_sources(spark):
@@ -207,6 +208,38 @@ def test_chat(spark):
     assert chat.chat_texts(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_chat_ties_nulls_and_clashes(spark):
+    """Turns of one number go by MD5 as in the SQL; null, empty and "\\x00" texts differ; other columns do not matter."""
+    rows = [(1, 0, "user", t) for t in ("b", "a", None, "", "\x00")] + [(2, None, None, "x"), (2, None, "", "x"), (2, 5, "user", "w " * 70000)]
+    turns = spark.createDataFrame(rows, CHAT)
+    key = lambda role, text: hashlib.md5(f"{str(text is None).lower()}:{-1 if role is None else len(role)}:{role or ''}:{text or ''}".encode()).hexdigest()
+    line = lambda role, text: f"<|{'unknown' if role is None else role}|>\n{text or ''}\n<|end|>\n"
+    want = {}
+    for conv in (1, 2):
+        said = sorted(((t is not None, t or 0, key(r, x), r, x) for c, t, r, x in rows if c == conv), key=lambda s: s[:3])
+        want[conv] = "".join(line(r, x) for *_, r, x in said)
+    found = chat.chat_texts(with_clashes(turns).withColumn("position", turns["turn"]).withColumn("h", turns["text"]).repartition(3))
+    assert {r["conv_id"]: r["text"] for r in found.collect()} == want
+
+
+def test_warc_ignores_other_columns(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    clash = with_clashes(pages).withColumns({c: pages["url"] for c in ("sha", "digest", "payload", "record_type", "refers_to", "length", "stripe")})
+    one, two = (Counter(map(tuple, warc.warc_round_trip(df).collect())) for df in (pages, clash))
+    assert one == two
+
+
+def test_mix_meets_its_targets(spark):
+    """Words of the mixed documents by source against the targets: whole documents come within 5 %."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    target = {r["source"]: r["target"] for r in mixing.source_targets(mixing.measured(docs, "mix")).collect()}
+    taken = defaultdict(int)
+    for r in mixing.mixed_documents(docs).select("source", "text").collect():
+        taken[r["source"]] += len(words(r["text"]))
+    for source, want in target.items():
+        assert taken[source] == pytest.approx(want, rel=0.05), source
+
+
 def test_chat_in_parts(spark):
     long = talk(1, *map(str, range(25)))
     rows = long + talk(2, *map(str, range(11)))
