@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,38 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[str], str]]:
+    """Deletes the folders made inside it on leaving, but for those given to the yielded function.
+
+    For work whose result is written inside: results are lazy, and read the folders of their operators."""
+    begin, kept = len(_made), set()
+
+    def keep(path: str) -> str:
+        kept.add(path)
+        return path
+
+    yield keep
+    made = _made[begin:]
+    del _made[begin:]
+    for path in made:
+        if path not in kept:
+            discard(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from collections import Counter
 
 import corpus_pipeline
-from corpusloom.llm import bpe, exact_dedup, quality, simhash
+from corpusloom.llm import bpe, common, exact_dedup, mixing, quality, simhash
 from corpusloom.llm.common import stored
-from tests.llm.helpers import awkward, frame, with_clashes
+from tests.llm.helpers import awkward, frame, with_clashes, words
+from tests.llm.test_text_ops import brute_components, brute_fingerprint
 from tests.oracle import connect, rows_of_duck, rows_of_spark
 
 SF = "/root/testdata/sf0.001"
@@ -30,12 +31,60 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == ids[5]
 
 
+def strip(text):
+    return "".join(c for c in text or "" if c not in " \t\n\x0b\x0c\r")
+
+
 def test_stages_on_awkward_rows(spark):
-    for rows in (awkward(), []):
-        docs = with_clashes(frame(spark, rows))
-        for name, stage in corpus_pipeline.STAGES:
-            docs = stored(stage(spark, docs, SF), f"awkward-{name}")
-        assert docs.count() <= 2 * len(rows) + 4
+    """Every stage's rows, each against what its own input says."""
+    rows = awkward()
+    docs = with_clashes(frame(spark, rows))
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    # quality: all rows of texts that the model takes, and no others
+    model = quality.fit(docs, labels)
+    good = {t: s >= 0.7 for t, s in zip([r[1] for r in rows], model.scores([r[1] or "" for r in rows]), strict=True)}
+    assert texts(stages["quality"](spark, docs, SF)) == Counter((r[0], r[1]) for r in rows if good[r[1]])
+    # exact: of each text the longest, then the smallest id, once
+    best = {}
+    for r in sorted(rows, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0, r[1] or "")):
+        best.setdefault(strip(r[1]), r)
+    exact = stored(stages["exact_dedup"](spark, docs, SF), "awkward-exact")
+    assert Counter((i, t or "") for i, t in texts(exact).elements()) == Counter((r[0], r[1] or "") for r in best.values())
+    # near: one row a component, the smallest id of it
+    near = stored(stages["near_dedup"](spark, exact, SF), "awkward-near")
+    kept, given = near.collect(), exact.collect()
+    groups = brute_components({brute_fingerprint(r["text"]) for r in given})
+    of = {}
+    for r in given:
+        of.setdefault(min(groups[brute_fingerprint(r["text"])]), []).append(r["doc_id"])
+    assert Counter(min(groups[brute_fingerprint(r["text"])]) for r in kept) == Counter(of.keys())
+    assert {min(groups[brute_fingerprint(r["text"])]): r["doc_id"] for r in kept} == {k: min((i for i in v if i is not None), default=None) for k, v in of.items()}
+    # mixing: kept rows only, each as often as words_taken's words have it
+    mixed = stored(stages["mixing"](spark, near, SF), "awkward-mixed")
+    assert mixed.columns == docs.columns and set(texts(mixed)) <= set(texts(near)) and max(texts(mixed).values()) <= 2
+    taken = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.words_taken(near).collect()}
+    for (doc_id, text), n in texts(mixed).items():
+        size = len(words(text))
+        assert n == 1 if size == 0 else abs(n * size - taken[doc_id, size]) <= size
+    # encoding: one row a play
+    assert Counter(r["doc_id"] for r in stages["encoding"](spark, mixed, SF).collect()) == Counter(i for i, _ in texts(mixed).elements())
+    empty = with_clashes(frame(spark, []))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stored(stage(spark, empty, SF), f"empty-{name}")
+    assert empty.count() == 0
+
+
+def test_run_leaves_one_folder(spark):
+    """Of what the stages store, the rows that the last one reads are left."""
+    before = len(common._made)
+    df = corpus_pipeline.run(spark, SF)
+    left = common._made[before:]
+    assert df.count() > 0
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{common.shared_dir(spark)}/*")]
+    names = [str(s.getPath().getName()) for p in paths for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)]
+    assert sum(n.startswith("pipeline-") for n in names) == 1 and not left
 
 
 def test_queries_with_sql(spark):

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -219,6 +220,37 @@ def test_links_lose_nothing(spark, bucket):
         assert roots.get(s, s) == min(group)
 
 
+def test_recall_on_edited_copies():
+    """Share of copies with a few words changed that lie within the radius of the contract: what README states."""
+    rng, recall = random.Random(6), {}
+    texts = [t for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    for least, most in ((100, 300), (300, 1000), (1000, 10**6)):
+        some = [t for t in texts if least <= len(t.split()) < most][:200]
+        for edits in (1, 2, 5, 10):
+            hits = 0
+            for t in some:
+                w = t.split()
+                for i in rng.sample(range(len(w)), edits):
+                    w[i] = f"edit{rng.randrange(10**6)}"
+                hits += (simhash.fingerprint(simhash.shingle_hashes(t)) ^ simhash.fingerprint(simhash.shingle_hashes(" ".join(w)))).bit_count() <= 4
+            recall[least, edits] = hits / len(some)
+    assert recall[1000, 1] > 0.9 and recall[1000, 2] > 0.9 and recall[300, 1] > 0.8 and recall[100, 1] > 0.5
+    assert recall[100, 5] < recall[300, 5] < recall[1000, 5]
+
+
+def test_dense_buckets_are_divided(spark, monkeypatch):
+    """A ball of fingerprints that fills buckets far beyond their size, linked as by brute force."""
+    rng = random.Random(8)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 7))) for _ in range(300)}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    edges = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), bucket=16)
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    for x, group in brute_components(fps).items():
+        assert roots.get(signed(x), signed(x)) == min(map(signed, group))
+    assert edges.count() < 31 * len(fps)  # forests, not pairs
+
+
 def test_masks_cover():
     masks = [int(m) for m in simhash.covering_masks(4)]
     rng = random.Random(1)
@@ -423,3 +455,20 @@ def test_hash_helpers():
     assert tb.sliding_argmin(values, 3).tolist() == [2, 2, 4, 5, 5]
     runs = tb.run_hashes(np.array([1, 2, 1, 2, 1], dtype=np.uint64), 2)
     assert runs[0] == runs[2] and runs[1] == runs[3] and runs[0] != runs[1]
+
+
+def test_very_long_texts(spark):
+    """A text of 60,000 words, among them one of 100,000 letters, through every operator on texts."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(400)}" for _ in range(60000)) + " " + "x" * 100000
+    rows = [(1, long, "en", "a", 1), (2, "short one", "en", "b", 1), (3, "a " + long, "en", "a", 1), (4, None, "en", None, 0)]
+    docs = frame(spark, rows)
+    found = substring_dedup.without_repeats(docs)
+    assert Counter(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_windows(rows, 50)
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs).collect()} == {r[0]: f"{brute_fingerprint(r[1]):016x}" for r in rows}
+    reference = Tokenizer.from_file(bpe.default_path())
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.encode_documents(docs, ids=False).collect()} == {r[0]: len(reference.encode(r[1] or "", add_special_tokens=False).ids) for r in rows}
+    scored = hmm_lm.hmm_scores(docs, rounds=1).collect()
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3)) for r in scored) == brute_base(rows, 3)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.quality_scores(docs, labels).count() == 4
