@@ -2,12 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads; all but the last return the columns
 of documents. run() writes each stage's rows as Parquet in the shared folder and reads them again, so a lost
-executor costs a stage's own tasks only.
+executor costs a stage's own tasks only. What a stage kept there besides is deleted when its rows are written, and its
+rows when the next stage's are.
+
+Defined cases, in every stage: a null text counts as empty, and empty texts are judged by the classifier's bias; of
+repeated rows and of ties one row stays, by doc_id (null last), then text; documents without an id are told apart by
+their texts; very long texts are taken whole; an empty table gives no rows, and columns beyond those of documents are
+carried along, whatever their names.
 
 1. quality: documents that the classifier rejects (score under 0.7) go. Labels of held-out rows are not read.
 2. exact_dedup: of texts equal up to white space, one stays.
-3. near_dedup: of each group of near-duplicates (SimHash of 4-word shingles within 4 bits), that with the smallest
-   doc_id stays.
+3. near_dedup: of each component of near-duplicates (SimHash of 4-word shingles within 4 bits), the row with the
+   smallest doc_id stays.
 4. mixing: documents repeat or go as the mix of sources plays them.
 5. encoding: doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of what is left, one row a play.
 """
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import bpe, exact_dedup, mixing, quality, simhash
-from corpusloom.llm.common import stored, table
+from corpusloom.llm.common import discard, fresh_dir, scratch, table
 from corpusloom.shipping import ship
 
 
@@ -57,7 +63,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            done = stage(spark, docs, sf_dir)
+            path = keep(fresh_dir(spark, f"pipeline-{name}"))
+            done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+        if before is not None:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
