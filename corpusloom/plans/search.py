@@ -44,7 +44,9 @@ def index(t) -> search.Index:
 
 @register("q02_build_index", f"with d as (select urn, {TOKENS} as tk from v_laws), p as (select urn, unnest(tk) as term from d) select (select count(*) from d) as acts, count(distinct (urn, term)) as postings, count(*) as tokens, count(distinct term) as terms from p")
 def _(t):
-    built = search.build_index(t.laws, f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}")
+    path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    built = search.build_index(t.laws, path)
+    _paths[t.spark.sparkContext.applicationId, t.sf_dir] = path
     counts = built.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
     return counts.select(F.lit(built.total).cast("long").alias("acts"), "postings", "tokens", "terms")
 
