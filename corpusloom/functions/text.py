@@ -128,9 +128,13 @@ def labels_of(text: Column, table: dict[str, list[str]], whole_word: bool = Fals
     return F.flatten(F.transform(F.array(text), marks))
 
 
+#: Fixed value: a euro amount in lower-case text.
+AMOUNT = r"(?:€\s*|eur\s*)(\d{1,3}(?:[\.,]\d{3})*(?:[\.,]\d{1,2})?|\d+(?:[\.,]\d{1,2})?)"
+
+
 def amounts(text: Column) -> Column:
     """Euro amounts of a text. Dots are thousands marks and a comma is the decimal mark, so 12.50 reads 1250."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:€\s*|eur\s*)(\d{1,3}(?:[\.,]\d{3})*(?:[\.,]\d{1,2})?|\d+(?:[\.,]\d{1,2})?)"), 1)
+    found = F.regexp_extract_all(F.lower(text), F.lit(AMOUNT), 1)
     values = F.transform(found, lambda x: F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"))
     return F.filter(values, lambda x: x.isNotNull())
 
@@ -148,10 +152,14 @@ def keyword_context(text: Column, words: list[str], before: int = 80, after: int
     return F.coalesce(*cases, F.lit(""))
 
 
+#: What is replaced in pages, in this order, and the named characters that are decoded after it.
+PAGE_STEPS = [(r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", "")]
+ENTITIES = [("nbsp", " "), ("egrave", "è"), ("agrave", "à"), ("igrave", "ì"), ("ograve", "ò"), ("ugrave", "ù"), ("amp", "&"), ("lt", "<"), ("gt", ">")]
+
+
 def html_to_text(html: Column) -> Column:
     """Text of a page: no scripts, styles and tags, entities decoded, blanks squeezed."""
-    steps = [(r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", "")]
-    steps += [(f"&{name};", char) for name, char in (("nbsp", " "), ("egrave", "è"), ("agrave", "à"), ("igrave", "ì"), ("ograve", "ò"), ("ugrave", "ù"), ("amp", "&"), ("lt", "<"), ("gt", ">"))]
+    steps = PAGE_STEPS + [(f"&{name};", char) for name, char in ENTITIES]
     text = reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, html)
     text = decoded_numbers(text)
     return stripped(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))

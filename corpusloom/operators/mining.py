@@ -186,14 +186,19 @@ def extract_links(pages: DataFrame, key: str = r"^[^#?]*") -> DataFrame:
     return rows.groupBy("page_id", "key").agg(F.min("pos").alias("pos"), F.min_by("href", "pos").alias("href"))
 
 
+#: How article pages mark their headings, body and plain text.
+HEADING = r'(?is)<h2[^>]*class="{name}"[^>]*>(.*?)</h2>'
+BODY = r'(?is)<div[^>]*class="bodyTesto"[^>]*>(.*?)(?:</div>\s*<div[^>]*class="d-flex)'
+BODY_HEADING = r'(?is)<h2[^>]*class="(?:article-num|preamble)[^"]*"[^>]*>.*?</h2>'
+PLAIN = r'(?is)<span[^>]*class="art-just-text-akn"[^>]*>(.*?)</span>'
+
+
 def extract_fragment(pages: DataFrame) -> DataFrame:
     """Preamble, number and body of an article page, present parts on lines of their own."""
-    head = lambda name: F.regexp_extract("html", rf'(?is)<h2[^>]*class="{name}"[^>]*>(.*?)</h2>', 1)
-    body = F.regexp_extract("html", r'(?is)<div[^>]*class="bodyTesto"[^>]*>(.*?)(?:</div>\s*<div[^>]*class="d-flex)', 1)
-    body = F.regexp_replace(body, r'(?is)<h2[^>]*class="(?:article-num|preamble)[^"]*"[^>]*>.*?</h2>', "")
-    plain = F.regexp_extract("html", r'(?is)<span[^>]*class="art-just-text-akn"[^>]*>(.*?)</span>', 1)
-    has_body = F.col("html").rlike(r'(?is)<div[^>]*class="bodyTesto"[^>]*>(.*?)(?:</div>\s*<div[^>]*class="d-flex)')
-    parts = [fx.html_to_text(c) for c in (head("preamble-title-akn"), head("article-num-akn"), F.when(has_body, body).otherwise(plain))]
+    head = lambda name: F.regexp_extract("html", HEADING.format(name=name), 1)
+    body = F.regexp_replace(F.regexp_extract("html", BODY, 1), BODY_HEADING, "")
+    text = F.when(F.col("html").rlike(BODY), body).otherwise(F.regexp_extract("html", PLAIN, 1))
+    parts = [fx.html_to_text(c) for c in (head("preamble-title-akn"), head("article-num-akn"), text)]
     return pages.select("page_id", F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts)).alias("fragment"))
 
 
@@ -205,10 +210,13 @@ def assemble_document(fragments: DataFrame) -> DataFrame:
     return rows.select("doc", F.array_join(F.col("parts.fragment"), "\n\n").alias("text"), "articles")
 
 
+#: Where XML has dates.
+DATES = [r'date="(\d{4}-\d{2}-\d{2})"', r"<date[^>]*>(\d{4}-\d{2}-\d{2})<", r'anno="(\d{4})"', r'number="\d+/(\d{4})"']
+
+
 def extract_dates(df: DataFrame, text: str = "xml") -> DataFrame:
     """One row per date in XML: by attribute, element, year attribute and number/year, in that order."""
-    patterns = [r'date="(\d{4}-\d{2}-\d{2})"', r"<date[^>]*>(\d{4}-\d{2}-\d{2})<", r'anno="(\d{4})"', r'number="\d+/(\d{4})"']
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in patterns))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in DATES))
     return df.select("*", F.explode(found).alias("date")).drop(text)
 
 
