@@ -16,6 +16,20 @@ def test_every_change_is_judged(spark):
     assert {r["id"] % 10 for r in rows if tuple(r[1:4]) in want} == set(range(10))
 
 
+def test_every_change_and_amendment_of_the_plain_queries(spark):
+    """c02 and a01 read all rows, too: nothing is left out by an id."""
+    rows = Tables(spark, SF).log.selectExpr("collection", "old_etag", "concat(new_etag, '-', id div 50) as new_etag", "detected_at < timestamp'2024-01-08' as logged").collect()
+    log = {tuple(r[:3]) for r in rows if r["logged"]}
+    want = {tuple(r[:3]) for r in rows} - log
+    found = [tuple(r) for r in catalog.queries()["c02_record_changes"](spark, SF).collect()]
+    assert log and want and len(found) == len(set(found)) and set(found) == want
+    amendments = Tables(spark, SF).amendments.select("urn", "amending_urn", "action", "seq").collect()
+    keys = {(r[0], r[1], r[2] + old) for r in amendments for old in ("", ":old")}
+    upserted = catalog.queries()["a01_upsert_amendments"](spark, SF).collect()
+    assert {tuple(r[:3]) for r in upserted} == keys and len(upserted) == len(keys)
+    assert all(r["date_effective"].startswith("2024" if r["action"].endswith(":old") else "2026") for r in upserted)
+
+
 def test_every_amendment_takes_part(spark):
     rows = Tables(spark, SF).amendments.select("urn", "amending_urn", "action", "seq", "date_effective").collect()
     want = {}
