@@ -52,7 +52,7 @@ OWN, STAY = 0.7, 1000
 HEAD = 65536
 #: Fixed value: the hash that stands for the end token.
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -352,8 +352,11 @@ def scores(texts: DataFrame, counts: DataFrame, fitted: Fitted) -> DataFrame:
 
     fields = f"doc_id {kind}, held_out boolean, version long, n_tokens long, known long, base double, model double"
     scanned = stored(rows.select("doc_id", "held_out", "text", "version").mapInArrow(scan, fields + ", words array<long>, tails array<int>, times array<long>"), "scanned")
+    # rows alike in id and text must count once below, as sums come back to each of them
+    repeated = not scanned.groupBy("doc_id", "version").count().filter("count > 1").isEmpty()
     rare = scanned.select("doc_id", "version", F.explode(F.arrays_zip("words", "tails", "times")).alias("x"))
-    rare = rare.select("doc_id", "version", F.col("x.words").alias("word"), F.col("x.tails").alias("tail"), F.col("x.times").alias("times")).distinct()
+    rare = rare.select("doc_id", "version", F.col("x.words").alias("word"), F.col("x.tails").alias("tail"), F.col("x.times").alias("times"))
+    rare = rare.distinct() if repeated else rare
     unit = fitted.unit()
     joined = rare.join(counts, ["word", "tail"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = joined.groupBy("doc_id", "version").agg(
