@@ -78,13 +78,17 @@ def test_stages_on_awkward_rows(spark):
 
 def test_run_leaves_one_folder(spark):
     """Of what the stages store, the rows that the last one reads are left."""
-    before = len(common._made)
-    df = corpus_pipeline.run(spark, SF)
-    left = common._made[before:]
-    assert df.count() > 0
-    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{common.shared_dir(spark)}/*")]
-    names = [str(s.getPath().getName()) for p in paths for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)]
-    assert sum(n.startswith("pipeline-") for n in names) == 1 and not left
+
+    def folders():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{common.shared_dir(spark)}/*")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return {str(s.getPath().getName()) for s in found}
+
+    before = folders()
+    made = len(common._made)
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = {n for n in folders() - before if "-" in n and n.split("-")[0] in ("pipeline", "fingerprints", "measured")}
+    assert len(left) == 1 and left.pop().startswith("pipeline-mixing-") and len(common._made) == made
 
 
 def test_queries_with_sql(spark):
