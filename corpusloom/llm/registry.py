@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, exact_dedup, hard_negatives, hmm_lm, media, mixing, quality, simhash, substring_dedup, token_counts, warc
+from corpusloom.llm import bpe, chat, exact_dedup, hard_negatives, hmm_lm, media, mixing, quality, repair, simhash, substring_dedup, token_counts, warc
 from corpusloom.llm.common import table
 
 
@@ -17,6 +17,7 @@ def queries():
         "op6_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
         "op7_exact_dedup": lambda spark, sf: exact_dedup.exact_dedup(table(spark, sf, "documents")),
         "op8_quality": quality.op8,
+        "op11_repair": repair.op11,
         "op12_token_counts": token_counts.op12,
         "op13_hard_negatives": hard_negatives.op13,
         "op9_chat": lambda spark, sf: chat.chat_texts(table(spark, sf, "conversations")),
@@ -24,4 +25,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_chat": chat.OP9_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_chat": chat.OP9_SQL, "op11_repair": repair.OP11_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
