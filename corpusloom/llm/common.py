@@ -55,12 +55,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[str], str]]:
         kept.add(path)
         return path
 
-    yield keep
-    made = _made[begin:]
-    del _made[begin:]
-    for path in made:
-        if path not in kept:
-            discard(spark, path)
+    try:
+        yield keep
+    finally:
+        made = _made[begin:]
+        del _made[begin:]
+        for path in made:
+            if path not in kept:
+                discard(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

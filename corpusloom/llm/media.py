@@ -6,8 +6,8 @@ stores a payload once however often it meets it, and of copies that several task
 the first by (file, offset). Nothing but (digest, place) rows is shuffled: payloads never move between tasks.
 
 Metadata columns (width, height, bit depth) come from range reads of the first HEADER bytes and of nothing else:
-headers are only read together if they lie closer than HEADER_GAP. Features come from reading and decoding the stored
-images, each once; who reads an image whole takes its header from the same bytes.
+headers are only read together if they lie closer than HEADER_GAP. Features come from a second pass, which reads and
+decodes each stored image once and holds it against its header's columns.
 
 Defined cases: null and empty texts are one row of blanks; equal texts share one stored image; repeated rows and
 other ties give repeated rows; a very long text is one image in memory; an empty table gives no shard; other columns
@@ -135,6 +135,8 @@ def _header(row: dict, data: bytes) -> dict:
 def _content(row: dict, data: bytes) -> dict:
     if hashlib.sha256(data).digest() != row["digest"]:
         raise ValueError(f"the stored image {row['digest'].hex()} is damaged")
+    if png_header(data) != (row["width"], row["height"], row["depth"]):
+        raise ValueError(f"the header of {row['digest'].hex()} is not the stored image's")
     samples = png_samples(data)
     return {"payload_bytes": len(samples), "payload_sha": hashlib.sha256(samples).digest(), "tail_crc32": zlib.crc32(samples[-16:]), "feature": feature(samples)}
 
@@ -150,7 +152,7 @@ def _read(index: DataFrame, folder: str, columns: list[tuple], *, whole: bool) -
                 rows = batch.slice(at, 1000).to_pylist()
                 if whole:
                     for row, data in read_ranges(folder, rows):
-                        row.update(_header(row, data[:HEADER]), **_content(row, data))
+                        row.update(_content(row, data))
                 else:
                     for row in rows:
                         row["__head"] = min(HEADER, row["length"])
@@ -167,15 +169,17 @@ def header_columns(index: DataFrame, folder: str) -> DataFrame:
 
 
 def media_features(index: DataFrame, folder: str) -> DataFrame:
-    """The (stored) index with what the stored images hold; an image that disagrees with its digest is an error."""
-    return _read(index, folder, HEADER_COLUMNS + CONTENT_COLUMNS, whole=True)
+    """The rows of header_columns() (stored) with what the images hold; one that disagrees with its digest or header is an
+    error."""
+    return _read(index, folder, CONTENT_COLUMNS, whole=True)
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Every document with its stored image's columns, read back: each image once, in the order of the shards."""
+    """Every document with its stored image's columns, read back: all headers, then each image once, in the order of the shards."""
     folder = fresh_dir(docs.sparkSession, "media")
     rows = store_media(docs, folder)
-    found = media_features(stored(places(rows), "media-places"), folder).drop("file", "offset")
+    headed = stored(header_columns(stored(places(rows), "media-places"), folder), "media-headers")
+    found = media_features(headed, folder).drop("file", "offset")
     hexed = lambda c: F.lower(F.hex(c))
     return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("digest").alias("media_sha256"), "feature", "width", "height", "depth"

@@ -3,7 +3,7 @@
 1. Targets. Sources in code-point order, null last, get the weights 5, 2, 1, repeating. Together they take
    `share` times all words; a source takes at most `cap` times its own words and what it cannot take goes to
    the others by weight (water filling, one row per source).
-2. Blocks. The documents of a source are shuffled by a hash of doc_id and laid end to end; the stream is cut
+2. Blocks. The documents of a source are shuffled by a hash of doc_id and text and laid end to end; the stream is cut
    into blocks of B words. Offsets come from two levels of prefix sums (4,096 hash ranges per source, then
    rows), so one source that holds a third of all rows is spread over thousands of window groups.
 3. Schedule. Slot i has the golden-ratio point frac(i * phi), in 32-bit integers; the source whose interval of
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, cut, joined_small, whole_text
@@ -38,20 +38,21 @@ PARTS = 4096
 
 
 def measured(docs: DataFrame, seed: str) -> DataFrame:
-    """doc_id, source, size in words, and the shuffling key of each document."""
-    return docs.select(
-        "doc_id",
-        F.col("source").cast("string").alias("source"),
-        F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("key"),
-    )
+    """doc_id, source, size in words, the shuffling key, and n, how many rows are alike in these: one row each."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"), _key(seed).alias("key"))
+    return rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n"))
+
+
+def _key(seed: str) -> Column:
+    """A hash of doc_id and text: rows without an id, or of one id, are shuffled by their texts."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.md5(whole_text())))
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per source: no, source, source_size, weight, target (double)."""
     every = Window.partitionBy()
     filled = every.orderBy("ratio", "no")
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     rows = rows.withColumn("no", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1)
     rows = rows.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("no") % len(weights) + 1).cast("int")))
     rows = rows.withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("most") / F.col("weight"))
@@ -67,23 +68,25 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
 
 @dataclass
 class Mix:
-    """documents: no, doc_id, source, size, start, source_size, target. segments: the mix in slot order."""
+    """documents: no, doc_id, source, size, key, start, source_size, target. segments: the mix in slot order."""
 
     documents: DataFrame
     segments: DataFrame
 
 
 def _placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each document's first word in its source's shuffled stream."""
+    """Each document's first word in its source's shuffled stream; rows alike in all that is read follow each other."""
     keyed = joined_small(
         sizes, targets.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its"))
     ).withColumn("bucket", F.substring("key", 1, 3))
     before = Window.partitionBy("no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("no", "bucket").agg(F.sum("size").alias("words"))
+    words = F.col("size") * F.col("n")
+    offsets = keyed.groupBy("no", "bucket").agg(F.sum(words).alias("words"))
     offsets = offsets.select("no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("no", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = keyed.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["no", "bucket"])
-    return rows.select("no", "doc_id", "source", "size", (F.col("offset") + F.col("within")).alias("start"), "source_size", "target")
+    rows = keyed.withColumn("within", F.coalesce(F.sum(words).over(within), F.lit(0))).join(offsets, ["no", "bucket"])
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(0L, n - 1)")))
+    return rows.select("no", "doc_id", "source", "size", "key", (F.col("offset") + F.col("within") + F.col("copy") * F.col("size")).alias("start"), "source_size", "target")
 
 
 def _slots(targets: DataFrame, block: int) -> DataFrame:
@@ -155,25 +158,33 @@ def words_taken(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix plays them, with all their columns: a row for each epoch that takes at least
-    half of its words. Documents without words stay once; rows alike in doc_id, source and size share their
-    plays evenly, rounded up."""
-    made = mix(docs, **options)
+def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """The documents as the mix plays them, with all their columns: a row for each epoch that takes the document whole,
+    and one more for the document whose size is nearest to what its source then lacks. Documents without words stay
+    once; rows alike in doc_id, source and text share their plays evenly, rounded up. Only the keys of rows that are
+    not played once meet the texts."""
+    made = mix(docs, seed=seed, **options)
     epochs = made.segments.groupBy("no", "start", "epoch").agg(F.sum(F.col("end_word") - F.col("begin_word")).alias("words"))
     rows = made.documents.withColumn("at", F.when(F.col("size") > 0, F.col("start")))
     plays = rows.join(epochs.withColumnRenamed("start", "at"), ["no", "at"], "left")
-    plays = plays.groupBy("doc_id", "source", "size", "start").agg(F.count_if(F.expr("size = 0 or 2 * words >= size")).alias("plays"))
-    plays = plays.groupBy("doc_id", "source", "size").agg(F.ceil(F.sum("plays") / F.sum(F.when(F.col("size") > 0, 1).otherwise(F.col("plays")))).cast("int").alias("__plays"))
-    plays = plays.filter("__plays > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__size"), "__plays")
-    keyed = docs.withColumn("__words", F.regexp_count(whole_text(), F.lit(WORD)).cast("long"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__of")) & (F.col("__words") == F.col("__size"))
-    return keyed.join(plays, on).withColumn("__play", F.explode(F.sequence(F.lit(1), F.col("__plays")))).select(*docs.columns)
+    whole = F.count_if(F.expr("size = 0 or words = size")).alias("plays")
+    plays = cut(plays.groupBy("key", "source", "no", "at", "size", "source_size", "target").agg(whole))
+    left = cut(plays.groupBy("no").agg((F.floor(F.max("target")) - F.sum(F.col("plays") * F.col("size"))).alias("gap")))
+    again = joined_small(plays, left, "no").withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter("off < gap and plays = floor(try_divide(target, source_size))")
+    nearest = cut(again.groupBy("no").agg(F.min_by("at", F.struct("off", "at")).alias("at")).withColumn("more", F.lit(1)))
+    plays = joined_small(plays, nearest, ["no", "at"], "left").withColumn("plays", F.col("plays") + F.coalesce("more", F.lit(0)))
+    alike = F.sum(F.when(F.col("size") > 0, 1).otherwise(F.col("plays")))
+    plays = plays.groupBy("key", "source").agg(F.ceil(F.sum("plays") / alike).cast("int").alias("__plays"))
+    plays = cut(plays.filter("__plays <> 1").select(F.unhex("key").alias("__its"), F.col("source").alias("__of"), "__plays"))
+    keyed = docs.withColumn("__key", F.unhex(_key(seed)))
+    on = (F.col("__key") == F.col("__its")) & F.col("source").cast("string").eqNullSafe(F.col("__of"))
+    played = joined_small(keyed, plays, on, "left").withColumn("__plays", F.coalesce("__plays", F.lit(1))).filter("__plays > 0")
+    return played.withColumn("__play", F.explode(F.sequence(F.lit(1), F.col("__plays")))).select(*docs.columns)
 
 
 OP1_SQL = r"""
 with m as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-  md5('mix' || coalesce(':' || doc_id::varchar, '')) as key from documents),
+  md5('mix' || coalesce(':' || doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key from documents),
 s as (select source, sum(size)::bigint as source_size from m group by source),
 n as (select *, row_number() over (order by source asc nulls last) - 1 as no from s),
 w as (select *, case no % 3 when 0 then 5 when 1 then 2 else 1 end as weight, source_size * 2.0::double as most,

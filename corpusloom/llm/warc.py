@@ -76,7 +76,7 @@ def parsed(data: bytes) -> dict:
 def _decided(pages: DataFrame, min_revisit: int) -> DataFrame:
     """page_id, url, html, refers_to, record_type. Only groups of several pages are joined back."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
+    rows = rows.withColumn("sha", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
     groups = rows.filter(F.col("size") >= min_revisit).groupBy("sha", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
     groups = cut(groups.filter("n > 1").drop("n"))
     rows = joined_small(rows, groups, ["sha", "size"], "left")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from corpusloom.llm import blobs, chat, exact_dedup, media, mixing, warc
 from corpusloom.llm.common import fresh_dir
@@ -129,7 +130,8 @@ def test_media_headers_alone(spark, monkeypatch):
     rows = [(i, "".join(chr(rng.randrange(32, 126)) for _ in range(4000)), "en", "a", 1) for i in range(30)] + awkward()
     folder = fresh_dir(spark, "media-test")
     places = media.stored(media.places(media.store_media(frame(spark, rows), folder)), "places-test")
-    whole = media.media_features(places, folder).select("digest", "width", "height", "depth").collect()
+    headed = media.stored(media.header_columns(places, folder), "headed-test")
+    whole = media.media_features(headed, folder).select("digest", "width", "height", "depth").collect()
     assert sorted(map(tuple, media.header_columns(places, folder).select("digest", "width", "height", "depth").collect())) == sorted(map(tuple, whole))
     index = sorted((r.asDict() for r in places.collect()), key=lambda r: (r["file"], r["offset"]))
     read = []
@@ -247,3 +249,60 @@ def test_chat_in_parts(spark):
     assert [r["conv_id"] for r in found] == [1] * 7
     whole = chat.chat_texts(spark.createDataFrame(long, CHAT)).first()["text"]
     assert "".join(r["text"] for r in found) == whole
+
+
+def test_media_takes_headers_from_their_own_reads(spark, monkeypatch):
+    """The query's metadata columns are those of the header reads, which the content pass holds against the images."""
+    docs = frame(spark, [(1, "a", "en", "a", 1), (2, "b" * 500, "en", "a", 500)])
+    true, asked = media.header_columns, []
+
+    def headers(index, folder):
+        asked.append(index.columns)
+        return true(index, folder)
+
+    monkeypatch.setattr(media, "header_columns", headers)
+    assert sorted((r["width"], r["height"], r["depth"]) for r in media.media_round_trip(docs).collect()) == [(192, 1, 8), (192, 3, 8)]
+    assert asked
+    monkeypatch.setattr(media, "header_columns", lambda index, folder: true(index, folder).withColumn("depth", F.lit(7)))
+    with pytest.raises(Exception, match="header"):
+        media.media_round_trip(docs).collect()
+
+
+def test_header_reads_fetch_headers_alone(spark, tmp_path):
+    """With everything but the headers of the shards overwritten, the header columns are the same."""
+    folder = fresh_dir(spark, "media")
+    docs = frame(spark, [(i, f"{i} " * 3000, "en", "a", 1) for i in range(12)])
+    index = media.places(media.store_media(docs, folder))
+    want = sorted(map(tuple, media.header_columns(index, folder).collect()))
+    path = folder.removeprefix("file://")
+    for name in {r["file"] for r in index.collect()}:
+        rows = [r for r in index.collect() if r["file"] == name]
+        with open(f"{path}/{name}", "r+b") as shard:
+            data = bytearray(len(shard.read()))
+            for r in rows:
+                shard.seek(r["offset"])
+                data[r["offset"] : r["offset"] + media.HEADER] = shard.read(media.HEADER)
+            shard.seek(0)
+            shard.write(data)
+    assert sorted(map(tuple, media.header_columns(index, folder).collect())) == want
+
+
+def test_mixing_spreads_rows_without_ids(spark):
+    """Rows without an id, and of one id, lie all over their source's stream; equal rows are placed one after the other."""
+    rows = [(None, f"text {i}", "en", "a", 1) for i in range(400)] + [(7, f"t {i}", "en", "a", 1) for i in range(400)] + [(8, "same row", "en", "a", 1)] * 50
+    docs = frame(spark, rows)
+    keys = mixing.measured(docs, "mix").collect()
+    assert len({r["key"] for r in keys}) == 801 and max(Counter(r["key"][:1] for r in keys).values()) < 120
+    found = mixing.words_taken(docs).collect()
+    assert len(found) == 850 and sum(r["taken"] for r in found) == 850 * 3
+    assert Counter(r["text"] for r in mixing.mixed_documents(docs).collect())["same row"] in (50, 100)
+
+
+def test_mixed_documents_plays_each_text_by_its_own_slots(spark):
+    """Texts of one id and size are not mixed up: what is played follows their own places."""
+    rows = [(1, f"a{i} b c d", "en", "a", 1) for i in range(30)] + [(2, "x " * 5, "en", "b", 1)]
+    docs = frame(spark, rows)
+    made = mixing.mix(docs)
+    out = Counter(r["text"] for r in mixing.mixed_documents(docs).collect() if r["source"] == "a")
+    target = next(r["target"] for r in made.documents.collect() if r["source"] == "a")
+    assert set(out.values()) <= {1, 2} and len(out) == 30 and abs(4 * sum(out.values()) - target) <= 2
