@@ -11,7 +11,7 @@ from corpusloom.catalog import register
 from corpusloom.operators import graph, reports
 from corpusloom.sources import files
 from corpusloom.sources.tables import shared_dir
-from corpusloom.streaming import jobs
+from corpusloom.streaming import jobs, keyed
 
 
 def _stream(t, *columns: str) -> DataFrame:
@@ -35,8 +35,8 @@ def _watched(t, job, stream: DataFrame) -> DataFrame:
     return jobs.seen_changes(t.spark, f"{where}/out")
 
 
-def _keyed(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+def _keyed(events: DataFrame, *more: str) -> DataFrame:
+    return events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"), *more)
 
 
 @register("l01_ingest", """with d as (select concat('user:', user_id) as urn, event_type as status, event_id as ts, row_number() over (partition by user_id order by event_id desc) as n from events) select urn, status, ts from d where n = 1""")
@@ -58,6 +58,23 @@ def _(t):
     return jobs.value_changes_batch(_keyed(t.events))
 
 
+def _by_state(t, rows: DataFrame, tags: bool) -> DataFrame:
+    """What the keyed stream emits of rows (key, value, seq, ts)."""
+    where = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    keyed.run(keyed.changes(rows, "2 hours", tags), f"{where}/out", f"{where}/state")
+    return keyed.seen(t.spark, f"{where}/out").drop("ts")
+
+
+PASSED = "ts <= (select max(ts) - interval 2 hours from events)"
+
+
+@register("l02_status_changes_keyed", f"""with r as (select user_id::varchar as key, event_type as value, event_id as seq, ts, lag(event_type) over (partition by user_id order by ts, event_id) as f from events)
+ select key, f as "from", value as "to", seq from r where f <> value and {PASSED}""")
+def _(t):
+    rows = _keyed(_stream(t, "user_id", "event_type", "event_id", "ts"), "ts")
+    return _by_state(t, rows, False).drop("is_new")
+
+
 TAGS = """with r as (select collection as key, old_etag as value, id as seq, lag(old_etag) over (partition by collection order by id) as f from v_log where old_etag is not null) select key, f as "from", value as "to", seq, f is null as is_new from r where f is null or f <> value"""
 
 
@@ -73,6 +90,14 @@ def _(t):
     return jobs.tag_changes_batch(t.log.select(F.col("collection").alias("key"), F.col("old_etag").alias("value"), F.col("id").alias("seq")))
 
 
+@register("l03_tag_changes_keyed", f"""with e as (select concat('coll', user_id % 20) as key, concat('e', event_id % 9) as value, event_id as seq, ts from events where event_id % 4 <> 0),
+ r as (select *, lag(value) over (partition by key order by ts, seq) as f from e) select key, f as "from", value as "to", seq, f is null as is_new from r where (f is null or f <> value) and {PASSED}""")
+def _(t):
+    tag = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("e"), (F.col("event_id") % 9).cast("string")))
+    rows = _stream(t).select(F.concat(F.lit("coll"), (F.col("user_id") % 20).cast("string")).alias("key"), tag.alias("value"), F.col("event_id").alias("seq"), "ts")
+    return _by_state(t, rows, True)
+
+
 @register("l04_activity_stream", """select date_trunc('day', ts) as start, event_type as action, count(*) as n from events group by 1, 2
  having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 2 hours from events)""")
 def _(t):

@@ -112,6 +112,10 @@ def _watch(stream: DataFrame, path: str, checkpoint: str, tags: bool, span: int)
         held = Versions(batch.sparkSession, f"{path}/held", "key")
         rows = checkpointed(batch.select("key", "value", "seq"))
         before = checkpointed(held.read("key string, value string, seq long", before=batch_id, touched=rows))
+        firsts = rows.groupBy(F.col("key").alias("k")).agg(F.min("seq").alias("first"))
+        late = before.join(firsts, F.col("key").eqNullSafe(F.col("k"))).filter("first < seq").select("key", "first", "seq").first()
+        if late:
+            raise ValueError(f"batch {batch_id} has seq {late['first']} of {late['key']!r} after {late['seq']}: use keyed.changes for rows out of order")
         found = _changes(rows, before.select("key", "value"), tags, span)
         found.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
         seen = rows.filter("value is not null") if tags else rows.withColumn("value", F.coalesce("value", F.lit("")))
@@ -124,7 +128,8 @@ def _watch(stream: DataFrame, path: str, checkpoint: str, tags: bool, span: int)
 def value_changes(stream: DataFrame, path: str, checkpoint: str, span: int = SPAN):
     """Changes of each key's value in a stream of (key, value, seq), such as the statuses of acts, below path/changes.
 
-    Batches must come in the order of seq. What is held between batches is one value a key, in buckets by key."""
+    Batches must come in the order of seq of each key; one that does not is an error (keyed.changes takes any order within a
+    delay). What is held between batches is one value a key, in buckets by key."""
     return _watch(stream, path, checkpoint, False, span)
 
 
