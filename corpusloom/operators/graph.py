@@ -110,32 +110,57 @@ def neighborhood(cit: DataFrame, laws: DataFrame, urn: str, depth: int = 1, max_
     return known.join(F.broadcast(seen), "urn").select("urn", "title", "type", "year", "depth", (F.col("urn") == urn).alias("is_center"))
 
 
-def importance(laws: DataFrame, cit: DataFrame, iterations: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def importance(laws: DataFrame, cit: DataFrame, iterations: int = 20, damping: float = 0.85, cut_every: int = 5, hub: int = 1_000_000) -> DataFrame:
     """PageRank: urn, pagerank (8 decimals), importance_score (0 to 100 of the largest, 2 decimals).
 
     Nodes are the known acts on any edge, out-degrees count all edges, and mass of acts without citations is not
-    handed out again. Nodes are dealt out once by urn and edges once by citing urn, each with 1 / out-degree; a round
-    joins them where they lie and moves only the contributions, added up in the map tasks. Every `cut_every` rounds a
-    reliable checkpoint cuts the lineage."""
-    from corpusloom.sources.tables import checkpointed
+    handed out again. Nodes get numbers; nodes and the cited acts of each (with 1 / out-degree) are stored once in tables
+    of equal buckets by number, so a round joins ranks and citations where they lie, adds contributions up in the map
+    tasks and exchanges these alone: one exchange a round. Every `cut_every` rounds the ranks are stored the same way.
+    Acts with more than `hub` citations have no such row: their edges are dealt out evenly and meet the few hubs' ranks
+    in a broadcast, of at most one hub for every `hub` edges."""
+    import uuid
+
+    from corpusloom.sources.tables import checkpointed, shared_dir
 
     spark = cit.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = laws.select("urn")
+    made = []
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        """The rows in a table of `parts` buckets by id, which joins and aggregations by id read in place."""
+        name = f"corpusloom_{uuid.uuid4().hex}"
+        made.append(name)
+        df.repartition(parts, "id").write.bucketBy(parts, "id").sortBy("id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        return spark.table(name)
+
+    cit = checkpointed(cit.select("citing_urn", "cited_urn"))
     ends = cit.select(F.col("citing_urn").alias("urn")).union(cit.select("cited_urn"))
-    nodes = checkpointed(ends.distinct().join(known, "urn", "left_semi").repartition(parts, "urn"))
+    names = checkpointed(ends.distinct().join(laws.select("urn"), "urn", "left_semi").withColumn("id", F.monotonically_increasing_id()))
+    nodes = bucketed(names)
     n = nodes.count()
-    out = cit.groupBy("citing_urn").agg((1 / F.count("*")).alias("share"))
-    edges = cit.select("citing_urn", "cited_urn").join(nodes.withColumnRenamed("urn", "cited_urn"), "cited_urn", "left_semi").join(out, "citing_urn")
-    edges = checkpointed(edges.select(F.col("citing_urn").alias("urn"), "cited_urn", "share").repartition(parts, "urn"))
+    degrees = cit.groupBy("citing_urn").agg(F.count("*").alias("degree"))
+    cited = cit.join(names.select(F.col("urn").alias("cited_urn"), F.col("id").alias("to")), "cited_urn")
+    edges = cited.join(degrees, "citing_urn").join(names.select(F.col("urn").alias("citing_urn"), "id"), "citing_urn").select("id", "to", "degree")
+    few = bucketed(edges.filter(F.col("degree") <= hub).groupBy("id").agg((1 / F.first("degree")).alias("share"), F.collect_list("to").alias("to")))
+    many = checkpointed(edges.filter(F.col("degree") > hub).select("id", "to", (1 / F.col("degree")).alias("share")).repartition(parts))
+    hubs = not many.isEmpty()
     base = F.lit((1 - damping) / max(n, 1))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    ids = nodes.select("id")
+    ranks = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(1, iterations + 1):
-        given = edges.join(ranks, "urn").groupBy(F.col("cited_urn").alias("urn")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        ranks = nodes.join(given, "urn", "left").select("urn", (base + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
-        if i % cut_every == 0 and i < iterations:
-            ranks = checkpointed(ranks)
-    ranks = checkpointed(ranks)
+        part = (F.col("rank") * F.col("share")).alias("part")
+        given = few.join(ranks.hint("shuffle_hash"), "id").select(F.explode("to").alias("to"), part)
+        if hubs:
+            of_hubs = ranks.join(F.broadcast(many.select("id").distinct()), "id", "left_semi")
+            given = given.union(many.join(F.broadcast(of_hubs), "id").select("to", part))
+        total = given.groupBy(F.col("to").alias("id")).agg(F.sum("part").alias("in"))
+        ranks = ids.join(total.hint("shuffle_hash"), "id", "left").select("id", (base + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
+        if (hubs or i % cut_every == 0) and i < iterations:
+            ranks = bucketed(ranks)
+    ranks = checkpointed(nodes.join(ranks.hint("shuffle_hash"), "id").select("urn", "rank"))
+    for name in made:
+        spark.sql(f"drop table {name}")
     top = ranks.agg(F.max("rank").alias("m")).select("m").scalar()
     return ranks.select("urn", F.round("rank", 8).alias("pagerank"), F.round(F.col("rank") / top * 100, 2).alias("importance_score"))
 

@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
-from corpusloom.operators import graph
+from corpusloom.operators import adjacency, graph
+from corpusloom.sources.tables import shared_dir
 
 ONE = "doc:7"
+_stores: dict[tuple[str, str], adjacency.Adjacency] = {}
+
+
+def _built(t) -> adjacency.Adjacency:
+    """A new adjacency of the tables' graph, which the session's look-ups then use."""
+    made = adjacency.build_adjacency(t.laws, t.citations, f"{shared_dir(t.spark)}/adjacency-{uuid.uuid4().hex}")
+    _stores[t.spark.sparkContext.applicationId, t.sf_dir] = made
+    return made
+
+
+def store(t) -> adjacency.Adjacency:
+    """The adjacency, stored by the session's first look-up and opened by the others."""
+    return _stores.get((t.spark.sparkContext.applicationId, t.sf_dir)) or _built(t)
 
 
 @register("g02_outgoing", f"""select c.cited_urn, l.title, c.cnt from v_citations c left join v_laws l on l.urn = c.cited_urn
  where c.citing_urn = '{ONE}' order by c.cnt desc, c.cited_urn limit 20""")
 def _(t):
-    return graph.outgoing(t.citations, t.laws, ONE, 20)
+    return adjacency.outgoing(store(t), ONE, 20)
+
 
+INCOMING = f"""select c.citing_urn, l.title, c.cnt from v_citations c left join v_laws l on l.urn = c.citing_urn
+ where c.cited_urn = '{ONE}' order by c.cnt desc, c.citing_urn limit 20"""
 
-@register("g03_incoming", f"""select c.citing_urn, l.title, c.cnt from v_citations c left join v_laws l on l.urn = c.citing_urn
- where c.cited_urn = '{ONE}' order by c.cnt desc, c.citing_urn limit 20""")
+
+@register("g03_incoming", INCOMING)
+def _(t):
+    return adjacency.incoming(store(t), ONE, 20)
+
+
+@register("g03_incoming_scan", INCOMING)
 def _(t):
     return graph.incoming(t.citations, t.laws, ONE, 20)
 
@@ -49,18 +73,32 @@ def _(t):
     return graph.add_missing_metadata(t.meta, t.citations)
 
 
-@register("g08_neighborhood", f"""with f1 as (select cited_urn as urn from (select distinct cited_urn from v_citations where citing_urn = '{ONE}' order by 1 limit 20)
+NEAR = f"""with f1 as (select cited_urn as urn from (select distinct cited_urn from v_citations where citing_urn = '{ONE}' order by 1 limit 20)
   union select citing_urn from (select distinct citing_urn from v_citations where cited_urn = '{ONE}' order by 1 limit 20)),
  s1 as (select '{ONE}' as urn, 0 as depth union all select urn, 1 from (select urn from f1 where urn <> '{ONE}' order by urn limit 99)),
  o2 as (select c.cited_urn as urn, row_number() over (partition by c.citing_urn order by c.cited_urn) as n from v_citations c join s1 on s1.urn = c.citing_urn and s1.depth = 1),
  i2 as (select c.citing_urn as urn, row_number() over (partition by c.cited_urn order by c.citing_urn) as n from v_citations c join s1 on s1.urn = c.cited_urn and s1.depth = 1),
  f2 as (select urn from o2 where n <= 20 union select urn from i2 where n <= 20),
  s2 as (select urn, depth from (select urn, depth from s1 union all select urn, 2 from f2 where urn not in (select urn from s1)) order by depth, urn limit 100)
- select l.urn, substring(l.title, 1, 80) as title, l.type, l.year, s2.depth, l.urn = '{ONE}' as is_center from s2 join v_laws l on l.urn = s2.urn""")
+ select l.urn, substring(l.title, 1, 80) as title, l.type, l.year, s2.depth, l.urn = '{ONE}' as is_center from s2 join v_laws l on l.urn = s2.urn"""
+
+
+@register("g08_neighborhood", NEAR)
+def _(t):
+    return adjacency.neighborhood(store(t), ONE, depth=2)
+
+
+@register("g08_neighborhood_scan", NEAR)
 def _(t):
     return graph.neighborhood(t.citations, t.laws, ONE, depth=2)
 
 
+@register("g08_reachable", f"""with recursive e as (select distinct a, b from (select citing_urn as a, cited_urn as b from v_citations union all select cited_urn, citing_urn from v_citations)),
+ r(urn, depth) as (select '{ONE}', 0 union all select e.b, r.depth + 1 from r join e on e.a = r.urn where r.depth < 2) select urn, min(depth) as depth from r group by urn""")
+def _(t):
+    return adjacency.reachable(t.citations, ONE, 2)
+
+
 def _pagerank_sql(rounds: int = 20) -> str:
     levels = ["r0 as materialized (select urn, 1.0::double / (select count(*) from nodes) as rank from nodes)"]
     for i in range(1, rounds + 1):
@@ -84,7 +122,7 @@ def _(t):
 @register("g10_related", f"""select l.urn, l.title, l.type, l.year, count(*) as shared_citations from v_citations a join v_citations b on a.cited_urn = b.cited_urn and b.citing_urn <> a.citing_urn
  join v_laws l on l.urn = b.citing_urn where a.citing_urn = '{ONE}' group by 1, 2, 3, 4 order by 5 desc, 1 limit 10""")
 def _(t):
-    return graph.related(t.citations, t.laws, ONE)
+    return adjacency.related(store(t), ONE)
 
 
 # acts and edges with nir URNs, made from the same tables
@@ -211,7 +249,7 @@ def _(t):
 @register("g23_citing_by_importance", f"""select l.urn, l.title, l.importance_score, (select count(*) from v_citations where cited_urn = '{ONE}') as citing_total
  from v_citations c join v_laws l on l.urn = c.citing_urn where c.cited_urn = '{ONE}' order by l.importance_score desc, l.urn limit 20""")
 def _(t):
-    return graph.citing_by_importance(t.citations, t.laws, ONE)
+    return adjacency.citing_by_importance(store(t), ONE)
 
 
 @register("g24_most_cited_stored", """select m.urn, l.title, l.year, m.citation_count_incoming from v_meta m join v_laws l on l.urn = m.urn where m.citation_count_incoming > 0
@@ -231,6 +269,14 @@ def _(t):
     return graph.adjacency_parts(t.citations, part=20).select("urn", "side", F.explode("ids").alias("id"))
 
 
+@register("s08_adjacency_store", """select c.citing_urn as urn, 'out' as side, c.cited_urn as other, c.cnt, l.urn is not null as known, l.title from v_citations c left join v_laws l on l.urn = c.cited_urn
+ union all select c.cited_urn, 'in', c.citing_urn, c.cnt, l.urn is not null, l.title from v_citations c left join v_laws l on l.urn = c.citing_urn""")
+def _(t):
+    made = _built(t)
+    sides = [rows.select("urn", F.lit(side).alias("side"), "other", "cnt", "known", "title") for rows, side in ((made.out, "out"), (made.into, "in"))]
+    return sides[0].unionByName(sides[1])
+
+
 NODES_SQL = "nodes as (select l.urn as id, l.title, l.type, l.year, c.size from v_laws l join (select cited_urn, count(*) as size from v_citations group by 1) c on c.cited_urn = l.urn where c.size >= 2)"
 
 
