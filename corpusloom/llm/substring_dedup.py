@@ -7,29 +7,33 @@
 2. Compile. The confirmed phrases are dealt by hash into shards of about SHARD; a task compiles each shard's
    Aho-Corasick automaton and stores it in the shared folder. A word is two letters of an automaton's text (8 bits of
    its hash), so a phrase is 16 letters, whatever language or length its words have.
-3. Locate. All documents stream through the automata, in blocks of BLOCK words, each automaton being loaded once for
-   a block. A window of a document can only be anchored at its own anchors, and a phrase is in one shard only, so an
-   automaton gets those of the block's anchors, as letters, that its shard may hold: together each anchor once,
-   however many shards there are. Consecutive windows with one located anchor form a segment, and a document without
-   any is done. Nothing else decides which windows are compared.
-4. Compare. A segment is known by a hash of its anchor and a hash of all its words, 128 bits. The smallest doc_id of
-   each distinct segment owns it; every other document loses all of its windows. Distinct segments of one anchor are
-   compared window by window, by (anchor, window) hashes, again 128 bits.
+3. Locate. All words of all documents stream as letters through every automaton, which is loaded once for a block of
+   BLOCK words, usually all that a task has. What they find are all occurrences of all confirmed phrases. A window is
+   compared if the least of its phrases is an occurrence: no other window can recur. Consecutive windows with one such
+   occurrence form a segment, and a document without any is done. Nothing else decides which windows are compared.
+4. Compare. A segment is known by its anchor's hash and a hash of all its words. The smallest doc_id of each distinct
+   segment owns it; every other document loses all of its windows. Distinct segments of one anchor are compared window
+   by window, by (anchor, window) hashes.
 5. Remove. Each document gets its segments' bits, one a window, and drops the words they cover.
 
+Words are hashed twice, with seeds drawn anew for each call: the first hash gives letters and anchors, the second what
+is compared, 64 bits each. Texts that exist before the seeds are drawn cannot be made to collide; by chance two
+segments or windows of one anchor do with 2^-64.
+
 The letters only locate: two phrases with the same letters cost a comparison and never a word. Nothing is sampled or
-capped. Loading is what grows with blocks times shards, a twelfth of a second each.
+capped. Every block passes every shard: that product grows with the square of the input.
 
 Defined cases: a null or empty text has no words; texts under 50 words lose nothing; a null doc_id neither
 loses words nor takes them from others; rows that share a doc_id (repeated rows, too) do not take words from each
 other; of equal windows the smallest doc_id's stays, wherever in its text; a text longer than a block is a block of
-its own, so memory follows the longest text; an empty table gives no rows; other columns are ignored.
+its own, so memory follows the longest text and a block's texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import secrets
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,9 +49,9 @@ from corpusloom.llm import textbytes as tb
 from corpusloom.llm.common import cut, fresh_dir, stored, whole_text
 
 PHRASE = 8
-#: Confirmed phrases of one automaton (about 40 MB) and words that stream through it at a time.
+#: Confirmed phrases of one automaton (about 40 MB) and words that stream through it at a time, two bytes each.
 SHARD = 100_000
-BLOCK = 2_000_000
+BLOCK = 8_000_000
 
 
 @dataclass
@@ -62,7 +66,8 @@ class Anchored:
     owner: np.ndarray
 
     @staticmethod
-    def of(words: np.ndarray, per_text: np.ndarray, window: int) -> Anchored:
+    def of(words: np.ndarray, per_text: np.ndarray, window: int, occurs: np.ndarray | None = None) -> Anchored:
+        """The runs whose anchor, at a word's place, occurs; all without `occurs`."""
         last = len(words) - window + 1
         if last < 1:
             none = np.empty(0, np.int64)
@@ -70,7 +75,8 @@ class Anchored:
         phrases = tb.run_hashes(words, PHRASE)
         chosen = tb.sliding_argmin(phrases, window - PHRASE + 1)
         text = np.repeat(np.arange(len(per_text)), per_text)
-        at = np.flatnonzero(text[:last] == text[window - 1 :])
+        fits = text[:last] == text[window - 1 :]
+        at = np.flatnonzero(fits if occurs is None else fits & occurs[chosen])
         anchor = chosen[at]
         new = np.ones(len(at), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
@@ -78,15 +84,20 @@ class Anchored:
         anchor = anchor[starts]
         return Anchored(at[starts], np.diff(np.concatenate([starts, [len(at)]])), phrase_keys(words, anchor), phrases[anchor], text[at[starts]])
 
-    def at(self, hit: np.ndarray) -> Anchored:
-        """The marked ones."""
-        return Anchored(self.first[hit], self.windows[hit], self.phrase[hit], self.hashes[hit], self.owner[hit])
 
+Seeds = tuple[int, int]
+
+
+def drawn() -> Seeds:
+    """Seeds for one call."""
+    return secrets.randbits(62), secrets.randbits(62)
 
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+
+def _word_hashes(texts: list[bytes], *seeds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """A hash of each word for each seed, and the number of words of each text."""
     raw, offsets = tb.joined(texts)
     starts, ends = tb.word_spans(raw)
-    return tb.span_hashes(raw, starts, ends), tb.words_per_text(starts, offsets)
+    return [tb.span_hashes(raw, starts, ends, seed) for seed in seeds], tb.words_per_text(starts, offsets)
 
 
 def phrase_keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -95,30 +106,39 @@ def phrase_keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([low[at + k] for k in range(PHRASE)], axis=1).view("<i8").ravel() if len(at) else np.empty(0, np.int64)
 
 
-def letters(phrases: np.ndarray) -> str:
-    """Two letters a word and a full stop after each phrase."""
+def _pairs(low: np.ndarray) -> np.ndarray:
+    """Two letters for each byte: one of A to P, one of a to p."""
+    return np.stack([65 + (low >> 4), 97 + (low & 15)], axis=-1).astype(np.uint8)
+
+
+def letters(phrases: np.ndarray) -> list[str]:
+    """The letters of phrases."""
     low = np.ascontiguousarray(phrases, dtype="<i8").view(np.uint8).reshape(-1, PHRASE)
-    out = np.full((len(low), 2 * PHRASE + 1), ord("."), dtype=np.uint8)
-    out[:, 0:-1:2], out[:, 1::2] = 65 + (low >> 4), 97 + (low & 15)
-    return out.tobytes().decode("ascii")
+    return [row.tobytes().decode("ascii") for row in _pairs(low).reshape(len(low), 2 * PHRASE)]
+
+
+def spelled(words: np.ndarray, per_text: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The letters of all words of some texts, a full stop after each text, and where each word begins."""
+    place = 2 * np.arange(len(words)) + np.repeat(np.arange(len(per_text)), per_text)
+    out = np.full(2 * len(words) + len(per_text), ord("."), dtype=np.uint8)
+    out[place], out[place + 1] = _pairs(words.astype(np.uint8)).T
+    return out.tobytes(), place
 
 
 def automaton_of(phrases: np.ndarray) -> ahocorasick.Automaton:
     """An Aho-Corasick automaton of phrases."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    text, step = letters(phrases), 2 * PHRASE + 1
-    for at in range(0, len(text), step):
-        automaton.add_word(text[at : at + step - 1], 1)
+    for word in letters(phrases):
+        automaton.add_word(word, 1)
     automaton.make_automaton()
     return automaton
 
 
-def located(automaton: ahocorasick.Automaton, phrases: np.ndarray) -> np.ndarray:
-    """Which of the phrases the automaton finds in their text: every occurrence of its own."""
-    hit = np.zeros(len(phrases), dtype=bool)
-    if len(automaton) and len(phrases):
-        hit[np.fromiter((end for end, _ in automaton.iter(letters(phrases))), dtype=np.int64) // (2 * PHRASE + 1)] = True
-    return hit
+def occurrences(automaton: ahocorasick.Automaton, text: str) -> np.ndarray:
+    """Where phrases of the automaton begin in a text of letters: every occurrence."""
+    if not len(automaton):
+        return np.empty(0, np.int64)
+    return np.fromiter((end for end, _ in automaton.iter(text)), dtype=np.int64) - (2 * PHRASE - 1)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -126,14 +146,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", whole_text().alias("text")).select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def recurring_phrases(rows: DataFrame, window: int) -> DataFrame:
+def recurring_phrases(rows: DataFrame, window: int, seeds: Seeds) -> DataFrame:
     """The phrases (column phrase) that are anchors in several documents."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in tb.text_chunks(batch.column(1)):
-                words, per_text = _word_hashes(texts)
+                (words,), per_text = _word_hashes(texts, seeds[0])
                 found = Anchored.of(words, per_text, window)
                 yield pa.RecordBatch.from_arrays([pa.array(found.phrase), batch.column(0).take(pa.array(found.owner + row))], ["phrase", "doc_id"])
 
@@ -188,19 +208,18 @@ class Chunk:
     doc_id: pa.Array
     version: pa.Array
     texts: list[bytes]
-    words: np.ndarray
-    per_text: np.ndarray
-    anchored: Anchored
-
-    def rows(self, hit: np.ndarray, window: int, texts: bool) -> pa.RecordBatch:
-        """What streamed() returns of them, given which of their anchors are located."""
-        found, number = self.anchored.at(hit), len(self.texts)
-        content = tb.range_hashes(self.words, found.first, found.first + found.windows + window - 1)
+
+    def rows(self, occurs: np.ndarray, window: int, texts: bool, seeds: Seeds) -> pa.RecordBatch:
+        """What streamed() returns of them, given where in their letters confirmed phrases begin."""
+        (words, compared), per_text = _word_hashes(self.texts, *seeds)
+        place = 2 * np.arange(len(words)) + np.repeat(np.arange(len(per_text)), per_text)
+        found, number = Anchored.of(words, per_text, window, occurs[place]), len(self.texts)
+        content = tb.range_hashes(compared, found.first, found.first + found.windows + window - 1)
         segment = np.repeat(np.arange(len(found.first)), found.windows)
         ends = np.cumsum(found.windows)
         at = found.first[segment] + np.arange(len(segment)) - (ends - found.windows)[segment]
-        each = pa.array(tb.range_hashes(self.words, at, at + window).view(np.int64))
-        first = found.first - (np.cumsum(self.per_text) - self.per_text)[found.owner]
+        each = pa.array(tb.range_hashes(compared, at, at + window).view(np.int64))
+        first = found.first - (np.cumsum(per_text) - per_text)[found.owner]
         fields = [found.hashes.view(np.int64), content.view(np.int64), first.astype(np.int32), found.windows.astype(np.int32)]
         windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), each)
         inner = pa.StructArray.from_arrays([*map(pa.array, fields), windows], ["anchor", "content", "first", "windows", "hashes"])
@@ -208,45 +227,44 @@ class Chunk:
         some = np.diff(bounds) > 0
         kept = [t.decode("utf-8", "surrogatepass") if s or texts else None for t, s in zip(self.texts, some, strict=True)]
         digests = [None if s else hashlib.sha256(b" ".join(t.split())).hexdigest() for t, s in zip(self.texts, some, strict=True)]
-        columns = [self.doc_id, self.version, pa.array(self.per_text), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), inner), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
+        columns = [self.doc_id, self.version, pa.array(per_text), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), inner), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_words", "segments", "text", "digest"])
 
 
-def streamed(rows: DataFrame, folder: str, files: list[str | None], window: int, texts: bool = False, block: int = BLOCK) -> DataFrame:
-    """Every row after all automata: doc_id, version, n_words, segments (the located ones), text (of rows with
+def streamed(rows: DataFrame, folder: str, files: list[str | None], window: int, seeds: Seeds, texts: bool = False, block: int = BLOCK) -> DataFrame:
+    """Every row after all automata: doc_id, version, n_words, segments (with located anchors), text (of rows with
     segments, or of all) and digest (SHA-256 of all words, of rows without)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
 
-        def passed(held: list[Chunk]) -> Iterator[pa.RecordBatch]:
-            phrases = np.concatenate([c.anchored.phrase for c in held])
-            hit = np.zeros(len(phrases), dtype=bool)
-            shard = phrases % max(len(files), 1)
-            for k, name in enumerate(files):
-                mine = np.flatnonzero(shard == k)
-                if name is not None and len(mine):
-                    with system.open_input_stream(f"{path}/{name}", compression=None) as saved:
-                        automaton = pickle.loads(saved.read())
-                    hit[mine] = located(automaton, phrases[mine])
-                    del automaton
+        def passed(held: list[Chunk], spelt: list[bytes]) -> Iterator[pa.RecordBatch]:
+            text = b"".join(spelt).decode("ascii")
+            occurs = np.zeros(len(text) + 1, dtype=bool)
+            for name in filter(None, files):
+                with system.open_input_stream(f"{path}/{name}", compression=None) as saved:
+                    automaton = pickle.loads(saved.read())
+                occurs[occurrences(automaton, text)] = True
+                del automaton
+            del text
             at = 0
-            for chunk in held:
-                yield chunk.rows(hit[at : at + len(chunk.anchored.phrase)], window, texts)
-                at += len(chunk.anchored.phrase)
+            for chunk, part in zip(held, spelt, strict=True):
+                yield chunk.rows(occurs[at : at + len(part)], window, texts, seeds)
+                at += len(part)
 
-        held, size = [], 0
+        held, spelt, size = [], [], 0
         for batch in batches:
             for row, found in tb.text_chunks(batch.column(2)):
-                words, per_text = _word_hashes(found)
-                held.append(Chunk(*(batch.column(k).slice(row, len(found)) for k in (0, 1)), found, words, per_text, Anchored.of(words, per_text, window)))
+                (words,), per_text = _word_hashes(found, seeds[0])
+                held.append(Chunk(*(pa.concat_arrays([batch.column(k).slice(row, len(found))]) for k in (0, 1)), found))
+                spelt.append(spelled(words, per_text)[0])
                 size += len(words)
                 if size >= block:
-                    yield from passed(held)
-                    held, size = [], 0
+                    yield from passed(held, spelt)
+                    held, spelt, size = [], [], 0
         if held:
-            yield from passed(held)
+            yield from passed(held, spelt)
 
     return rows.mapInArrow(scan, f"doc_id {kind}, version long, n_words long, segments array<{SEGMENT}>, text string, digest string")
 
@@ -276,14 +294,16 @@ def repeated_windows(located_rows: DataFrame) -> DataFrame:
     return hit.filter("bits <> 0")
 
 
-def without_repeats(docs: DataFrame, window: int = 50, text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (the words that stay, by one blank)."""
+def without_repeats(docs: DataFrame, window: int = 50, text: bool = False, seeds: Seeds | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (the words that stay, by one blank).
+
+    Without seeds they are drawn at random, which no result depends on."""
     if not PHRASE <= window < 64 + PHRASE - 1:
         raise ValueError("a window has 8 to 70 words: a segment's windows are the bits of a long")
-    rows = _rows(docs)
+    rows, seeds = _rows(docs), seeds or drawn()
     folder = fresh_dir(docs.sparkSession, "automata")
-    files = compiled(cut(recurring_phrases(rows, window)), folder)
-    passed = stored(streamed(rows, folder, files, window, text), "streamed")
+    files = compiled(cut(recurring_phrases(rows, window, seeds)), folder)
+    passed = stored(streamed(rows, folder, files, window, seeds, text), "streamed")
     hit = passed if text else passed.filter("size(segments) > 0")
     marks = repeated_windows(passed.filter("doc_id is not null")).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "bits")).alias("marks"))
     hit = hit.select("doc_id", "version", "text", "n_words").join(marks, ["doc_id", "version"], "left")

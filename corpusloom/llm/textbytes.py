@@ -43,8 +43,9 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each (non-empty) span of bytes; equal spans, equal hashes. Another seed, another hash.
 
-    Spans are taken eight bytes at a time: the state, begun from the length, is xored with them and mixed, so spans
-    of one length up to eight bytes never share a hash. Long ones are hashed with XXH3."""
+    Spans are taken eight bytes at a time: the state, begun from the length and the seed, is xored with them and mixed,
+    so spans of one length up to eight bytes never share a hash. Longer ones can be made to if the seed is known: where
+    a collision would decide a result, the seed is drawn at random. Spans beyond LONG bytes are hashed with XXH3."""
     lengths = ends - starts
     state = mixed(lengths.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % 2**64))
     if not len(starts):

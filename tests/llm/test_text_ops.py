@@ -76,10 +76,36 @@ def test_substring_dedup_other_width_and_empty(spark):
 def test_automaton_finds_every_occurrence():
     low = np.array([1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 6, 7, 8, 1], dtype=np.uint64)
     phrases = substring_dedup.phrase_keys(low, np.arange(10))
-    assert substring_dedup.letters(phrases[:1]) == "AbAcAdAeAfAgAhAi."
-    found = substring_dedup.located(substring_dedup.automaton_of(phrases[:2]), phrases)
-    assert np.flatnonzero(found).tolist() == [0, 1, 8, 9]
-    assert not substring_dedup.located(substring_dedup.automaton_of(phrases[:0]), phrases).any()
+    assert substring_dedup.letters(phrases[:1]) == ["AbAcAdAeAfAgAhAi"]
+    text, place = substring_dedup.spelled(low, np.array([17]))
+    assert text.startswith(b"AbAcAdAeAfAgAhAiAbAc") and text.endswith(b"Ab.")
+    found = substring_dedup.occurrences(substring_dedup.automaton_of(phrases[:2]), text.decode())
+    assert sorted(found.tolist()) == place[[0, 1, 8, 9]].tolist()
+    assert len(substring_dedup.occurrences(substring_dedup.automaton_of(phrases[:0]), text.decode())) == 0
+    two, place = substring_dedup.spelled(low, np.array([4, 13]))  # no phrase runs from one text into the next
+    assert place[4] == 9 and sorted(substring_dedup.occurrences(substring_dedup.automaton_of(phrases[:2]), two.decode()).tolist()) == place[[8, 9]].tolist()
+
+
+def test_occurrences_that_are_no_anchors():
+    """Whole texts stream: a confirmed phrase is found where it is the anchor of no window of its text, too."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)).encode() for _ in range(6)]
+    seeds = (3, 4)
+    (words,), per_text = substring_dedup._word_hashes(texts, seeds[0])
+    anchors = substring_dedup.Anchored.of(words, per_text, 50)
+    phrase = anchors.phrase[5]
+    there = substring_dedup.tb.run_hashes(words, 8)
+    # the phrase's words between words whose phrases have lesser hashes: no window of the new text is anchored at it
+    first = int(np.flatnonzero(there == anchors.hashes[5])[0])
+    said = b" ".join(texts).split()[first : first + 8]
+    low = int(np.argmin(there))
+    least = b" ".join(texts).split()[low : low + 8]
+    text = b" ".join([*least, *said, *least, *(f"x{i}".encode() for i in range(20))])
+    (words,), per_text = substring_dedup._word_hashes([text], seeds[0])
+    own = substring_dedup.Anchored.of(words, per_text, 30)
+    spelt, place = substring_dedup.spelled(words, per_text)
+    found = substring_dedup.occurrences(substring_dedup.automaton_of(np.array([phrase])), spelt.decode())
+    assert found.tolist() == [place[8]] and phrase not in own.phrase
 
 
 def test_automata_decide(spark, monkeypatch):
@@ -94,6 +120,35 @@ def test_automata_decide(spark, monkeypatch):
     assert substring_dedup.without_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
 
 
+def colliding(seed):
+    """Two different words of 16 bytes with one span hash under a known seed."""
+    mask = 2**64 - 1
+    state = lambda half: int(tb.mixed(np.array([tb.mixed(np.array([(16 + seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & mask], np.uint64))[0] ^ np.uint64(int.from_bytes(half, "little"))]))[0])
+    rng, x = random.Random(5), b"abcdefghijklmnop"
+    while True:
+        half = bytes(rng.randrange(97, 123) for _ in range(8))
+        rest = (state(x[:8]) ^ int.from_bytes(x[8:], "little") ^ state(half)).to_bytes(8, "little")
+        try:
+            word = (half + rest).decode()
+        except UnicodeDecodeError:
+            continue
+        if len(words(word)) == 1 and words(word)[0] == word:
+            return x.decode(), word
+
+
+def test_words_made_to_collide(spark):
+    """Words that share a hash under one seed do not under others, and windows that differ in them are not the same."""
+    x, y = colliding(0)
+    raw, _ = tb.joined([x.encode(), y.encode()])
+    spans = tb.word_spans(raw)
+    assert len(set(tb.span_hashes(raw, *spans).tolist())) == 1 and len(set(tb.span_hashes(raw, *spans, 77).tolist())) == 2
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{line} {x} {line}", "en", "a", 1), (2, f"{line} {y} {line}", "en", "a", 1)]
+    for seeds in (None, (0, 1)):  # the second hash holds against a first that is known
+        found = substring_dedup.without_repeats(frame(spark, rows), seeds=seeds)
+        assert Counter(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_windows(rows, 50)
+
+
 def thue_morse(n):
     return "".join("ab"[i.bit_count() % 2] for i in range(n))
 
