@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,65 +38,62 @@ RAW = [
 ]
 
 
-def _found(df: DataFrame, text: Column, pattern: str, *keep: str) -> DataFrame:
-    """One row per match of the pattern: the kept columns, pos, ref (the match)."""
-    flagged = "(?iU)" + pattern
-    return df.select(*keep, F.posexplode(F.regexp_extract_all(text, F.lit(flagged), 0)).alias("pos", "ref"))
+def _matches(*scans: tuple[Column, str]) -> Column:
+    """All matches of (text, pattern) pairs as one array of (n, pos, ref), n from 1 by pair: the rows are read once."""
+
+    def tagged(n: int, text: Column, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit("(?iU)" + pattern), 0)
+        return F.transform(found, lambda ref, pos: F.struct(F.lit(n).alias("n"), pos.alias("pos"), ref.alias("ref")))
+
+    return F.concat(*(tagged(n, *scan) for n, scan in enumerate(scans, 1)))
 
 
 def _group(pattern: str, n: int) -> Column:
     return F.regexp_extract("ref", "(?iU)" + pattern, n)
 
 
+def _by_pattern(choices: list[Column]) -> Column:
+    """The choice of the pattern that found the row."""
+    first, *rest = choices
+    return reduce(lambda c, x: c.when(F.col("n") == x[0], x[1]), enumerate(rest, 2), F.when(F.col("n") == 1, first))
+
+
 def extract_citations(laws: DataFrame, text: str = "text") -> DataFrame:
     """Citations of acts: citing_urn, target_urn, ref, article, pass, pos.
 
-    Pass 1 finds articles of acts, pass 2 acts by number, pass 3 acts by date. The first of equal (target,
-    article) stays, in order of pass and position."""
-    src = laws.select(F.col("urn").alias("citing_urn"), F.col(text).alias("t")).filter("t is not null")
+    Pass 1 finds articles of acts, pass 2 acts by number, pass 3 acts by date, in one scan of the texts. The first of
+    equal (target, article) stays, in order of pass and position."""
     none = F.lit(None).cast("string")
-    passes = []
-    for n, (pattern, article, kind, number, year) in enumerate(((ARTICLE_OF_ACT, 1, 2, 3, 4), (ACT, 0, 1, 2, 3), (ACT_OF_DATE, 0, 1, 5, 4)), 1):
-        rows = _found(src, F.col("t"), pattern, "citing_urn")
-        target = fx.canonical_urn(_group(pattern, kind), _group(pattern, number), _group(pattern, year))
-        of = F.trim(_group(pattern, article)) if article else none
-        passes.append(rows.select("citing_urn", target.alias("target_urn"), F.trim("ref").alias("ref"), of.alias("article"), F.lit(n).alias("pass"), "pos"))
-    rows = passes[0].union(passes[1]).union(passes[2])
+    forms = ((ARTICLE_OF_ACT, 1, 2, 3, 4), (ACT, 0, 1, 2, 3), (ACT_OF_DATE, 0, 1, 5, 4))
+    src = laws.select(F.col("urn").alias("citing_urn"), F.explode(_matches(*((F.coalesce(text, F.lit("")), f[0]) for f in forms))).alias("m")).select("citing_urn", "m.*")
+    target = _by_pattern([fx.canonical_urn(_group(p, kind), _group(p, number), _group(p, year)) for p, _, kind, number, year in forms])
+    article = _by_pattern([F.trim(_group(p, of)) if of else none for p, of, *_ in forms])
+    rows = src.select("citing_urn", target.alias("target_urn"), F.trim("ref").alias("ref"), article.alias("article"), F.col("n").alias("pass"), "pos")
     first = Window.partitionBy("citing_urn", "target_urn", "article").orderBy("pass", "pos")
     return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
 def extract_typed_citations(laws: DataFrame) -> DataFrame:
-    """Distinct (urn, cite_id, kind): number-year, COST-article, or CODE-article."""
-    src = laws.select("urn", F.lower(F.concat_ws(" ", "text", "title")).alias("t"))
-    parts = []
-    for pattern, kind in TYPED:
-        rows = _found(src, F.col("t"), pattern, "urn")
-        if kind == "cost":
-            cite = F.concat(F.lit("COST-"), _group(pattern, 1))
-        elif kind == "codice":
-            cite = F.concat(F.left(F.upper("ref"), F.lit(20)), F.lit("-"), _group(pattern, 1))
-        else:
-            cite = F.concat(_group(pattern, 1), F.lit("-"), _group(pattern, 2))
-        parts.append(rows.select("urn", cite.alias("cite_id"), F.lit(kind).alias("kind")))
-    return _union(parts).distinct()
+    """Distinct (urn, cite_id, kind): number-year, COST-article, or CODE-article; one scan of the texts."""
+    text = F.lower(F.concat_ws(" ", "text", "title"))
+    rows = laws.select("urn", F.explode(_matches(*((text, p) for p, _ in TYPED))).alias("m")).select("urn", "m.*")
+    forms = {
+        "cost": lambda p: F.concat(F.lit("COST-"), _group(p, 1)),
+        "codice": lambda p: F.concat(F.left(F.upper("ref"), F.lit(20)), F.lit("-"), _group(p, 1)),
+    }
+    number = lambda p: F.concat(_group(p, 1), F.lit("-"), _group(p, 2))
+    cite = _by_pattern([forms.get(kind, number)(p) for p, kind in TYPED])
+    return rows.select("urn", cite.alias("cite_id"), F.element_at(F.array(*(F.lit(kind) for _, kind in TYPED)), F.col("n")).alias("kind")).distinct()
 
 
 def extract_raw_citations(laws: DataFrame) -> DataFrame:
-    """urn, cited (distinct normalised n/yyyy, sorted) and raw (every form found, sorted)."""
-    src = laws.select("urn", F.lower(F.coalesce("text", F.lit(""))).alias("a"), F.lower(F.coalesce("title", F.lit(""))).alias("b"))
-    parts = [_found(src, F.col(c), pattern, "urn") for pattern in RAW for c in ("a", "b")]
-    rows = _union(parts).select("urn", "ref", F.regexp_extract("ref", r"(\d+/\d+)", 1).alias("id"))
+    """urn, cited (distinct normalised n/yyyy, sorted) and raw (every form found, sorted); one scan of the texts."""
+    texts = [F.lower(F.coalesce(c, F.lit(""))) for c in ("text", "title")]
+    rows = laws.select("urn", F.explode(_matches(*((text, p) for p in RAW for text in texts))).alias("m"))
+    rows = rows.select("urn", "m.ref").withColumn("id", F.regexp_extract("ref", r"(\d+/\d+)", 1))
     return rows.groupBy("urn").agg(F.sort_array(F.collect_set("id")).alias("cited"), F.sort_array(F.collect_set("ref")).alias("raw"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def urn_references(laws: DataFrame, k: int = 30, pattern: str = r"urn:nir:[\w.:;\-]+") -> DataFrame:
     """Inline URNs of each act in first-seen order, at most k, with the title (60 characters) of those known."""
     found = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("(" + pattern + ")"), 1)), 1, k)

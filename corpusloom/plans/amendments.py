@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
 from corpusloom.operators import amendments as am
+from corpusloom.operators import intervals
 from corpusloom.plans.mining import GOV, LEG
 
 NOW = dt.datetime(2024, 1, 31)
@@ -90,6 +91,19 @@ def _(t):
     return am.validity(t.chains.withColumn("cur", F.col("date") < "2000"), "date", "modifies_one", "date", "cur")
 
 
+@register("a09_state_as_of", """select a.seq, a.urn, a.detected_at::varchar as at, l.id, l.new_etag from v_amendments a asof left join v_log l on a.urn = l.law_urn and a.detected_at >= l.detected_at""")
+def _(t):
+    history = t.log.select(F.col("law_urn").alias("urn"), F.col("detected_at").alias("since"), "id", "new_etag")
+    points = t.amendments.select("seq", "urn", "detected_at")
+    return intervals.as_of(points, history, "urn", "detected_at", "since", ["id", "new_etag"]).select("seq", "urn", F.col("detected_at").cast("string").alias("at"), "id", "new_etag")
+
+
+@register("a09_state_at", """select urn, arg_max(status, ts) as status from (select concat('user:', user_id) as urn, event_type as status, ts from events) where ts <= timestamp '2024-01-15 12:00:00' group by urn""")
+def _(t):
+    history = t.events.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("urn"), F.col("event_type").alias("status"), "ts")
+    return intervals.state_at(history, "urn", "ts", F.lit("2024-01-15 12:00:00").cast(history.schema["ts"].dataType), ["status"]).select("urn", "status")
+
+
 @register("a10_amendment_stats", f"""with {EACH}, n as (select c.urn, (select count(*) from e where e.original = c.urn) as n, modifies_one is not null or modifies_list is not null as m from v_chains c)
  select count(*) filter (where n > 0) as acts_amended, count(*) filter (where m) as acts_modifying, sum(n)::bigint as amendments, round(avg(case when n > 0 then n end), 6) as mean, max(n) as most from n""")
 def _(t):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import register
 from corpusloom.functions import dims
 from corpusloom.functions import text as fx
-from corpusloom.operators import mining
+from corpusloom.operators import intervals, mining
 from corpusloom.plans.adapters import values
 
 #: Keyword tables of words that occur in the test texts.
@@ -163,6 +163,29 @@ def _(t):
     return mining.with_periods(t.laws).select("urn", "government")
 
 
+def _periods(t, rows: list[tuple]):
+    """A table of periods (name, first, after, rank) from a list."""
+    return t.spark.createDataFrame([(str(n), a, b, i) for i, (n, a, b) in enumerate(rows)], "name string, first long, after long, rank int")
+
+
+@register("t16_legislature_join", f"select l.urn, {LEG} as legislature from v_laws l")
+def _(t):
+    terms = _periods(t, [*dims.LEGISLATURES, (*dims.OPEN_TERM, None)])
+    return intervals.period_of(t.laws.select("urn", "year"), "year", terms).select("urn", F.col("period").cast("int").alias("legislature"))
+
+
+@register("t17_government_join", f"select l.urn, {GOV} as government from v_laws l")
+def _(t):
+    return intervals.period_of(t.laws.select("urn", "year"), "year", _periods(t, dims.CABINETS)).select("urn", F.col("period").alias("government"))
+
+
+@register("t17_period_of_table", """select l.urn, l.year, (select arg_min(s_name, s_suppkey) from supplier where 1930 + s_suppkey % 97 <= l.year and l.year < 1930 + s_suppkey % 97 + s_nationkey % 4) as period from v_laws l""")
+def _(t):
+    first = 1930 + F.col("s_suppkey") % 97
+    periods = t.supplier.select(F.col("s_name").alias("name"), first.alias("first"), (first + F.col("s_nationkey") % 4).alias("after"), F.col("s_suppkey").alias("rank"))
+    return intervals.period_of(t.laws.select("urn", "year"), "year", periods)
+
+
 @register("t18_era", f"select l.urn, {ERA} as era from v_laws l")
 def _(t):
     return mining.with_periods(t.laws).select("urn", "era")
