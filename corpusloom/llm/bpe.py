@@ -4,24 +4,28 @@ The vocabulary file (path is a parameter) is read once on the driver and broadca
 file. In a task the distinct words that are new to it are encoded together: their symbols lie in one flat
 array, adjacent pairs become keys a * size + b, a binary search over the sorted merge keys gives ranks, each
 word's lowest rank is found by a segmented minimum, and all words merge at once, round by round. Finished
-words leave the array. Words seen before come from a table that starts anew beyond WORDS entries.
+words leave the array. Words seen before come from a table that starts anew beyond WORDS entries. Words of more than
+LONG symbols would keep the array for as many rounds as they have merges: each is merged by itself, lowest rank and
+then leftmost first, from a heap of its pairs, in time n log n of its length.
 
 All occurrences of a word's lowest pair merge in one round. That equals merging one at a time, as every pair
 that holds a merged symbol ranks after the merge that makes it; a file for which this fails is refused.
 
 Defined cases: null counts as the empty text, which has no ids; strings of special tokens in a text become
-their ids; repeated rows give repeated rows; columns other than doc_id and text are ignored.
+their ids; repeated rows and ties give repeated rows; a very long text is encoded whole, in a chunk of its own, so memory
+follows the longest text; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from corpusloom.llm.common import whole_text
 
 WORDS = 300_000
+LONG = 256
 CHUNK_CHARS = 2_000_000
 #: Code points whose letters and digits came after Unicode 16.
 AFTER_16 = [
@@ -113,6 +118,8 @@ class Vocabulary:
     inner: np.ndarray
     final: np.ndarray
     newer: str
+    #: rank and made symbol by key, for long words; filled when a worker first meets one
+    pairs: dict[int, tuple[int, int]] = field(default_factory=dict)
 
     @staticmethod
     def read(path: str) -> Vocabulary:
@@ -153,6 +160,46 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and the number of ids of each word (none may be empty)."""
+        long = {i: self.merge_long(w) for i, w in enumerate(words) if len(w) > LONG}
+        if not long:
+            return self.merge_rounds(words)
+        flat, counts = self.merge_rounds([w for i, w in enumerate(words) if i not in long])
+        ends = iter(np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else [])
+        each = [long[i] if i in long else next(ends) for i in range(len(words))]
+        return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word, by a heap of its adjacent pairs over a linked list of symbols."""
+        if not self.pairs:
+            self.pairs.update(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        raw, size, pairs = np.frombuffer(word, dtype=np.uint8), len(self.tokens), self.pairs
+        ids = [*self.inner[raw[:-1]].tolist(), int(self.final[raw[-1]])]
+        n = len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = []
+        for i in range(n - 1):
+            found = pairs.get(key := ids[i] * size + ids[i + 1])
+            if found:
+                heap.append((found[0], i, key))
+        heapq.heapify(heap)
+        while heap:
+            _, i, key = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or ids[i] * size + ids[j] != key:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = pairs[key][1], -1
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] >= 0:
+                    found = pairs.get(key := ids[left] * size + ids[after[left]])
+                    if found:
+                        heapq.heappush(heap, (found[0], left, key))
+        return np.array([x for x in ids if x >= 0], dtype=np.int64)
+
+    def merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of any length, all at once."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         ids = self.inner[raw]

@@ -527,3 +527,22 @@ def test_very_long_texts(spark):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3)) for r in scored) == brute_base(rows, 3)
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     assert quality.quality_scores(docs, labels).count() == 4
+
+
+def test_long_words_are_quick(monkeypatch):
+    """Words of up to a million letters have the library's ids, whether they are merged by rounds or by a heap."""
+    import time
+
+    library = Tokenizer.from_file(bpe.default_path())
+    encoder = bpe.Encoder(bpe.Vocabulary.read(bpe.default_path()))
+    rng = random.Random(9)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (255, 256, 257, 1000, 100_000)]
+    made += ["a" * 3001, "ab" * 700 + "c", "aab" * 500, "é" * 400, "日本語" * 300, "the" * 1000 + " the " + "of" * 300, "".join(chr(c) for c in range(0x4E00, 0x4E00 + 20_000))]
+    assert [x.tolist() for x in encoder.encode(made)] == [e.ids for e in library.encode_batch(made, add_special_tokens=False)]
+    short = [w.encode() for w in made[0].split("e") if w] + [b"a" * 300, b"abc" * 101]
+    both = [encoder.vocabulary.merge(short), encoder.vocabulary.merge_rounds(short)]
+    assert all(np.array_equal(a, b) for a, b in zip(*both, strict=True))
+    began = time.monotonic()
+    text = "".join(rng.choice("acgt") for _ in range(1_000_000))
+    assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert time.monotonic() - began < 60
