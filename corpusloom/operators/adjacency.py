@@ -20,6 +20,7 @@ PER_BUCKET = 50_000
 LOOKUP = 1_000
 ACTS = "urn string, title string, type string, year int, importance_score double, bucket int"
 EDGES = "urn string, other string, cnt long, known boolean, title string, type string, year int, importance_score double, bucket int"
+DEGREES = "urn string, citations_in long, citations_out long"
 
 
 def _bucket(name: str, buckets: int) -> Column:
@@ -28,11 +29,12 @@ def _bucket(name: str, buckets: int) -> Column:
 
 @dataclass
 class Adjacency:
-    """The stored tables: acts by urn, edges by citing act (out) and by cited act (into)."""
+    """The stored tables: acts by urn, edges by citing act (out) and by cited act (into), citations_in and _out by urn."""
 
     acts: DataFrame
     out: DataFrame
     into: DataFrame
+    degrees: DataFrame
     buckets: int
 
     def _named(self, rows: DataFrame, urns: list[str]) -> DataFrame:
@@ -72,6 +74,8 @@ def build_adjacency(laws: DataFrame, cit: DataFrame, path: str, buckets: int | N
     for name, here, there in (("out", "citing_urn", "cited_urn"), ("in", "cited_urn", "citing_urn")):
         rows = edges.select(F.col(here).alias("urn"), F.col(there).alias("other"), "cnt").join(acts, "other", "left")
         write(rows.select("urn", "other", "cnt", F.coalesce("known", F.lit(False)).alias("known"), "title", "type", "year", "importance_score"), name, "urn", "other")
+    count = lambda key, name: edges.groupBy(F.col(key).alias("urn")).agg(F.count("*").alias(name))
+    count("cited_urn", "citations_in").join(count("citing_urn", "citations_out"), "urn", "full").write.parquet(f"{path}/degrees")
     spark.createDataFrame([(buckets,)], "buckets int").write.json(f"{path}/totals")
     return open_adjacency(spark, path)
 
@@ -79,7 +83,7 @@ def build_adjacency(laws: DataFrame, cit: DataFrame, path: str, buckets: int | N
 def open_adjacency(spark: SparkSession, path: str) -> Adjacency:
     buckets = spark.read.schema("buckets int").json(f"{path}/totals").first()["buckets"]
     edges = spark.read.schema(EDGES)
-    return Adjacency(spark.read.schema(ACTS).parquet(f"{path}/acts"), edges.parquet(f"{path}/out"), edges.parquet(f"{path}/in"), buckets)
+    return Adjacency(spark.read.schema(ACTS).parquet(f"{path}/acts"), edges.parquet(f"{path}/out"), edges.parquet(f"{path}/in"), spark.read.schema(DEGREES).parquet(f"{path}/degrees"), buckets)
 
 
 def outgoing(graph: Adjacency, urn: str, k: int | None = None) -> DataFrame:

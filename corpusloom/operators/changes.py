@@ -20,12 +20,16 @@ def tag_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def record_changes(log: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changes that the log has not: no equal (collection, old_etag, new_etag), null equal to null."""
+    """Changes that the log has not: no equal (collection, old_etag, new_etag), null equal to null.
+
+    Of equal ones the earliest stays, by detected_at, id and the other columns."""
     known = log.select(*(F.col(c).alias(f"__{c}") for c in ("collection", "old_etag", "new_etag")))
     same = F.lit(True)
     for c in ("collection", "old_etag", "new_etag"):
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return changes.dropDuplicates(["collection", "old_etag", "new_etag"]).join(known, same, "left_anti")
+    ordered = sorted(changes.columns, key=lambda c: {"detected_at": 0, "id": 1}.get(c, 2))
+    earliest = changes.groupBy("collection", "old_etag", "new_etag").agg(F.min(F.struct(*ordered)).alias("__first"))
+    return earliest.select(*(F.col(f"__first.{c}").alias(c) for c in changes.columns)).join(known, same, "left_anti")
 
 
 def pending(log: DataFrame, preview: str) -> DataFrame:

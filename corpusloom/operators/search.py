@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
-from corpusloom.operators.graph import with_degrees
+from corpusloom.operators.adjacency import Adjacency
+from corpusloom.operators.graph import in_out, with_degrees
 from corpusloom.operators.mining import query_words
 from corpusloom.sources.tables import checkpointed
 
@@ -160,17 +161,21 @@ def search_snippets(source: DataFrame | Index, query: str, k: int = 50, width: i
 
 
 def snippet(hits: DataFrame, terms: list[str], width: int = 40, carried: tuple[str, ...] = ()) -> DataFrame:
-    """urn, the carried columns, and the window of `width` words of text with the most matches (the first of equals), matches in <b>."""
+    """urn, the carried columns, and the window of `width` words of text with the most matches (the first of equals), matches in <b>.
+
+    Only the places of matches are compared: the first of the best windows ends with a match, or begins the text. It
+    takes two pointers' work, one look at each match for each match within a window of it."""
     words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")
     rows = hits.select("urn", *carried, words.alias("w"))
     match = lambda x: F.exists(fx.tokens(x), lambda y: y.isin(terms))
-    rows = rows.withColumn("hit", F.transform("w", lambda x: F.when(match(x), 1).otherwise(0)))
-    # matches up to each word, so a window's matches are one difference
-    upto = F.aggregate("hit", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    rows = rows.withColumn("upto", upto).withColumn("n", F.size("w"))
+    places = F.filter(F.transform("w", lambda x, i: F.when(match(x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("places", places).withColumn("n", F.size("w"))
     last = F.greatest(F.col("n") - width, F.lit(0))
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((F.get("upto", i) - F.get("upto", F.least(i + width, F.col("n")))).alias("less"), i.alias("at")))
-    rows = rows.withColumn("at", F.array_min(starts)["at"])
+    # a window that begins at max(0, p - width + 1) is the first to hold the match at p; matches of a window lie close together in the list
+    start = lambda p: F.least(F.greatest(p - width + 1, F.lit(0)), last)
+    inside = lambda p, i: F.size(F.filter(F.slice("places", F.greatest(i + 2 - width, F.lit(1)), F.lit(2 * width)), lambda x: (x >= start(p)) & (x < start(p) + width)))
+    windows = F.transform("places", lambda p, i: F.struct((-inside(p, i)).alias("less"), start(p).alias("at")))
+    rows = rows.withColumn("at", F.coalesce(F.array_min(windows)["at"], F.lit(0)))
     part = F.transform(F.slice("w", F.col("at") + 1, F.lit(width)), lambda x: F.when(match(x), F.concat(F.lit("<b>"), x, F.lit("</b>"))).otherwise(x))
     text = F.concat(F.when(F.col("at") > 0, "...").otherwise(""), F.array_join(part, " "), F.when(F.col("at") + width < F.col("n"), "...").otherwise(""))
     return rows.select("urn", *carried, text.alias("snippet"))
@@ -195,15 +200,26 @@ SORTS = {
 
 
 def search_filtered(
-    source: DataFrame | Index, cit: DataFrame, query: str = "", kind=None, year_from=None, year_to=None, articles_from=None, articles_to=None, status=None, min_citations=None, sort_by: str = "relevance", k: int = 50
+    source: DataFrame | Index, cit: DataFrame | Adjacency, query: str = "", kind=None, year_from=None, year_to=None, articles_from=None, articles_to=None, status=None, min_citations=None, sort_by: str = "relevance", k: int = 50
 ) -> DataFrame:
-    """Search with filters and a sort order; without a query, relevance means incoming citations."""
+    """Search with filters and a sort order; without a query, relevance means incoming citations.
+
+    Degrees come from a stored adjacency, or are counted over the edges of the hits."""
     acts = source.acts if isinstance(source, Index) else source
     rows = ranked(source, query) if query_terms(query) else acts.withColumn("score", F.lit(0.0))
     for column, test, value in (("type", "=", kind), ("year", ">=", year_from), ("year", "<=", year_to), ("article_count", ">=", articles_from), ("article_count", "<=", articles_to), ("status", "=", status)):
         if value is not None:
             rows = rows.filter({"=": F.col(column) == value, ">=": F.col(column) >= value, "<=": F.col(column) <= value}[test])
-    rows = with_degrees(rows, cit)
+    rows = rows.select("urn", "title", "type", "year", "score", "article_count", "importance_score")
+    if isinstance(cit, Adjacency):
+        rows = rows.join(cit.degrees, "urn", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("citations_in", "citations_out")})
+    elif query_terms(query):
+        rows = checkpointed(rows)  # the hits meet the edges before these are counted
+        of = lambda c: cit.join(rows.select(F.col("urn").alias(c)), c, "left_semi").select("citing_urn", "cited_urn")
+        inn, out = in_out(of("cited_urn"))[0], in_out(of("citing_urn"))[1]
+        rows = rows.join(inn, "urn", "left").join(out, "urn", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("citations_in", "citations_out")})
+    else:
+        rows = with_degrees(rows, cit)
     if min_citations is not None:
         rows = rows.filter(F.col("citations_in") >= min_citations)
     direction, column = SORTS["citations" if sort_by == "relevance" and not query_terms(query) else sort_by]

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
 from corpusloom.operators import changes as c
+from corpusloom.operators import versions
 from corpusloom.plans.mining import ERA, GOV, LEG, STATUS, TRACK
+from corpusloom.sources.tables import shared_dir
 
 NOW = dt.datetime(2024, 2, 1)
 MIDDLE = dt.datetime(2024, 1, 16)
@@ -63,6 +66,23 @@ def _(t):
     return c.new_or_changed(t.new, t.old).drop("title")
 
 
+def _versions(t):
+    """The new and the old version, stored with digests."""
+    where = f"{shared_dir(t.spark)}/versions-{uuid.uuid4().hex}"
+    old = versions.store_version(t.old, f"{where}/old", buckets=8)
+    return versions.store_version(t.new, f"{where}/new", buckets=8), old
+
+
+@register("c05_by_digests", "select n.urn, n.text_length, n.article_count from v_new n left join v_old o on o.urn = n.urn where o.urn is null or o.text_length is distinct from n.text_length or o.article_count is distinct from n.article_count")
+def _(t):
+    return versions.new_or_changed(*_versions(t)).drop("title")
+
+
+@register("c16_removed_by_digests", "select urn, text_length, article_count, title from v_old where urn not in (select urn from v_new)")
+def _(t):
+    return versions.removed(*_versions(t))
+
+
 DELTA = "delta as (select n.* from v_new n left join v_old o on o.urn = n.urn where o.urn is null or o.text_length is distinct from n.text_length), merged as (select * from v_old where urn not in (select urn from delta) union all select * from delta)"
 
 

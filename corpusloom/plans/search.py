@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import register
 from corpusloom.functions import text as fx
 from corpusloom.operators import search
+from corpusloom.plans.graph import store
 from corpusloom.plans.mining import LEG, STATUS
 from corpusloom.sources.tables import shared_dir
 
@@ -98,6 +99,11 @@ COLS = "l.urn, l.title, l.type, l.year, {score} as score, coalesce(i.n, 0) as ci
 
 
 @register("q05_search_filtered", f"with {ranked_sql(TERMS)} select {COLS.format(score='l.score')} from hits l {DEGREES} where l.type = 'de' and l.year >= 1950 and l.article_count <= 20 and coalesce(i.n, 0) >= 2 order by score desc, urn limit 50")
+def _(t):
+    return search.search_filtered(index(t), store(t), "der die", kind="de", year_from=1950, articles_to=20, min_citations=2)
+
+
+@register("q05_search_filtered_scan", f"with {ranked_sql(TERMS)} select {COLS.format(score='l.score')} from hits l {DEGREES} where l.type = 'de' and l.year >= 1950 and l.article_count <= 20 and coalesce(i.n, 0) >= 2 order by score desc, urn limit 50")
 def _(t):
     return search.search_filtered(index(t), t.citations, "der die", kind="de", year_from=1950, articles_to=20, min_citations=2)
 
