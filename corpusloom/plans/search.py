@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
 from corpusloom.functions import text as fx
-from corpusloom.operators import search
+from corpusloom.operators import search, trigrams
 from corpusloom.plans.graph import store
 from corpusloom.plans.mining import LEG, STATUS
 from corpusloom.sources.tables import shared_dir
@@ -94,6 +94,28 @@ def _(t):
     return search.search_like(t.laws, "ThWhst")
 
 
+_grams: dict[tuple[str, str], trigrams.Trigrams] = {}
+
+
+def _trigrams(t) -> trigrams.Trigrams:
+    """The trigrams of the session's index, stored by its first substring search."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _grams:
+        _grams[key] = trigrams.build_trigrams(index(t), f"{shared_dir(t.spark)}/trigrams-{uuid.uuid4().hex}")
+    return _grams[key]
+
+
+@register("q04_by_trigrams", "select urn, title, importance_score from v_laws where contains(lower(title), 'thwhst') or contains(lower(text), 'thwhst') order by importance_score desc, urn limit 50")
+def _(t):
+    return trigrams.search_like(_trigrams(t), "ThWhst")
+
+
+@register("q04_trigram_postings", """with g as (select distinct urn, substring(x, i, 3) as gram from (select urn, x, unnest(range(1, length(x) - 1)) as i from (select urn, lower(coalesce(title, '')) as x from v_laws union all select urn, lower(coalesce(text, '')) from v_laws)))
+ select gram, count(*) as acts from g group by 1""")
+def _(t):
+    return _trigrams(t).postings.groupBy("gram").agg(F.count("*").alias("acts"))
+
+
 DEGREES = "left join (select cited_urn, count(*) as n from v_citations group by 1) i on i.cited_urn = l.urn left join (select citing_urn, count(*) as n from v_citations group by 1) o on o.citing_urn = l.urn"
 COLS = "l.urn, l.title, l.type, l.year, {score} as score, coalesce(i.n, 0) as citations_in, coalesce(o.n, 0) as citations_out, l.article_count, l.importance_score"
 
