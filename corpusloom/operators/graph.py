@@ -320,7 +320,7 @@ def graph_nodes(laws: DataFrame, cit: DataFrame, min_citations: int = 2) -> Data
 
 
 def graph_edges(nodes: DataFrame, cit: DataFrame) -> DataFrame:
-    """Edges between the nodes: source, target."""
+    """Edges between the nodes: source, target and, where edges have a count, weight."""
     ids = nodes.select("id")
     rows = cit.join(ids.withColumnRenamed("id", "citing_urn"), "citing_urn", "left_semi").join(ids.withColumnRenamed("id", "cited_urn"), "cited_urn", "left_semi")
-    return rows.select(F.col("citing_urn").alias("source"), F.col("cited_urn").alias("target"))
+    return rows.select(F.col("citing_urn").alias("source"), F.col("cited_urn").alias("target"), *([F.col("cnt").alias("weight")] if "cnt" in cit.columns else []))

@@ -11,6 +11,7 @@ from corpusloom.catalog import register
 from corpusloom.operators import changes as c
 from corpusloom.operators import versions
 from corpusloom.plans.mining import ERA, GOV, LEG, STATUS, TRACK
+from corpusloom.sources import files
 from corpusloom.sources.tables import shared_dir
 
 NOW = dt.datetime(2024, 2, 1)
@@ -131,6 +132,13 @@ def _(t):
     return _separated(t).select("urn", "track", "moved", "status")
 
 
+@register("c12_written_tracks", SEPARATE + """ select urn, year, row_number() over (order by coalesce(year::varchar, '') desc, urn desc) - 1 as place from k where n = 1 and track = 'vigente'""")
+def _(t):
+    where = f"{shared_dir(t.spark)}/tracks-{uuid.uuid4().hex}"
+    files.write_tracks(_separated(t).select("urn", "year", "track", "status"), where)
+    return files.read_track(t.spark, where, "vigente", "urn string, year int").select("urn", "year", "place")
+
+
 @register("c12_track_manifest", SEPARATE + """ select count(*) filter (where track = 'vigente') as vigente_count, count(*) filter (where track = 'abrogated') as abrogated_count, count(*) filter (where moved and track = 'abrogated') as moved_to_abrogated,
  count(*) filter (where moved and track = 'vigente') as moved_to_vigente from k where n = 1""")
 def _(t):

@@ -287,4 +287,4 @@ def _(t):
 
 @register("s06_graph_edges", f"with {NODES_SQL} select citing_urn as source, cited_urn as target from v_citations where citing_urn in (select id from nodes) and cited_urn in (select id from nodes)")
 def _(t):
-    return graph.graph_edges(graph.graph_nodes(t.laws, t.citations), t.citations)
+    return graph.graph_edges(graph.graph_nodes(t.laws, t.citations), t.citations).select("source", "target")

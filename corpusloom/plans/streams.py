@@ -176,6 +176,27 @@ def _(t):
     return t.spark.read.schema("id string, size long").json(f"{where}/nodes")
 
 
+EXPORTED = """nodes as (select cited_urn as id, count(*) as size from v_citations where cited_urn in (select urn from v_laws) group by 1 having count(*) >= 2),
+ edges as (select citing_urn as source, cited_urn as target, cnt as weight from v_citations where citing_urn in (select id from nodes) and cited_urn in (select id from nodes))"""
+
+
+def _exported(t):
+    where = f"{shared_dir(t.spark)}/graph-{uuid.uuid4().hex}"
+    nodes = graph.graph_nodes(t.laws, t.citations)
+    files.export_graph(nodes, graph.graph_edges(nodes, t.citations), where, 2)
+    return files.read_graph(t.spark, where)
+
+
+@register("s06_exported_edges", f"with {EXPORTED} select * from edges")
+def _(t):
+    return _exported(t)[1]
+
+
+@register("s06_export_stats", f"with {EXPORTED} select (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, 2 as min_citations")
+def _(t):
+    return _exported(t)[2]
+
+
 @register("c20_incremental_append", "select event_id, event_type from events")
 def _(t):
     where = f"{shared_dir(t.spark)}/append-{uuid.uuid4().hex}"
@@ -252,3 +273,24 @@ def _(t):
     items = t.events.select(F.concat(F.lit("Act "), "event_id").alias("title"), F.to_date("ts").cast("string").alias("pubDate"), F.concat(F.lit("http://x/"), "event_id").alias("link"), F.repeat(F.concat("event_type", F.lit(" ")), 40).alias("description"))
     files.write_feed(items, where)
     return files.read_feed(t.spark, where)
+
+
+SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: What XML cannot hold becomes a blank, as do carriage returns, which a parser would change.
+UNFIT = r"[\x{00}-\x{08}\x{0B}-\x{1F}\x{FFFE}\x{FFFF}]"
+
+
+@register("x01_parse_texts", rf"""with d as (select doc_id, regexp_replace(coalesce(text, ''), '{UNFIT}', ' ', 'g') as body from documents),
+ p as (select doc_id, regexp_replace(regexp_replace(body, '^{SPACE}', ''), '{SPACE}\z', '') as body from d)
+ select 'urn:nir:stato:legge:' || (1950 + doc_id % 70) || '-01-02;' || doc_id as urn, 'A ' || doc_id as num, trim('A ' || doc_id || body) as text from p""")
+def _(t):
+    """Every whole text as an article's body, escaped, through the parser."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), UNFIT, " ")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        body = F.replace(body, F.lit(mark), F.lit(entity))
+    doc = F.col("doc_id").cast("string")
+    urn = F.concat(F.lit("urn:nir:stato:legge:"), (1950 + F.col("doc_id") % 70).cast("string"), F.lit("-01-02;"), doc)
+    head = F.concat(F.lit(f'<akomaNtoso {AKN_NS}><act><meta><identification><FRBRalias name="urn:nir" value="'), urn, F.lit('"/></identification></meta><body><part><article eId="a1"><heading>A '), doc)
+    content = F.concat(head, F.lit("</heading><p>"), body, F.lit("</p></article></part></body></act></akomaNtoso>")).cast("binary")
+    entries = t.documents.select(F.lit("z").alias("zip"), F.concat(doc, F.lit(".xml")).alias("entry"), content.alias("content"))
+    return files.explode_articles(files.parse_akn(entries)).select("urn", "num", "text")

@@ -260,9 +260,38 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).options(**CSV).csv(path)
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str, min_citations: int | None = None) -> None:
+    """Nodes, edges and, from what was written, their numbers."""
+    spark = nodes.sparkSession
     nodes.write.mode("overwrite").json(f"{path}/nodes")
     edges.write.mode("overwrite").json(f"{path}/edges")
+    count = lambda name: spark.read.text(f"{path}/{name}").agg(F.count("*").alias(name))
+    stats = count("nodes").crossJoin(count("edges"))  # a row each
+    stats.withColumn("min_citations", F.lit(min_citations)).write.mode("overwrite").json(f"{path}/stats")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What export_graph wrote: nodes, edges, stats."""
+    schemas = {"nodes": "id string, title string, type string, year int, size long", "edges": "source string, target string, weight long", "stats": "nodes long, edges long, min_citations int"}
+    return tuple(spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items())
+
+
+def write_tracks(separated: DataFrame, path: str) -> None:
+    """Each track of separated acts as JSON lines, the latest year first, then urn, both as strings and descending.
+
+    A sort by ranges over both tracks, so the files of a track are in order and no task holds one."""
+    year = F.coalesce(F.col("year").cast("string"), F.lit(""))
+    rows = separated.repartitionByRange("track", year.desc(), F.desc("urn")).sortWithinPartitions("track", year.desc(), F.desc("urn"))
+    rows.write.mode("overwrite").partitionBy("track").json(path)
+
+
+def read_track(spark: SparkSession, path: str, track: str, schema: str) -> DataFrame:
+    """One track in the order in which it was written: file by file, with its place from 0."""
+    rows = spark.read.schema(schema).json(f"{path}/track={track}").withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.file_block_start"), "__id": F.monotonically_increasing_id()})
+    sizes = rows.groupBy("__file", "__at").agg(F.count("*").alias("n"), F.min("__id").alias("first"))  # a row a split of a file
+    starts = sizes.select("__file", "__at", "first", (F.sum("n").over(Window.orderBy("__file", "__at")) - F.col("n")).alias("before"))
+    placed = rows.join(F.broadcast(starts), ["__file", "__at"]).withColumn("place", F.col("before") + F.col("__id") - F.col("first"))
+    return placed.drop("__file", "__at", "__id", "first", "before")
 
 
 def citation_index(laws: DataFrame) -> DataFrame:
