@@ -36,7 +36,7 @@ from corpusloom.llm.common import whole_text
 
 WORDS = 300_000
 LONG = 256
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 #: Code points whose letters and digits came after Unicode 16.
 AFTER_16 = [
     (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F),
