@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.shipping import ship
-from corpusloom.sources.tables import shared_dir
+from corpusloom.sources.tables import discard, shared_dir
 
 #: A word is a longest run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,12 +38,6 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return _made[-1]
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared folder."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[str], str]]:
     """Deletes the folders made inside it on leaving, but for those given to the yielded function.

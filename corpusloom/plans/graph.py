@@ -11,19 +11,11 @@ from corpusloom.operators import adjacency, graph
 from corpusloom.sources.tables import shared_dir
 
 ONE = "doc:7"
-_stores: dict[tuple[str, str], adjacency.Adjacency] = {}
-
-
-def _built(t) -> adjacency.Adjacency:
-    """A new adjacency of the tables' graph, which the session's look-ups then use."""
-    made = adjacency.build_adjacency(t.laws, t.citations, f"{shared_dir(t.spark)}/adjacency-{uuid.uuid4().hex}")
-    _stores[t.spark.sparkContext.applicationId, t.sf_dir] = made
-    return made
 
 
 def store(t) -> adjacency.Adjacency:
-    """The adjacency, stored by the session's first look-up and opened by the others."""
-    return _stores.get((t.spark.sparkContext.applicationId, t.sf_dir)) or _built(t)
+    """A new adjacency of the tables' graph. Every look-up builds what it opens, so it neither depends on the session's earlier queries nor sees older tables."""
+    return adjacency.build_adjacency(t.laws, t.citations, f"{shared_dir(t.spark)}/adjacency-{uuid.uuid4().hex}")
 
 
 @register("g02_outgoing", f"""select c.cited_urn, l.title, c.cnt from v_citations c left join v_laws l on l.urn = c.cited_urn
@@ -272,9 +264,9 @@ def _(t):
 @register("s08_adjacency_store", """select c.citing_urn as urn, 'out' as side, c.cited_urn as other, c.cnt, l.urn is not null as known, l.title from v_citations c left join v_laws l on l.urn = c.cited_urn
  union all select c.cited_urn, 'in', c.citing_urn, c.cnt, l.urn is not null, l.title from v_citations c left join v_laws l on l.urn = c.citing_urn""")
 def _(t):
-    made = _built(t)
-    sides = [rows.select("urn", F.lit(side).alias("side"), "other", "cnt", "known", "title") for rows, side in ((made.out, "out"), (made.into, "in"))]
-    return sides[0].unionByName(sides[1])
+    made = store(t)
+    sides = [rows.select("urn", F.lit(side).alias("side"), "other", "cnt") for rows, side in ((made.out, "out"), (made.into, "in"))]
+    return made.shown(sides[0].unionByName(sides[1]), few=False).select("urn", "side", "other", "cnt", "known", "title")
 
 
 NODES_SQL = "nodes as (select l.urn as id, l.title, l.type, l.year, c.size from v_laws l join (select cited_urn, count(*) as size from v_citations group by 1) c on c.cited_urn = l.urn where c.size >= 2)"
