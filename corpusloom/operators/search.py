@@ -24,6 +24,9 @@ from corpusloom.sources.tables import checkpointed
 K1, B = 1.2, 0.75
 #: Up to so many acts are looked up in the index by their urns, which the driver then sees.
 LOOKUP = 1000
+#: Acts of a bucket, about; at least LEAST buckets, so that small corpora are read by several tasks, too.
+PER_BUCKET, LEAST = 2_000, 16
+POSTINGS = "urn string, length int, term string, tf long, bucket int"
 
 
 def query_terms(query: str) -> list[str]:
@@ -49,12 +52,23 @@ def _bucket(name: str, buckets: int) -> Column:
 
 
 @dataclass
-class Index:
-    """A stored index: acts (all columns and bucket), postings (bucket, term, urn, length, tf), and the corpus totals."""
+class Acts:
+    """Stored acts: all columns and bucket, by hash of urn."""
 
     acts: DataFrame
-    postings: DataFrame
     buckets: int
+
+    def lookup(self, urns: list[str]) -> DataFrame:
+        """Some acts by urn, read from their buckets only."""
+        here = sorted({zlib.crc32(u.encode()) % self.buckets for u in urns})
+        return self.acts.filter(F.col("bucket").isin(here) & F.col("urn").isin(urns)).drop("bucket")
+
+
+@dataclass
+class Index(Acts):
+    """A stored index: acts, postings (bucket, term, urn, length, tf), and the corpus totals."""
+
+    postings: DataFrame
     total: int
     mean: float
 
@@ -63,23 +77,38 @@ class Index:
         here = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
         return self.postings.filter(F.col("bucket").isin(here) & F.col("term").isin(terms)).select("urn", "length", "term", "tf")
 
-    def lookup(self, urns: list[str]) -> DataFrame:
-        """Some acts by urn, read from their buckets only."""
-        here = sorted({zlib.crc32(u.encode()) % self.buckets for u in urns})
-        return self.acts.filter(F.col("bucket").isin(here) & F.col("urn").isin(urns)).drop("bucket")
 
+def _write(rows: DataFrame, path: str, *order: str) -> None:
+    """Rows in folders by bucket, each file sorted. Adaptive execution cuts what is large, so a bucket is no task's limit."""
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+
+
+def store_acts(laws: DataFrame, path: str, buckets: int | None = None) -> Acts:
+    """Stores acts with a urn below the path, for look-ups. The number of buckets follows the acts."""
+    buckets = buckets or max(LEAST, min(4096, laws.filter("urn is not null").count() // PER_BUCKET))
+    _write(laws.filter("urn is not null").withColumn("bucket", _bucket("urn", buckets)), f"{path}/acts", "urn")
+    return Acts(laws.sparkSession.read.parquet(f"{path}/acts"), buckets)
+
+
+def _counted(rows: DataFrame, cut: int | None) -> DataFrame:
+    """postings() of acts whose urns differ, without an exchange: an act's sorted tokens are counted in its row."""
+    found = rows.select("urn", fx.raw_tokens(_searched(cut)).alias("t")).filter(F.size("t") > 0)
+    found = found.select("urn", F.size("t").alias("length"), F.sort_array(F.transform("t", fx.folded_token)).alias("t"))
+    begins = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", i - 2)))
+    found = found.withColumn("at", begins)
+    each = F.transform("at", lambda i, n: F.struct(F.get("t", i - 1).alias("term"), (F.coalesce(F.get("at", n + 1), F.col("length") + 1) - i).cast("long").alias("tf")))
+    return found.select("urn", "length", F.inline(each))
 
-def build_index(laws: DataFrame, path: str, buckets: int = 16, cut: int | None = None) -> Index:
-    """Stores the index of acts with a urn below the path: tables in buckets by hash of term and of urn, each sorted.
 
-    A bucket should stay in the order of 100 MB to some GB."""
+def build_index(laws: DataFrame, path: str, buckets: int | None = None, cut: int | None = None) -> Index:
+    """Stores the index of acts with a urn below the path: tables in buckets by hash of term and of urn, each sorted."""
     spark = laws.sparkSession
-    acts = laws.filter("urn is not null").withColumn("bucket", _bucket("urn", buckets))
-    acts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "urn").write.partitionBy("bucket").parquet(f"{path}/acts")
-    rows = spark.read.parquet(f"{path}/acts")  # dealt out evenly, however the input lay
-    tf = postings(rows, cut).withColumn("bucket", _bucket("term", buckets))
-    tf.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "urn").write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
+    stored_acts = store_acts(laws, path, buckets)
+    rows, buckets = stored_acts.acts, stored_acts.buckets
+    twice = not rows.groupBy("urn").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    tf = postings(rows, cut) if twice else _counted(rows, cut)
+    _write(tf.withColumn("bucket", _bucket("term", buckets)), f"{path}/postings", "term", "urn")
+    stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     # an act without a token has no posting, but counts
     totals = rows.agg(F.count("*").alias("total")).crossJoin(stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))  # one row each
     totals.select("total", "tokens", F.lit(buckets).alias("buckets")).write.json(f"{path}/totals")
@@ -88,9 +117,8 @@ def build_index(laws: DataFrame, path: str, buckets: int = 16, cut: int | None =
 
 def open_index(spark: SparkSession, path: str) -> Index:
     totals = spark.read.schema("total long, tokens long, buckets int").json(f"{path}/totals").first()
-    schema = "urn string, length int, term string, tf long, bucket int"
-    acts, tf = spark.read.parquet(f"{path}/acts"), spark.read.schema(schema).parquet(f"{path}/postings")
-    return Index(acts, tf, totals["buckets"], totals["total"], totals["tokens"] / max(totals["total"], 1))
+    acts, tf = spark.read.parquet(f"{path}/acts"), spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    return Index(acts, totals["buckets"], tf, totals["total"], totals["tokens"] / max(totals["total"], 1))
 
 
 def _variants(term: str) -> str:

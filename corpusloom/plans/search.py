@@ -30,24 +30,16 @@ def ranked_sql(terms: list[str]) -> str:
 
 
 TERMS = search.query_terms("der die")
-_paths: dict[tuple[str, str], str] = {}
 
 
 def index(t) -> search.Index:
-    """The index of the acts, stored by the session's first search over them and opened by the others."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _paths:
-        path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
-        search.build_index(t.laws, path)
-        _paths[key] = path
-    return search.open_index(t.spark, _paths[key])
+    """A new index of the acts. Every search builds what it opens, so it neither depends on the session's earlier queries nor sees older tables."""
+    return search.build_index(t.laws, f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}")
 
 
 @register("q02_build_index", f"with d as (select urn, {TOKENS} as tk from v_laws), p as (select urn, unnest(tk) as term from d) select (select count(*) from d) as acts, count(distinct (urn, term)) as postings, count(*) as tokens, count(distinct term) as terms from p")
 def _(t):
-    path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
-    built = search.build_index(t.laws, path)
-    _paths[t.spark.sparkContext.applicationId, t.sf_dir] = path
+    built = index(t)
     counts = built.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
     return counts.select(F.lit(built.total).cast("long").alias("acts"), "postings", "tokens", "terms")
 
@@ -94,15 +86,10 @@ def _(t):
     return search.search_like(t.laws, "ThWhst")
 
 
-_grams: dict[tuple[str, str], trigrams.Trigrams] = {}
-
-
 def _trigrams(t) -> trigrams.Trigrams:
-    """The trigrams of the session's index, stored by its first substring search."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _grams:
-        _grams[key] = trigrams.build_trigrams(index(t), f"{shared_dir(t.spark)}/trigrams-{uuid.uuid4().hex}")
-    return _grams[key]
+    """The trigrams of the acts, stored anew beside the acts themselves; ranked search's postings are not needed for them."""
+    path = f"{shared_dir(t.spark)}/trigrams-{uuid.uuid4().hex}"
+    return trigrams.build_trigrams(search.store_acts(t.laws, path), path)
 
 
 @register("q04_by_trigrams", "select urn, title, importance_score from v_laws where contains(lower(title), 'thwhst') or contains(lower(text), 'thwhst') order by importance_score desc, urn limit 50")
@@ -113,7 +100,7 @@ def _(t):
 @register("q04_trigram_postings", """with g as (select distinct urn, substring(x, i, 3) as gram from (select urn, x, unnest(range(1, length(x) - 1)) as i from (select urn, lower(coalesce(title, '')) as x from v_laws union all select urn, lower(coalesce(text, '')) from v_laws)))
  select gram, count(*) as acts from g group by 1""")
 def _(t):
-    return _trigrams(t).postings.groupBy("gram").agg(F.count("*").alias("acts"))
+    return _trigrams(t).postings.groupBy("gram").agg(F.sum(F.size("at")).alias("acts"))
 
 
 DEGREES = "left join (select cited_urn, count(*) as n from v_citations group by 1) i on i.cited_urn = l.urn left join (select citing_urn, count(*) as n from v_citations group by 1) o on o.citing_urn = l.urn"

@@ -1,6 +1,9 @@
 """Stores are narrow, follow their input, and are built from the tables as they are."""
 
-from corpusloom.operators import adjacency
+import shutil
+
+from corpusloom import catalog
+from corpusloom.operators import adjacency, search
 
 
 def rows(df):
@@ -25,3 +28,30 @@ def test_look_ups_of_many_others(spark, tmp_path, monkeypatch):
     few = rows(adjacency.outgoing(store, "u0"))
     monkeypatch.setattr(adjacency, "LOOKUP", 5)
     assert rows(adjacency.outgoing(store, "u0")) == few and len(few) == 49
+
+
+def test_postings_are_counted_in_place(spark, tmp_path, monkeypatch):
+    data = [("a", "Perché no", "x", "uno due perche due"), ("b", None, None, None), ("c", "", "", " - "), ("d", "É é e", "x", "1 2 ½ 2")]
+    laws = spark.createDataFrame(data, "urn string, title string, type string, text string")
+    assert rows(search._counted(laws, None)) == rows(search.postings(laws).select("urn", "length", "term", "tf"))
+    assert "Exchange" not in search._counted(laws, None)._jdf.queryExecution().executedPlan().toString()
+    # of a urn that is there twice the rows count together, as in postings()
+    doubled = search.build_index(laws.union(laws), str(tmp_path / "doubled"))
+    assert rows(doubled.terms(["due"])) == [("a", 7, "due", 4)]
+    monkeypatch.setattr(search, "PER_BUCKET", 2)
+    monkeypatch.setattr(search, "LEAST", 1)
+    assert search.build_index(laws, str(tmp_path / "index")).buckets == 2
+
+
+def test_queries_see_the_tables_as_they_are(spark, tmp_path):
+    """A second call after the tables changed does not answer from what the first one stored."""
+    found = []
+    for n, word in ((12, "der die thwhst"), (13, "der die thwhst der")):
+        for name in ("documents", "lineitem"):
+            shutil.rmtree(tmp_path / f"{name}.parquet", ignore_errors=True)
+        texts = spark.range(n).selectExpr("id as doc_id", f"concat('{word} ', id) as text", "'de' as lang", "'s' as source", "cast(20 as bigint) as n_chars")
+        texts.write.parquet(str(tmp_path / "documents.parquet"))
+        spark.range(n * 9).selectExpr("id as l_orderkey", "id % 7 as l_partkey", "'A' as l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+        spark.catalog.clearCache()
+        found.append([len(rows(catalog.queries()[q](spark, str(tmp_path)))) for q in ("q02_search", "q04_by_trigrams", "g03_incoming")])
+    assert found[0][:2] == [12, 12] and found[1][:2] == [13, 13]
