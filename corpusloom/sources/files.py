@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,8 @@ def read_laws(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 EMPTY_ZIP = 22
+#: Bytes of contents that a task passes on or parses together.
+TOGETHER = 2 << 20
 
 
 def _member(file, offset: int, packed: int, method: int, crc: int) -> bytes | None:
@@ -110,7 +113,8 @@ def read_zip_entries(spark: SparkSession, path: str, suffix: str = ".xml", task_
     dealt = members.withColumn("stripe", F.expr(f"at div {task}")).repartition(max(1, -(-total // task)), "path", "stripe").sortWithinPartitions("path", "at")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, opened = None, None
+        file, opened, rows, size = None, None, [], 0
+        names = ["zip", "entry", "pos", "content"]
         for frame in frames:
             for r in frame.itertuples(index=False):
                 if r.path != opened:
@@ -118,7 +122,13 @@ def read_zip_entries(spark: SparkSession, path: str, suffix: str = ".xml", task_
                     file, opened = system.open_input_file(where), r.path
                 data = _member(file, r.at, r.packed, r.method, r.crc)
                 if data is not None:
-                    yield pd.DataFrame({"zip": [r.path.rsplit("/", 1)[-1]], "entry": [r.entry], "pos": [r.pos], "content": [data]})
+                    rows.append((r.path.rsplit("/", 1)[-1], r.entry, r.pos, data))
+                    size += len(data) + 100
+                if size >= TOGETHER:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return dealt.mapInPandas(read, "zip string, entry string, pos int, content binary")
 
@@ -146,6 +156,9 @@ AKN = "{http://docs.oasis-open.org/legaldocml/ns/akn/3.0}"
 ARTICLES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("num", "eId", "text")]))
 ACT_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("zip", "entry", "urn", "title", "date", "type", "text")] + [T.StructField("articles", ARTICLES)])
 
+_TEXTS = [(n, pa.string()) for n in ("zip", "entry", "urn", "title", "date", "type", "text")]
+ACT_ARROW = pa.schema([*_TEXTS, ("articles", pa.list_(pa.struct([(n, pa.string()) for n in ("num", "eId", "text")])))])
+
 
 def _text_of(element: ElementTree.Element, glue: str) -> str:
     """All text below an element, each element's part stripped and joined by the glue."""
@@ -190,6 +203,24 @@ def _act_of(content: bytes, glue: str) -> dict | None:
     }
 
 
+def _acts_of(frames: Iterator[pa.RecordBatch], glue: str) -> Iterator[pa.RecordBatch]:
+    """Acts of batches (zip, entry, content), some TOGETHER bytes of contents at a time: Python never holds a batch's contents and acts at once."""
+    rows, size = [], 0
+    for frame in frames:
+        for zip_name, entry, content in zip(*(frame.column(c) for c in ("zip", "entry", "content")), strict=True):
+            data = content.as_py()
+            found = _act_of(data, glue)
+            if found is not None:
+                rows.append({"zip": zip_name.as_py(), "entry": entry.as_py(), **found})
+            size += len(data)
+            if size >= TOGETHER:
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, ACT_ARROW)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, ACT_ARROW)
+
+
 def parse_akn(entries: DataFrame, variant: str = "act", most: int = 100_000) -> DataFrame:
     """Acts of XML entries (zip, entry, content); entries without an act are dropped.
 
@@ -198,17 +229,7 @@ def parse_akn(entries: DataFrame, variant: str = "act", most: int = 100_000) ->
     ship(entries.sparkSession)
     glue = " " if variant == "abrogated" else ""
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for zip_name, entry, content in zip(frame["zip"], frame["entry"], frame["content"], strict=True):
-                found = _act_of(content, glue)
-                if found is not None:
-                    rows.append({"zip": zip_name, "entry": entry, **found})
-            if rows:
-                yield pd.DataFrame(rows, columns=ACT_SCHEMA.fieldNames())
-
-    acts = entries.select("zip", "entry", "content").mapInPandas(parse, ACT_SCHEMA)
+    acts = entries.select("zip", "entry", "content").mapInArrow(lambda frames: _acts_of(frames, glue), ACT_SCHEMA)
     acts = acts.withColumn("article_count", F.size("articles"))
     year = F.left("date", F.lit(4)).try_cast("int")
     if variant != "abrogated":

@@ -17,6 +17,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "key string, `from` string, `to` string, seq long, ts timestamp, is_new boolean"
 HELD = "value string, seq long, at long"
+#: Rows that are sent to the state together.
+SOME = 10_000
 
 
 def transitions(tags: bool) -> StatefulProcessor:
@@ -24,6 +26,12 @@ def transitions(tags: bool) -> StatefulProcessor:
 
     Its class is made here, so that it travels by value: the driver's Python process that prepares the state does not
     have the session's files."""
+    from array import array
+    from itertools import islice
+
+    import numpy as np
+
+    some = SOME
 
     class Transitions(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -32,30 +40,55 @@ def transitions(tags: bool) -> StatefulProcessor:
             self.early = handle.getListState("early", HELD)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            held = [(r.value, r.seq, r.at) for r in rows]
-            self.early.appendList(held)
-            self.handle.registerTimer(min(h[2] for h in held) // 1000)
+            first, rows = None, iter(rows)
+            while held := [(r.value, r.seq, r.at) for r in islice(rows, some)]:
+                self.early.appendList(held)
+                least = min(h[2] for h in held)
+                first = least if first is None else min(first, least)
+            if first is not None:
+                self.handle.registerTimer(first // 1000)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             passed = timerValues.getCurrentWatermarkInMs() * 1000 + 999
-            held = [tuple(h) for h in self.early.get()] if self.early.exists() else []
-            due = sorted((h for h in held if h[2] <= passed), key=lambda h: (h[2], h[1] is not None, h[1] or 0, h[0]))
-            rest = [h for h in held if h[2] > passed]
+            # rows that are due are held as numbers: their times, seqs and the places of their values
+            at, seq, value, place, rest = array("q"), array("q"), array("q"), {}, []
+            none = array("b")
+            for v, s, t in self.early.get() if self.early.exists() else ():
+                if t <= passed:
+                    at.append(t)
+                    seq.append(s or 0)
+                    none.append(s is None)
+                    value.append(place.setdefault(v, len(place)))
+                else:
+                    rest.append((v, s, t))
             if rest:
-                self.early.put(rest)
+                self.early.put(rest[:some])
+                for begin in range(some, len(rest), some):
+                    self.early.appendList(rest[begin : begin + some])
                 self.handle.registerTimer(min(h[2] for h in rest) // 1000)
             else:
                 self.early.clear()
+            if not at:
+                return iter(())
             known = self.last.get()[0] if self.last.exists() else None
-            out, value = [], known
-            for to, seq, at in due:
-                if to != value and (tags or value is not None):
-                    out.append(Row(key=key[0], was=value, to=to, seq=seq, at=at, is_new=value is None))
-                value = to
-            if due and value != known:
-                self.last.update((value,))
-            return iter(out)
+            values = list(place)
+            rank = np.empty(len(values), np.int64)
+            rank[sorted(range(len(values)), key=values.__getitem__)] = np.arange(len(values))
+            at, seq, none, value = (np.array(x) for x in (at, seq, none, value))
+            order = np.lexsort((rank[value], seq, 1 - none, at))
+            at, seq, none, value = at[order], seq[order], none[order], value[order]
+            before = np.concatenate([[place.get(known, -1)], value[:-1]])
+            if values[value[-1]] != known:
+                self.last.update((values[value[-1]],))
+
+            def found() -> Iterator[Row]:
+                for i in np.flatnonzero(value != before).tolist():
+                    was = known if i == 0 else values[before[i]]
+                    if tags or was is not None:
+                        yield Row(key=key[0], was=was, to=values[value[i]], seq=None if none[i] else int(seq[i]), at=int(at[i]), is_new=was is None)
+
+            return found()
 
         def close(self) -> None:
             pass
