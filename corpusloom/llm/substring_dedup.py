@@ -4,13 +4,15 @@
    equals). Equal windows have equal anchors, so a passage of 50 words or more that recurs across documents has an
    anchor in each of them. One aggregation over (phrase, doc_id) confirms the phrases that are anchors in two
    documents or more.
-2. Compile. The confirmed phrases are dealt by hash into shards of about SHARD; a task compiles each shard's
-   Aho-Corasick automaton and stores it in the shared folder. A word is two letters of an automaton's text (8 bits of
-   its hash), so a phrase is 16 letters, whatever language or length its words have.
-3. Locate. All words of all documents stream as letters through every automaton, which is loaded once for a block of
-   BLOCK words, usually all that a task has. What they find are all occurrences of all confirmed phrases. A window is
-   compared if the least of its phrases is an occurrence: no other window can recur. Consecutive windows with one such
-   occurrence form a segment, and a document without any is done. Nothing else decides which windows are compared.
+2. Deal. The confirmed phrases are dealt by hash into shards of about SHARD, sorted and stored in the shared folder as
+   numbers. A word is two letters of an automaton's text (8 bits of its hash), so a phrase is 16 letters, whatever language
+   or length its words have.
+3. Locate. Of a block of BLOCK words, usually all that a task has, all phrases meet the shards: those confirmed phrases
+   that are said anywhere in the block go into its Aho-Corasick automata, AUTOMATON in each, and all words of all of its
+   documents stream through them as letters. What they find are all occurrences of all confirmed phrases, as the ones left
+   out are said nowhere in the block. A window is compared if the least of its phrases is an occurrence: no other window
+   can recur. Consecutive windows with one such occurrence form a segment, and a document without any is done. Nothing
+   else decides which windows are compared.
 4. Compare. A segment is known by its anchor's hash and a hash of all its words. The smallest doc_id of each distinct
    segment owns it; every other document loses all of its windows. Distinct segments of one anchor are compared window
    by window, by (anchor, window) hashes.
@@ -21,7 +23,8 @@ is compared, 64 bits each. Texts that exist before the seeds are drawn cannot be
 segments or windows of one anchor do with 2^-64.
 
 The letters only locate: two phrases with the same letters cost a comparison and never a word. Nothing is sampled or
-capped. Every block passes every shard: that product grows with the square of the input.
+capped. A block passes its own automata only, a number that its words bound; what grows with the square of the input is
+the reading of the shards, eight bytes for each confirmed phrase and block.
 
 Defined cases: a null or empty text has no words; texts under 50 words lose nothing; a null doc_id neither
 loses words nor takes them from others; rows that share a doc_id (repeated rows, too) do not take words from each
@@ -32,11 +35,10 @@ its own, so memory follows the longest text and a block's texts; an empty table
 from __future__ import annotations
 
 import hashlib
-import pickle
 import secrets
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import ahocorasick
 import numpy as np
@@ -49,40 +51,48 @@ from corpusloom.llm import textbytes as tb
 from corpusloom.llm.common import cut, fresh_dir, stored, whole_text
 
 PHRASE = 8
-#: Confirmed phrases of one automaton (about 40 MB) and words that stream through it at a time, two bytes each.
-SHARD = 100_000
+#: Confirmed phrases of one file (8 MB) and of one automaton (about 40 MB), and words that stream through it at a time, two
+#: bytes each.
+SHARD = 1_000_000
+AUTOMATON = 100_000
 BLOCK = 8_000_000
 
 
 @dataclass
 class Anchored:
     """Runs of windows that share an anchor: first window, number of windows, the anchor's letters (as a number) and
-    hash, and the text they are of."""
+    hash, the text they are of, and the anchor's first word."""
 
     first: np.ndarray
     windows: np.ndarray
     phrase: np.ndarray
     hashes: np.ndarray
     owner: np.ndarray
+    anchor: np.ndarray
 
     @staticmethod
-    def of(words: np.ndarray, per_text: np.ndarray, window: int, occurs: np.ndarray | None = None) -> Anchored:
-        """The runs whose anchor, at a word's place, occurs; all without `occurs`."""
+    def of(words: np.ndarray, per_text: np.ndarray, window: int) -> Anchored:
+        """All runs of some texts."""
         last = len(words) - window + 1
         if last < 1:
             none = np.empty(0, np.int64)
-            return Anchored(none, none, none, none.view(np.uint64), none)
+            return Anchored(none, none, none, none.view(np.uint64), none, none)
         phrases = tb.run_hashes(words, PHRASE)
         chosen = tb.sliding_argmin(phrases, window - PHRASE + 1)
         text = np.repeat(np.arange(len(per_text)), per_text)
         fits = text[:last] == text[window - 1 :]
-        at = np.flatnonzero(fits if occurs is None else fits & occurs[chosen])
+        at = np.flatnonzero(fits)
         anchor = chosen[at]
         new = np.ones(len(at), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         starts = np.flatnonzero(new)
         anchor = anchor[starts]
-        return Anchored(at[starts], np.diff(np.concatenate([starts, [len(at)]])), phrase_keys(words, anchor), phrases[anchor], text[at[starts]])
+        return Anchored(at[starts], np.diff(np.concatenate([starts, [len(at)]])), phrase_keys(words, anchor), phrases[anchor], text[at[starts]], anchor)
+
+    def located(self, occurs: np.ndarray) -> Anchored:
+        """The runs whose anchor occurs, given where in the letters of the texts phrases begin."""
+        some = occurs[2 * self.anchor + self.owner]
+        return Anchored(*(getattr(self, f.name)[some] for f in fields(self)))
 
 
 Seeds = tuple[int, int]
@@ -162,8 +172,8 @@ def recurring_phrases(rows: DataFrame, window: int, seeds: Seeds) -> DataFrame:
 
 
 def compiled(phrases: DataFrame, folder: str, shard: int = SHARD) -> list[str | None]:
-    """Stores an automaton of each shard of the (checkpointed) phrases in the folder; the files by shard, which is the
-    phrase modulo their number.
+    """Stores the (checkpointed) phrases in the folder, in shards of about `shard` sorted numbers; the files by shard,
+    which is the phrase modulo their number.
 
     Names are unique to the attempt, and only those that Spark committed count."""
     shards = -(-phrases.count() // shard)
@@ -171,14 +181,14 @@ def compiled(phrases: DataFrame, folder: str, shard: int = SHARD) -> list[str |
         return []
     dealt = phrases.withColumn("shard", F.pmod("phrase", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard")
 
-    def compile_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def save_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
 
         def saved(at: int, keys: list[np.ndarray]) -> pa.RecordBatch:
             name = uuid.uuid4().hex
             with system.open_output_stream(f"{path}/{name}", compression=None) as out:
-                out.write(pickle.dumps(automaton_of(np.concatenate(keys))))
+                out.write(np.sort(np.concatenate(keys)).astype("<i8").tobytes())
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([name])], ["shard", "file"])
 
         at, held = None, []  # the phrases of one shard
@@ -193,11 +203,19 @@ def compiled(phrases: DataFrame, folder: str, shard: int = SHARD) -> list[str |
         if held:
             yield saved(at, held)
 
-    files = stored(dealt.mapInArrow(compile_shards, "shard long, file string"), "automata")
+    files = stored(dealt.mapInArrow(save_shards, "shard long, file string"), "phrases")
     names = {r["shard"]: r["file"] for r in files.collect()}  # a name a shard
     return [names.get(k) for k in range(shards)]
 
 
+def in_both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers that two ascending arrays of distinct numbers share; the smaller is looked up in the larger."""
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    if not len(few):
+        return few
+    return few[many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few]
+
+
 SEGMENT = "struct<anchor: bigint, content: bigint, first: int, windows: int, hashes: array<bigint>>"
 
 
@@ -208,63 +226,74 @@ class Chunk:
     doc_id: pa.Array
     version: pa.Array
     texts: list[bytes]
+    per_text: np.ndarray
+    anchored: Anchored
 
-    def rows(self, occurs: np.ndarray, window: int, texts: bool, seeds: Seeds) -> pa.RecordBatch:
+    def rows(self, occurs: np.ndarray, window: int, texts: bool, seed: int) -> pa.RecordBatch:
         """What streamed() returns of them, given where in their letters confirmed phrases begin."""
-        (words, compared), per_text = _word_hashes(self.texts, *seeds)
-        place = 2 * np.arange(len(words)) + np.repeat(np.arange(len(per_text)), per_text)
-        found, number = Anchored.of(words, per_text, window, occurs[place]), len(self.texts)
-        content = tb.range_hashes(compared, found.first, found.first + found.windows + window - 1)
-        segment = np.repeat(np.arange(len(found.first)), found.windows)
+        found, number = self.anchored.located(occurs), len(self.texts)
+        bounds = np.searchsorted(found.owner, np.arange(number + 1))
+        some = np.diff(bounds) > 0
+        (compared,), _ = _word_hashes([t for t, s in zip(self.texts, some, strict=True) if s], seed)
+        begin, hashed = np.cumsum(self.per_text) - self.per_text, np.where(some, self.per_text, 0)
+        first = found.first - begin[found.owner]  # in its text
+        start = first + (np.cumsum(hashed) - hashed)[found.owner]  # among the words hashed
+        content = tb.range_hashes(compared, start, start + found.windows + window - 1)
+        segment = np.repeat(np.arange(len(start)), found.windows)
         ends = np.cumsum(found.windows)
-        at = found.first[segment] + np.arange(len(segment)) - (ends - found.windows)[segment]
+        at = start[segment] + np.arange(len(segment)) - (ends - found.windows)[segment]
         each = pa.array(tb.range_hashes(compared, at, at + window).view(np.int64))
-        first = found.first - (np.cumsum(per_text) - per_text)[found.owner]
-        fields = [found.hashes.view(np.int64), content.view(np.int64), first.astype(np.int32), found.windows.astype(np.int32)]
+        values = [found.hashes.view(np.int64), content.view(np.int64), first.astype(np.int32), found.windows.astype(np.int32)]
         windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), each)
-        inner = pa.StructArray.from_arrays([*map(pa.array, fields), windows], ["anchor", "content", "first", "windows", "hashes"])
-        bounds = np.searchsorted(found.owner, np.arange(number + 1))
-        some = np.diff(bounds) > 0
+        inner = pa.StructArray.from_arrays([*map(pa.array, values), windows], ["anchor", "content", "first", "windows", "hashes"])
         kept = [t.decode("utf-8", "surrogatepass") if s or texts else None for t, s in zip(self.texts, some, strict=True)]
         digests = [None if s else hashlib.sha256(b" ".join(t.split())).hexdigest() for t, s in zip(self.texts, some, strict=True)]
-        columns = [self.doc_id, self.version, pa.array(per_text), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), inner), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
+        columns = [self.doc_id, self.version, pa.array(self.per_text), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), inner), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_words", "segments", "text", "digest"])
 
 
 def streamed(rows: DataFrame, folder: str, files: list[str | None], window: int, seeds: Seeds, texts: bool = False, block: int = BLOCK) -> DataFrame:
-    """Every row after all automata: doc_id, version, n_words, segments (with located anchors), text (of rows with
-    segments, or of all) and digest (SHA-256 of all words, of rows without)."""
+    """Every row after the automata of its block: doc_id, version, n_words, segments (with located anchors), text (of rows
+    with segments, or of all) and digest (SHA-256 of all words, of rows without)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
 
-        def passed(held: list[Chunk], spelt: list[bytes]) -> Iterator[pa.RecordBatch]:
-            text = b"".join(spelt).decode("ascii")
-            occurs = np.zeros(len(text) + 1, dtype=bool)
+        def passed(held: list[Chunk], spelt: list[bytes], said: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            own, there = np.unique(np.concatenate(said)), []
+            said.clear()
             for name in filter(None, files):
                 with system.open_input_stream(f"{path}/{name}", compression=None) as saved:
-                    automaton = pickle.loads(saved.read())
+                    there.append(in_both(own, np.frombuffer(saved.read(), "<i8")))
+            del own
+            phrases = np.concatenate(there or [np.empty(0, np.int64)])
+            text = b"".join(spelt).decode("ascii")
+            occurs = np.zeros(len(text) + 1, dtype=bool)
+            for some in range(0, len(phrases), AUTOMATON):
+                automaton = automaton_of(phrases[some : some + AUTOMATON])
                 occurs[occurrences(automaton, text)] = True
                 del automaton
             del text
             at = 0
             for chunk, part in zip(held, spelt, strict=True):
-                yield chunk.rows(occurs[at : at + len(part)], window, texts, seeds)
+                yield chunk.rows(occurs[at : at + len(part)], window, texts, seeds[1])
                 at += len(part)
 
-        held, spelt, size = [], [], 0
+        held, spelt, said, size = [], [], [], 0
         for batch in batches:
             for row, found in tb.text_chunks(batch.column(2)):
                 (words,), per_text = _word_hashes(found, seeds[0])
-                held.append(Chunk(*(pa.concat_arrays([batch.column(k).slice(row, len(found))]) for k in (0, 1)), found))
+                own = (pa.concat_arrays([batch.column(k).slice(row, len(found))]) for k in (0, 1))
+                held.append(Chunk(*own, found, per_text, Anchored.of(words, per_text, window)))
                 spelt.append(spelled(words, per_text)[0])
+                said.append(np.unique(phrase_keys(words, np.arange(len(words) - PHRASE + 1))))
                 size += len(words)
                 if size >= block:
-                    yield from passed(held, spelt)
-                    held, spelt, size = [], [], 0
+                    yield from passed(held, spelt, said)
+                    held, spelt, said, size = [], [], [], 0
         if held:
-            yield from passed(held, spelt)
+            yield from passed(held, spelt, said)
 
     return rows.mapInArrow(scan, f"doc_id {kind}, version long, n_words long, segments array<{SEGMENT}>, text string, digest string")
 

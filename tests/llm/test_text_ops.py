@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -120,6 +122,32 @@ def test_automata_decide(spark, monkeypatch):
     assert substring_dedup.without_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
 
 
+def test_automata_of_a_block_follow_its_words(tmp_path, monkeypatch):
+    """However many phrases are confirmed, a block's automata hold those said in it, and its texts pass each once."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(4)]
+    (words,), per_text = substring_dedup._word_hashes([t.encode() for t in texts], 3)
+    said = np.unique(substring_dedup.Anchored.of(words, per_text, 50).phrase)
+    names, passed = [], []
+    for k in range(6):
+        phrases = np.concatenate([said[k::6], np.random.default_rng(k).integers(-(2**62), 2**62, 1000)])
+        (tmp_path / str(k)).write_bytes(np.sort(phrases).astype("<i8").tobytes())
+        names.append(str(k))
+
+    class Rows:
+        schema = StructType([StructField("doc_id", LongType())])
+
+        def mapInArrow(self, scan, schema):
+            columns = [pa.array([1, 2, 3, 4]), pa.array([0, 0, 0, 0]), pa.array(texts)]
+            return list(scan(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "text"])])))
+
+    search = substring_dedup.occurrences
+    monkeypatch.setattr(substring_dedup, "occurrences", lambda automaton, text: passed.append((len(automaton), len(text))) or search(automaton, text))
+    (found,) = substring_dedup.streamed(Rows(), tmp_path.as_uri(), names, 50, (3, 4))
+    assert passed == [(len(said), 2 * len(words) + 4)]
+    assert sum(s["windows"] for row in found.column(3).to_pylist() for s in row) == 4 * 251
+
+
 def colliding(seed):
     """Two different words of 16 bytes with one span hash under a known seed."""
     mask = 2**64 - 1
