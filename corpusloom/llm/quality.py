@@ -5,7 +5,7 @@ borders, hashed into 2^18 buckets; letter case counts. Word bigrams are reduced
 that repeats the one before it. A document is the mean of its features' vectors, and
 two outputs go through a softmax. Numpy stochastic gradient descent trains vectors and outputs on a bounded
 sample of labelled rows: at most SAMPLE rows, those with the smallest hash of doc_id. The sample's texts are
-whole and are turned into features by tasks; the driver sees bucket counts only. As the output is linear in
+whole and are turned into features by tasks; the driver sees bucket counts only, three bytes a distinct bucket. As the output is linear in
 the features, scoring needs one number a bucket (2 MB, broadcast) and covers every text whole.
 
 Training and scoring take their features from one function. Every text has borders of its own, and the numbers of
@@ -24,7 +24,7 @@ taken whole, about 60 bytes of memory a character; an empty table gives no rows;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,6 +79,38 @@ def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([b for b, _, _ in features([text])]), return_counts=True)
 
 
+def packed(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending buckets and their counts in some three bytes each: the low 16 bits of the buckets, then the counts in one
+    byte each, or eight where one does not fit; before them where the high bits change, and the bytes of a count."""
+    width = 1 if not len(counts) or counts.max() < 256 else 8
+    head = [*np.searchsorted(buckets, np.arange(1 << 16, BUCKETS, 1 << 16)), width]
+    return np.array(head, "<i8").tobytes() + buckets.astype("<u2").tobytes() + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """What packed() was given."""
+    *changes, width = np.frombuffer(data, "<i8", BUCKETS >> 16).tolist()
+    begin = 8 * (BUCKETS >> 16)
+    number = (len(memoryview(data)) - begin) // (2 + width)
+    buckets = np.frombuffer(data, "<u2", number, begin).astype(np.int64)
+    for at in changes:
+        buckets[at:] += 1 << 16
+    return buckets, np.frombuffer(data, f"<u{width}", number, begin + 2 * number)
+
+
+class Samples(Sequence):
+    """(buckets, counts, label) of each labelled text, unpacked when it is read."""
+
+    def __init__(self, data: list[pa.Buffer], labels: list[int]):
+        self.data, self.labels = data, labels
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        return *unpacked(self.data[i]), self.labels[i]
+
+
 @dataclass
 class Model:
     """logit of label 1 = bias + mean of weights over the features; weights in units of 1 / UNIT."""
@@ -100,32 +132,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 8, rate: float = 0.3, seed: int = 7) -> Model:
+def train(samples: Sequence[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 8, rate: float = 0.3, seed: int = 7) -> Model:
     """Stochastic gradient descent over (buckets, counts, label) samples."""
     if not samples:
         return Model(np.zeros(1, np.int64), 0.0, trained=False)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
-    shares = [(c / max(c.sum(), 1)).astype(np.float32) for _, c, _ in samples]
     share = (sum(y for _, _, y in samples) + 0.5) / (len(samples) + 1)
     out, bias = rng.normal(0, 0.1, (dim, 2)), np.array([np.log(1 - share), np.log(share)])
     steps, done = epochs * len(samples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(samples)):
-            buckets, _, label = samples[i]
+            buckets, counts, label = samples[i]
             lr = rate * (1 - done / steps)
             done += 1
             if not len(buckets):
                 continue
             mine = vectors[buckets]
-            mean = shares[i] @ mine
+            shares = (counts / max(counts.sum(), 1)).astype(np.float32)
+            mean = shares @ mine
             z = mean @ out + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[label] -= 1
             back = out @ p
             out -= lr * np.outer(mean, p)
-            mine -= shares[i][:, None] * (back * lr * min(len(buckets), 50)).astype(np.float32)
+            mine -= shares[:, None] * (back * lr * min(len(buckets), 50)).astype(np.float32)
             vectors[buckets] = mine
     direction = out[:, 1] - out[:, 0]
     return Model(np.rint(vectors @ direction * UNIT).astype(np.int64), float(bias[1] - bias[0]))
@@ -145,19 +177,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, chunk in tb.str_chunks(batch.column(3)):
-                found = [bucket_counts(t) for t in chunk]
-                lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(chunk)) for k in (0, 1, 2)), *lists], ["id", "y", "version", "buckets", "counts"])
+                found = pa.array([packed(*bucket_counts(t)) for t in chunk], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(chunk)) for k in (0, 1, 2)), found], ["id", "y", "version", "packed"])
 
-    found = texts.mapInArrow(count, f"id {texts.schema['id'].dataType.simpleString()}, y int, version long, buckets array<int>, counts array<int>")
+    found = texts.mapInArrow(count, f"id {texts.schema['id'].dataType.simpleString()}, y int, version long, packed binary")
     # rows alike count once, and the order is fixed: the training is the same each time
-    found = found.groupBy("id", "version").agg(*(F.first(c).alias(c) for c in ("y", "buckets", "counts"))).orderBy(F.md5(F.col("id").cast("string")), "id", "version").toArrow()
-    sets = []
-    for batch in found.to_batches():  # views of the batches, no copies
-        (at, buckets), (_, counts) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("buckets"), batch.column("counts")))
-        for i, label in enumerate(batch.column("y").to_pylist()):
-            sets.append((buckets[at[i] : at[i + 1]], counts[at[i] : at[i + 1]], label))
-    return train(sets)
+    found = found.groupBy("id", "version").agg(F.first("y").alias("y"), F.first("packed").alias("packed"))
+    found = found.orderBy(F.md5(F.col("id").cast("string")), "id", "version").select("y", "packed").toArrow()
+    return train(Samples([x.as_buffer() for x in found["packed"]], found["y"].to_pylist()))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

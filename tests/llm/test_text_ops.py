@@ -122,6 +122,28 @@ def test_automata_decide(spark, monkeypatch):
     assert substring_dedup.without_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
 
 
+def test_classifier_samples_reach_the_driver_packed(spark, monkeypatch):
+    """Three bytes for each distinct bucket of a text, and the same buckets and counts."""
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 5000}" for k in range(400)) for i in range(6)] + ["again " * 400, ""]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", seen.append)
+    quality.fit(docs, labels)
+    (samples,) = seen
+    ids = sorted((i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert len(samples) == len(ids) > 2
+    number = 0
+    for (buckets, counts, label), i in zip(samples, ids, strict=True):
+        expected = quality.bucket_counts(texts[i])
+        assert buckets.tolist() == expected[0].tolist() and counts.tolist() == expected[1].tolist() and label == i % 2
+        number += len(buckets)
+    assert sum(len(memoryview(x)) for x in samples.data) < 3.2 * number
+    for wide in ([1, 70000], [300, 2**33]), ([0, 65535, 65536, 200000, 262143], [1] * 5), ([], []):
+        found = quality.unpacked(quality.packed(*(np.array(x, np.int64) for x in wide)))
+        assert [x.tolist() for x in found] == [list(x) for x in wide]
+
+
 def test_automata_of_a_block_follow_its_words(tmp_path, monkeypatch):
     """However many phrases are confirmed, a block's automata hold those said in it, and its texts pass each once."""
     rng = random.Random(5)
